@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -14,6 +15,11 @@ WORD_START = "(?<![\\p{L}\\p{N}_])"
 WORD_END = "(?![\\p{L}\\p{N}_])"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Evaluate `value` once and use it many times in `body`, also inside its lambdas."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def blank_if_null(text: Column) -> Column:
     return F.coalesce(text, F.lit(""))
 
@@ -61,13 +67,15 @@ def repair_ligatures(text: Column, words: dict[str, str] = V.LIGATURE_REPAIRS,
                      beginnings: dict[str, str] = V.LIGATURE_PREFIX_REPAIRS) -> Column:
     """Restore words that lost a ligature: whole words only, so the repair is idempotent and leaves 'combination' alone.
 
-    One alternation decides whether a row needs the repair at all; most rows pay for that single scan only.
+    A plain substring test comes before each pattern, so a text pays for the few repairs that it may need.
     """
-    both_cases = [(b, g) for bad, good in words.items() for b, g in ((bad, good), (bad.capitalize(), good.capitalize()))]
-    starts = [(b, g) for bad, good in beginnings.items() for b, g in ((bad, good), (bad.capitalize(), good.capitalize()))]
-    patterns = [(WORD_START + b + WORD_END, g) for b, g in both_cases] + [(WORD_START + b, g) for b, g in starts]
-    fixed = reduce(lambda c, p: F.regexp_replace(c, p[0], p[1]), patterns, text)
-    return F.when(text.rlike("|".join(p for p, _ in patterns)), fixed).otherwise(text)
+    def cases(table: dict[str, str], end: str) -> list[Column]:
+        return [F.struct(F.lit(b).alias("bad"), F.lit(WORD_START + b + end).alias("pattern"), F.lit(g).alias("good"))
+                for bad, good in table.items() for b, g in ((bad, good), (bad.capitalize(), good.capitalize()))]
+
+    repairs = F.array(*cases(words, WORD_END), *cases(beginnings, ""))
+    return F.aggregate(repairs, text, lambda acc, r: F.when(
+        F.contains(acc, r["bad"]), F.regexp_replace(acc, r["pattern"], r["good"])).otherwise(acc))
 
 
 def words(text: Column, pattern: str = "[a-z0-9]{3,}") -> Column:
@@ -100,7 +108,7 @@ def stem(word: Column, suffixes: list[str] = V.STEM_SUFFIXES) -> Column:
 
 def stemmed_tokens(text: Column, stop: list[str] = V.STOP_WORDS) -> Column:
     kept = F.filter(words(text, "[a-z]+"), lambda w: (F.length(w) > 3) & ~w.isin(stop))
-    return F.transform(kept, stem)
+    return F.transform(kept, lambda w: stem(w))
 
 
 def plain_tokens(text: Column, stop: list[str] = V.PLAIN_STOP_WORDS) -> Column:
@@ -157,7 +165,7 @@ def numbers(text: Column) -> Column:
 
 def numbers_within(part: Column, whole: Column) -> Column:
     """Whether `part` has numbers and all of them occur in `whole`."""
-    return (F.size(numbers(part)) > 0) & (F.size(F.array_except(numbers(part), numbers(whole))) == 0)
+    return let(numbers(part), lambda p: (F.size(p) > 0) & (F.size(F.array_except(p, numbers(whole))) == 0))
 
 
 def final_number(text: Column) -> Column:

@@ -193,7 +193,6 @@ def review_boxes(t: Tables):
 
 _STATUS = _BOXES + f""", status AS (
   SELECT c.user_id, c.card_id, box, next_review_at,
-         CASE WHEN box IS NOT NULL THEN CAST(floor(epoch_us({SQL_NOW}) / 1e6 - epoch_us(next_review_at) / 1e6) AS BIGINT) END AS overdue_floor,
          CASE WHEN box IS NOT NULL THEN (epoch_us({SQL_NOW}) - epoch_us(next_review_at)) // 1000000 END AS overdue_sec,
          CASE WHEN box IS NULL THEN 'new' WHEN box = 1 OR next_review_at <= {SQL_NOW} THEN 'due' ELSE 'future' END AS status
   FROM (SELECT u.user_id, k.card_id FROM (SELECT DISTINCT user_id, question_id % 7 AS slot FROM attempts) u
@@ -208,9 +207,9 @@ def _status(t: Tables):
     return shelves.join(cards, "shelf").select("user_id", "card_id")
 
 
-@query("J15", f"WITH {_STATUS} SELECT user_id, card_id, box, next_review_at, status FROM status")
+@query("J15", f"WITH {_STATUS} SELECT user_id, card_id, coalesce(box, 0) AS box, next_review_at, status FROM status")
 def card_status(t: Tables):
-    return S.card_status(_status(t), H.review_boxes(t.reviews()), now()).drop("overdue_sec")
+    return S.card_status(_status(t), H.review_boxes(t.reviews()), now()).drop("overdue_sec").fillna(0, ["box"])
 
 
 @query("A11", f"""WITH {_STATUS}
