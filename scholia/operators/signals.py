@@ -68,7 +68,12 @@ def _cols(prefix: str) -> list[Column]:
 
 
 def _without(df: DataFrame, kept: list[str], *added: str) -> DataFrame:
-    return df.select(*kept, *added)
+    """Keep the input columns and the results, dropping the steps between.
+
+    The results pass through a one-row `inline`: a later filter on them stays above it, instead of being pushed down
+    through the steps, where every step would be evaluated again at each place it is mentioned.
+    """
+    return df.select(*kept, F.inline(F.array(F.struct(*added))))
 
 
 def explicit_letter(text: Column, loose: bool = False) -> Column:

@@ -40,11 +40,11 @@ def _four_pass(min_share: float, loose: bool) -> str:
  i7 AS (SELECT *, greatest(s0, s1, s2) AS best FROM i6),
  i8 AS (SELECT *, {', '.join(f"CASE WHEN s{i} = best THEN m{i} ELSE -1 END AS h{i}" for i in range(3))},
    (s0 = best)::INT + (s1 = best)::INT + (s2 = best)::INT AS tied FROM i7),
- i9 AS (SELECT *, {_explicit('txt', loose)} AS p1, {_first_letter([f"length({x}) > 8 AND contains(first, {x})" for x in option])} AS p2,
+ i9 AS MATERIALIZED (SELECT *, {_explicit('txt', loose)} AS p1, {_first_letter([f"length({x}) > 8 AND contains(first, {x})" for x in option])} AS p2,
    CASE WHEN best >= {min_share} AND best > 0 AND (tied = 1 OR greatest(h0, h1, h2) > least(CASE WHEN h0 >= 0 THEN h0 ELSE 9999 END, CASE WHEN h1 >= 0 THEN h1 ELSE 9999 END, CASE WHEN h2 >= 0 THEN h2 ELSE 9999 END))
         THEN {Q.highest('h0', 'h1', 'h2')} END AS p3,
    {_first_letter([Q.numbers_within(x, 'substr(txt, 1, 400)') for x in o])} AS p4 FROM i8),
- signal AS (SELECT doc_id, topic, stem, option_a, option_b, option_c, explanation, stored,
+ signal AS MATERIALIZED (SELECT doc_id, topic, stem, option_a, option_b, option_c, explanation, stored,
    CASE WHEN length(txt) >= 15 THEN coalesce(p1, p2, p3, p4) END AS letter,
    CASE WHEN length(txt) < 15 THEN 0 WHEN p1 IS NOT NULL THEN 1 WHEN p2 IS NOT NULL THEN 2 WHEN p3 IS NOT NULL THEN 3 WHEN p4 IS NOT NULL THEN 4 ELSE 0 END AS pass_no,
    CASE WHEN length(txt) < 15 THEN 0.0::DOUBLE WHEN p1 IS NOT NULL THEN 1.0::DOUBLE WHEN p2 IS NOT NULL THEN 0.9::DOUBLE WHEN p3 IS NOT NULL THEN best WHEN p4 IS NOT NULL THEN 0.4::DOUBLE ELSE 0.0::DOUBLE END AS confidence FROM i9)"""
@@ -71,7 +71,7 @@ def audit_rows(t: Tables):
                                           S.audit_class(F.col("stored"), F.col("letter"), F.col("pass_no")).alias("class")))
 
 
-@query("A13 A14", f"""WITH {_SIGNAL}, c AS (SELECT topic, {_CLASS} AS class FROM signal)
+@query("A13 A14", f"""WITH {_SIGNAL}, c AS MATERIALIZED (SELECT topic, {_CLASS} AS class FROM signal)
 SELECT topic, count(*) AS total, count(*) FILTER (class = 'ok') AS ok, count(*) FILTER (class = 'p1_fix') AS p1_fixes, count(*) FILTER (class = 'p2_fix') AS p2_fixes,
   count(*) FILTER (class = 'p3_flag') AS p3_flags, count(*) FILTER (class = 'no_signal') AS no_signal FROM c GROUP BY topic""")
 def audit_summary(t: Tables):
@@ -91,7 +91,7 @@ def _flags(t: Tables):
     return rows.where(S.audit_class(F.col("stored"), F.col("letter"), F.col("pass_no")) == "p3_flag")
 
 
-@query("A12", f"WITH {_SIGNAL}, flags AS (SELECT * FROM signal WHERE {_CLASS} = 'p3_flag') {_BUCKETS}")
+@query("A12", f"WITH {_SIGNAL}, flags AS MATERIALIZED (SELECT * FROM signal WHERE {_CLASS} = 'p3_flag') {_BUCKETS}")
 def confidence_histogram(t: Tables):
     return G.confidence_histogram(_flags(t), "confidence")
 
@@ -137,7 +137,7 @@ def _weighted() -> str:
     return ITEMS + f""", k AS (SELECT *, {keys}, {Q.negated_letters('explanation')} AS neg, lower(explanation) AS fa,
    lower(({sql_sentences(sql_strip('explanation'))})[1]) AS f1, lower({Q.first_n('explanation', 5)}) AS f5 FROM items),
  sc AS (SELECT *, {', '.join(score(i) for i in range(3))} FROM k),
- weighted AS (SELECT *, CASE WHEN greatest(s0, s1, s2) > 0 AND (list_sort([s0, s1, s2])[2] = 0 OR greatest(s0, s1, s2) - list_sort([s0, s1, s2])[2] >= 2)
+ weighted AS MATERIALIZED (SELECT *, CASE WHEN greatest(s0, s1, s2) > 0 AND (list_sort([s0, s1, s2])[2] = 0 OR greatest(s0, s1, s2) - list_sort([s0, s1, s2])[2] >= 2)
    THEN {Q.highest('s0', 's1', 's2')} END AS p2 FROM sc)"""
 
 
@@ -202,7 +202,7 @@ def opening_phrases(t: Tables):
 
 _ARB = _weighted() + f""", a1 AS (SELECT *, {Q.letter_patterns('explanation')} AS p1, {_framing('neg')} AS ex, CASE stored WHEN 'A' THEN option_a WHEN 'B' THEN option_b ELSE option_c END AS so FROM weighted),
  a2 AS (SELECT *, CASE WHEN p1 <> stored THEN 'P1' WHEN ex <> stored THEN 'EXPLICIT' WHEN p2 <> stored THEN 'P2' END AS method FROM a1),
- a3 AS (SELECT *, CASE method WHEN 'P1' THEN p1 WHEN 'EXPLICIT' THEN ex WHEN 'P2' THEN p2 END AS detected,
+ a3 AS MATERIALIZED (SELECT *, CASE method WHEN 'P1' THEN p1 WHEN 'EXPLICIT' THEN ex WHEN 'P2' THEN p2 END AS detected,
    CASE WHEN method IS NULL THEN CASE WHEN coalesce(p1 = stored, false) OR coalesce(ex = stored, false) OR coalesce(p2 = stored, false) THEN 'ok' ELSE 'no_signal' END
      WHEN method = 'P2' AND length({Q.alnum('so')}) >= 15 AND contains(lower({Q.first_n('explanation', 2)}), substr({Q.alnum('so')}, 1, 30)) THEN 'blocked' ELSE 'mismatch' END AS result FROM a2)"""
 

@@ -92,13 +92,20 @@ class Tables:
         part = lambda i: F.coalesce(F.get("sentences", F.lit(i)), F.lit(""))
         return (docs.join(labels, "doc_id", "left")
                 .withColumn("sentences", X.sentences(F.col("text")))
-                .select("doc_id", "topic", "quality", part(0).alias("stem"), part(1).alias("option_a"),
+                .select("doc_id", "topic", "quality", "text", part(0).alias("stem"), part(1).alias("option_a"),
                         part(2).alias("option_b"), part(3).alias("option_c"),
                         F.array_join(F.slice("sentences", 5, 2147483647), " ").alias("rest"))
                 .withColumn("explanation", F.concat(lead, F.col("rest")))
                 .withColumn("stored", stored)
                 .drop("rest"))
 
+    def labelled(self) -> DataFrame:
+        """Items with a label: the reference corpus."""
+        return self.items().where(F.col("quality").isNotNull())
+
+    def unlabelled(self) -> DataFrame:
+        return self.items().where(F.col("quality").isNull())
+
     def turns(self) -> DataFrame:
         return self.raw("conversations")
 
@@ -152,7 +159,7 @@ def sql_strip(expr: str) -> str:
 
 
 ITEMS = f"""items AS (
-  SELECT doc_id, topic, quality, stem, option_a, option_b, option_c,
+  SELECT doc_id, topic, quality, text, stem, option_a, option_b, option_c,
          CASE doc_id % 7
            WHEN 0 THEN 'The correct answer is ' || letter || '. '
            WHEN 1 THEN list_extract([option_a, option_b, option_c], CAST(doc_id % 3 + 1 AS INT)) || ' '
@@ -163,7 +170,7 @@ ITEMS = f"""items AS (
                        || list_extract([option_a, option_b, option_c], CAST(doc_id % 3 + 1 AS INT)) || ' '
            ELSE '' END || rest AS explanation,
          stored
-  FROM (SELECT d.doc_id, source AS topic, quality,
+  FROM (SELECT d.doc_id, source AS topic, quality, text,
                coalesce(s[1], '') AS stem, coalesce(s[2], '') AS option_a, coalesce(s[3], '') AS option_b,
                coalesce(s[4], '') AS option_c, coalesce(array_to_string(s[5:], ' '), '') AS rest,
                substr('ABC', CAST(d.doc_id % 3 + 1 AS INT), 1) AS letter,

@@ -70,7 +70,9 @@ def word_bags(t: Tables):
 
 @query("X8 X9", f"""SELECT token, count(*) AS n, count(DISTINCT doc_id) AS docs FROM (SELECT doc_id, unnest({Q.stemmed('text')}) AS token FROM documents) GROUP BY token""")
 def stemmed_token_counts(t: Tables):
-    per_doc = (_docs(t).select("doc_id", F.explode(X.stemmed_tokens(F.col("text"))).alias("token"))
+    word = F.col("word")  # one row per word, so the stemmer is compiled rather than run inside a lambda
+    per_doc = (_docs(t).select("doc_id", F.explode(X.words(F.col("text"), "[a-z]+")).alias("word"))
+               .where((F.length(word) > 3) & ~word.isin(V.STOP_WORDS)).select("doc_id", X.stem(word).alias("token"))
                .groupBy("token", "doc_id").agg(F.count("*").alias("n")))
     return per_doc.groupBy("token").agg(F.sum("n").alias("n"), F.count("*").alias("docs"))
 
