@@ -39,12 +39,23 @@ def sliced_join(probes: DataFrame, refs: DataFrame, keys: list[str], ref_id: str
 
 
 def bag_documents(df: DataFrame, id_name: str, words: str, repeats: bool = True) -> DataFrame:
-    """(part, id, elements): a bag as a set. The k-th occurrence of a word is the element "word#k", so the size of the
-    intersection of two such sets is the sum of the smaller counts. Without `repeats`, plain distinct words."""
-    rows = df.select("part", id_name, F.explode(words).alias("word"))
-    counted = rows.groupBy("part", id_name, "word").agg(F.count("*").cast("int").alias("n"))
-    each = F.transform(F.sequence(F.lit(1), F.col("n")), lambda k: F.concat_ws("#", "word", k.cast("string")))
-    return counted.groupBy("part", id_name).agg(F.array_sort(F.flatten(F.collect_list(each if repeats else F.array("word")))).alias("elements"))
+    """(part, id, elements, sig): a bag as a set. The k-th occurrence of a word is the element "word#k", so the size of the
+    intersection of two such sets is the sum of the smaller counts. Without `repeats`, plain distinct words. `sig` is a digest."""
+    if not repeats:
+        bags = df.select("part", id_name, F.array_sort(F.array_distinct(words)).alias("elements")).where(F.size("elements") > 0)
+    else:
+        rows = df.select("part", id_name, F.explode(words).alias("word"))
+        counted = rows.groupBy("part", id_name, "word").agg(F.count("*").cast("int").alias("n"))
+        each = F.transform(F.sequence(F.lit(1), F.col("n")), lambda k: F.concat_ws("#", "word", k.cast("string")))
+        bags = counted.groupBy("part", id_name).agg(F.array_sort(F.flatten(F.collect_list(each))).alias("elements"))
+    return bags.withColumn("sig", F.md5(F.array_join("elements", " ")))
+
+
+def fold_bags(docs: DataFrame, id_name: str, side: str) -> DataFrame:
+    """One row per distinct bag of a part: digest, smallest id, copies, elements and size, prefixed with `side`."""
+    return (docs.groupBy("part", F.col("sig").alias(f"{side}_sig"))
+            .agg(F.min(id_name).alias(f"{side}_rep"), F.count("*").alias(f"{side}_copies"), F.any_value("elements").alias(f"{side}_elements"))
+            .withColumn(f"{side}_size", F.size(f"{side}_elements")))
 
 
 def overlap_pairs(probes: DataFrame, refs: DataFrame, min_share: float, of_larger: bool = False, repeats: bool = True,
@@ -58,35 +69,33 @@ def overlap_pairs(probes: DataFrame, refs: DataFrame, min_share: float, of_large
     in the first (size - needed + 1) elements of the probe, so frequent words are hardly ever joined on. Every candidate is
     scored on the full bags, and no pair above the share is lost.
     """
-    sized = lambda d: d.withColumn("size", F.size("elements"))
     p_docs, r_docs = bag_documents(probes, "probe_id", "words", repeats), bag_documents(refs, "ref_id", "words", repeats)
-    p = sized(fold_copies(p_docs, "probe_id", ["part", "elements"], "p_rep"))
-    r = sized(fold_copies(r_docs, "ref_id", ["part", "elements"], "r_rep"))
-    r_rows = r.select("part", "r_rep", F.col("size").alias("r_size"), F.explode("elements").alias("element"))
+    p, r = fold_bags(p_docs, "probe_id", "p"), fold_bags(r_docs, "ref_id", "r")
+    rows = lambda d, side: d.select("part", f"{side}_sig", f"{side}_size", F.explode(f"{side}_elements").alias("element"))
+    r_rows = rows(r, "r")
     counts = r_rows.groupBy("part", "element").agg(F.count("*").alias("n"))
     needed = lambda size: F.greatest(F.ceil(F.lit(min_share) * size - 1e-9), F.lit(1))
 
-    def heads(rows: DataFrame, rep: str, size: str) -> DataFrame:
-        order = Window.partitionBy("part", rep).orderBy(F.coalesce("n", F.lit(0)), "element")
-        return (rows.join(counts, ["part", "element"], "left").withColumn("_at", F.row_number().over(order))
-                .where((F.col("_at") <= F.col(size) - needed(F.col(size)) + 1) & F.col("n").isNotNull()).drop("_at", "n"))
+    def heads(elements: DataFrame, side: str) -> DataFrame:
+        order = Window.partitionBy("part", f"{side}_sig").orderBy(F.coalesce("n", F.lit(0)), "element")
+        size = F.col(f"{side}_size")
+        return (elements.join(counts, ["part", "element"], "left").withColumn("_at", F.row_number().over(order))
+                .where((F.col("_at") <= size - needed(size) + 1) & F.col("n").isNotNull()).drop("_at", "n"))
 
-    p_rows = p.select("part", "p_rep", F.col("size").alias("p_size"), F.explode("elements").alias("element"))
-    p_heads = heads(p_rows, "p_rep", "p_size")
-    if of_larger:
-        r_rows = heads(r_rows, "r_rep", "r_size")
-    pairs = sliced_join(p_heads, r_rows, ["part", "element"], "r_rep", counts, slice_rows)
+    p_heads = heads(rows(p, "p"), "p")
+    r_keys = heads(r_rows, "r") if of_larger else r_rows
+    pairs = sliced_join(p_heads, r_keys, ["part", "element"], "r_sig", counts, slice_rows)
     if of_larger:
         pairs = pairs.where((F.col("r_size") >= min_share * F.col("p_size") - 1e-9) & (F.col("p_size") >= min_share * F.col("r_size") - 1e-9))
-    pairs = pairs.select("part", "p_rep", "r_rep").distinct()
+    pairs = pairs.select("part", "p_sig", "r_sig").distinct()
     whole = F.greatest("p_size", "r_size") if of_larger else F.col("p_size")
-    scored = (pairs.join(p.select("part", "p_rep", F.col("elements").alias("p_elements"), F.col("size").alias("p_size")), ["part", "p_rep"])
-              .join(r.select("part", "r_rep", "r_rep_copies", F.col("elements").alias("r_elements"), F.col("size").alias("r_size")), ["part", "r_rep"])
-              .select("part", "p_rep", "r_rep", "r_rep_copies", (F.size(F.array_intersect("p_elements", "r_elements")) / whole).alias("score"))
+    scored = (pairs.join(p.select("part", "p_sig", "p_elements", "p_size"), ["part", "p_sig"])
+              .join(r.select("part", "r_sig", "r_rep", "r_copies", "r_elements", "r_size"), ["part", "r_sig"])
+              .select("part", "p_sig", F.col("r_rep").alias("ref_id"), F.col("r_copies").alias("ref_id_copies"),
+                      (F.size(F.array_intersect("p_elements", "r_elements")) / whole).alias("score"))
               .where(F.col("score") >= min_share))
-    members = p_docs.join(p.select("part", "elements", "p_rep"), ["part", "elements"]).select("part", "probe_id", "p_rep")
-    return (scored.join(members, ["part", "p_rep"])
-            .select("part", "probe_id", F.col("r_rep").alias("ref_id"), F.col("r_rep_copies").alias("ref_id_copies"), "score"))
+    members = p_docs.select("part", "probe_id", F.col("sig").alias("p_sig"))
+    return scored.join(members, ["part", "p_sig"]).select("part", "probe_id", "ref_id", "ref_id_copies", "score")
 
 
 def best_match(pairs: DataFrame, keys: list[str] = ["part", "probe_id"]) -> DataFrame:
@@ -159,9 +168,9 @@ def gated_matches(probes: DataFrame, refs: DataFrame, ratio_floor: float = 0.8,
 
 def ref_members(refs: DataFrame) -> DataFrame:
     """(part, ref_id, member_id): every reference row under its representative."""
-    docs = bag_documents(refs, "ref_id", "words")
-    reps = fold_copies(docs, "ref_id", ["part", "elements"], "rep")
-    return docs.join(reps, ["part", "elements"]).select("part", F.col("rep").alias("ref_id"), F.col("ref_id").alias("member_id"))
+    docs = bag_documents(refs, "ref_id", "words").select("part", "sig", "ref_id")
+    reps = docs.groupBy("part", "sig").agg(F.min("ref_id").alias("rep"))
+    return docs.join(reps, ["part", "sig"]).select("part", F.col("rep").alias("ref_id"), F.col("ref_id").alias("member_id"))
 
 
 def ngrams(words: Column, n: int = 4) -> Column:
