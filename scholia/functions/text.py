@@ -13,6 +13,8 @@ from scholia import fixed_values as V
 # Not preceded / not followed by a letter, digit or underscore of any script.
 WORD_START = "(?<![\\p{L}\\p{N}_])"
 WORD_END = "(?![\\p{L}\\p{N}_])"
+# Length for "all the rest" of an array; small enough that start + length stays an int.
+REST = 1 << 30
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -250,7 +252,7 @@ def has_list(text: Column, numbered: bool = False) -> Column:
 def segment_blocks(text: Column, marker: str) -> Column:
     """Blocks of a long text, one behind each marker; what precedes the first marker is dropped."""
     parts = F.split(text, marker)
-    return F.slice(parts, 2, 2147483647)
+    return F.slice(parts, 2, REST)
 
 
 def answer_key(text: Column, number_letter: str = "([0-9]{1,3})\\.\\s+(?:Answer\\s*[=:]\\s*)?([A-C])\\b") -> Column:

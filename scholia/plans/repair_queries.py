@@ -154,8 +154,8 @@ def verified_corrections(t: Tables):
 _W4 = lambda c: f"list_distinct({Q.words(c, '[a-z]{4,}')})"
 
 
-@query("R9", f"""WITH {_CORR}, k AS (SELECT id, field, verdict, len(list_intersect({_W4('original')}, {_W4('new_value')}))::DOUBLE / greatest(CASE WHEN verdict = 'option_bleed' THEN len({_W4('new_value')}) ELSE len({_W4('original')}) END, 1) AS kept FROM corr)
-SELECT *, (verdict = 'option_bleed' AND kept < 0.8) OR (verdict = 'formatting_missing' AND kept < 0.5) AS flagged FROM k""")
+@query("R9", f"""WITH {_CORR}, kept AS (SELECT id, field, verdict, len(list_intersect({_W4('original')}, {_W4('new_value')}))::DOUBLE / greatest(CASE WHEN verdict = 'option_bleed' THEN len({_W4('new_value')}) ELSE len({_W4('original')}) END, 1) AS kept FROM corr)
+SELECT *, (verdict = 'option_bleed' AND kept < 0.8) OR (verdict = 'formatting_missing' AND kept < 0.5) AS flagged FROM kept""")
 def implausible_corrections(t: Tables):
     return R.implausible_corrections(_verdicts(t))
 
@@ -371,7 +371,7 @@ def study_sections(t: Tables):
     from scholia.sources.readers import note_sections
     s = X.sentences(F.col("text"))
     notes = t.raw("documents").select("doc_id", F.col("source").alias("topic"), F.get(s, F.lit(0)).alias("overview"),
-                                      F.transform(F.slice(s, 2, 2147483647), lambda x, i: F.struct(
+                                      F.transform(F.slice(s, 2, X.REST), lambda x, i: F.struct(
                                           F.when(i % 2 == 0, x).alias("content"), F.when(i % 2 == 1, x).alias("body"))).alias("sections"))
     return note_sections(notes, "src3").select("doc_id", F.md5("overview").alias("overview"), "section_no", F.md5("text").alias("body"))
 

@@ -90,14 +90,14 @@ class Tables:
                 .when(F.col("doc_id") % 7 == 4, F.concat(F.lit("It does not follow. "), right, F.lit(" ")))
                 .otherwise(F.lit("")))
         part = lambda i: F.coalesce(F.get("sentences", F.lit(i)), F.lit(""))
-        return (docs.join(labels, "doc_id", "left")
-                .withColumn("sentences", X.sentences(F.col("text")))
-                .select("doc_id", "topic", "quality", "text", part(0).alias("stem"), part(1).alias("option_a"),
-                        part(2).alias("option_b"), part(3).alias("option_c"),
-                        F.array_join(F.slice("sentences", 5, 2147483647), " ").alias("rest"))
-                .withColumn("explanation", F.concat(lead, F.col("rest")))
-                .withColumn("stored", stored)
-                .drop("rest"))
+        cut = (docs.join(labels, "doc_id", "left")
+               .withColumn("sentences", X.sentences(F.col("text")))
+               .select("doc_id", "topic", "quality", "text", part(0).alias("stem"), part(1).alias("option_a"),
+                       part(2).alias("option_b"), part(3).alias("option_c"),
+                       F.array_join(F.slice("sentences", 5, X.REST), " ").alias("rest")))
+        # `inline` keeps later filters on the cut fields from being pushed into, and repeated inside, the cutting.
+        fields = F.struct("stem", "option_a", "option_b", "option_c", F.concat(lead, F.col("rest")).alias("explanation"), stored.alias("stored"))
+        return cut.select("doc_id", "topic", "quality", "text", F.inline(F.array(fields)))
 
     def labelled(self) -> DataFrame:
         """Items with a label: the reference corpus."""
