@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from scholia import fixed_values as V
 from scholia.functions.scalars import add_days
@@ -87,24 +89,67 @@ def first_headings(df: DataFrame, group: str, position: str, heading: str) -> Da
             .withColumn(heading, F.when(F.col("_first"), F.col(heading))).drop("_first"))
 
 
-def section_starts(pages: DataFrame, file: str, page: str, lowest: str, highest: str, drop: int = 3) -> DataFrame:
-    """Section number per page: a new one starts where the page's lowest number <= running maximum - `drop`.
+def section_starts(pages: DataFrame, file: str, page: str, lowest: str, highest: str, drop: int = 3, span: int = 10000) -> DataFrame:
+    """First pages of the sections of each file (-1 for the first section): a new one starts where the page's lowest number
+    is at most the running maximum - `drop`.
 
-    The maximum restarts with each section, so this is a fold, not a window. Items are already reduced to one row of three
-    integers per page; the fold runs per file over those.
+    The maximum restarts with each section, so this is a fold in page order. Files are cut into spans of pages. A span's effect
+    depends on the incoming maximum only up to its first restart, so each span is summed up as a short table (incoming maximum
+    -> outgoing maximum); those tables are chained per file, and the spans are folded again with their true start.
     """
-    ordered = F.array_sort(F.collect_list(F.struct(page, lowest, highest)))
-    step = lambda acc, p: F.struct(
-        F.when((acc["top"] > 0) & (p[lowest] <= acc["top"] - drop), p[highest])
-        .otherwise(F.greatest(acc["top"], p[highest])).alias("top"),
-        F.when((acc["top"] > 0) & (p[lowest] <= acc["top"] - drop), acc["section"] + 1).otherwise(acc["section"]).alias("section"),
-        F.concat(acc["starts"], F.when((acc["top"] > 0) & (p[lowest] <= acc["top"] - drop), F.array(p[page].cast("bigint")))
-                 .otherwise(F.array().cast("array<bigint>"))).alias("starts"))
-    start = F.struct(F.lit(0).cast("bigint").alias("top"), F.lit(0).alias("section"),
-                     F.array().cast("array<bigint>").alias("starts"))
-    sized = pages.select(file, page, F.col(lowest).cast("bigint").alias(lowest), F.col(highest).cast("bigint").alias(highest))
-    return (sized.groupBy(file).agg(F.aggregate(ordered, start, step).alias("fold"))
-            .select(file, F.explode(F.concat(F.array(F.lit(-1).cast("bigint")), F.col("fold.starts"))).alias("start_page")))
+    rows = pages.select(F.col(file).alias("file"), F.col(page).cast("bigint").alias("page"), F.col(lowest).cast("bigint").alias("low"),
+                        F.col(highest).cast("bigint").alias("high")).withColumn("span_no", F.floor(F.col("page") / span))
+    file_type = rows.schema["file"].dataType
+
+    def fold(lows, highs, top: int, begin: int = 0) -> tuple[int, list[int]]:
+        starts = []
+        for i in range(begin, len(lows)):
+            if top and lows[i] <= top - drop:
+                starts.append(i)
+                top = highs[i]
+            else:
+                top = max(top, highs[i])
+        return top, starts
+
+    def summarise(key: tuple, chunk: pd.DataFrame) -> pd.DataFrame:
+        chunk = chunk.sort_values("page")
+        lows, highs = chunk["low"].tolist(), chunk["high"].tolist()
+        # From which incoming maximum on does the span first restart at page i? Only record lows before the own first restart matter.
+        table, top, record = [], 0, None
+        for i, low in enumerate(lows):
+            own = bool(top) and low <= top - drop
+            if record is None or low < record or own:
+                out, _ = fold(lows, highs, highs[i], i + 1)
+                table.append((*key, 0 if own else low + drop, out, False))
+                record = low
+            if own:
+                break
+            top = max(top, highs[i])
+        else:
+            table.append((*key, 0, top, True))
+        return pd.DataFrame(table, columns=["file", "span_no", "from_top", "out_top", "keeps"])
+
+    def chain(key: tuple, spans: pd.DataFrame) -> pd.DataFrame:
+        top, out = 0, []
+        for number, table in spans.sort_values("span_no").groupby("span_no", sort=True):
+            out.append((key[0], number, top))
+            # The first restart is the earliest page whose bound the incoming maximum reaches: rows come in page order.
+            hit = next(r for r in table.sort_values("from_top", ascending=False, kind="stable").itertuples() if top >= max(r.from_top, 1) or r.from_top == 0)
+            top = max(top, hit.out_top) if hit.keeps else hit.out_top
+        return pd.DataFrame(out, columns=["file", "span_no", "in_top"])
+
+    def locate(key: tuple, chunk: pd.DataFrame) -> pd.DataFrame:
+        chunk = chunk.sort_values("page")
+        _, starts = fold(chunk["low"].tolist(), chunk["high"].tolist(), int(chunk["in_top"].iloc[0]))
+        return pd.DataFrame({"file": [key[0]] * len(starts), "start_page": chunk["page"].iloc[starts].tolist()})
+
+    fields = lambda *names: T.StructType([T.StructField("file", file_type), *[T.StructField(n, T.LongType()) for n in names]])
+    summary = rows.groupBy("file", "span_no").applyInPandas(
+        summarise, T.StructType([*fields("span_no", "from_top", "out_top").fields, T.StructField("keeps", T.BooleanType())]))
+    incoming = summary.groupBy("file").applyInPandas(chain, fields("span_no", "in_top"))
+    found = rows.join(incoming, ["file", "span_no"]).groupBy("file", "span_no").applyInPandas(locate, fields("start_page"))
+    first = rows.select("file").distinct().withColumn("start_page", F.lit(-1).cast("bigint"))
+    return first.unionByName(found).withColumnRenamed("file", file)
 
 
 def numbered_batches(df: DataFrame, order: list[str], size: int, partitions: int | None = None) -> DataFrame:

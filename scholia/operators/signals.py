@@ -351,16 +351,17 @@ def proximity_score(text: Column, option: Column, cues: list[str], window: int =
         start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("score"))
         return F.aggregate(pieces, start, lambda acc, p: F.struct(
             (acc["at"] + step(p)).alias("at"),
-            (acc["score"] + F.when(is_hit(p), near(acc["at"] + lead(p))).otherwise(0)).alias("score")))["score"]
+            (acc["score"] + F.when(is_hit(acc["at"]), near(acc["at"] + lead(p))).otherwise(0)).alias("score")))["score"]
 
     def score(s: Column) -> Column:
         low, opening = s["low"], s["opening"]
         ahead = F.split(low, F.concat(F.lit("(?=\\Q"), opening, F.lit("\\E)")))
-        whole = walk(low, ahead, lambda p: p.startswith(opening), lambda p: F.lit(0), F.length)
+        # Every cut lies before an occurrence; what precedes the first one is no hit.
+        whole = walk(low, ahead, lambda at: (at > 0) | low.startswith(opening), lambda p: F.lit(0), F.length)
 
         def by_word(word: Column) -> Column:
             gaps = F.split(low, word)  # words are a-z only
-            return walk(low, F.slice(gaps, F.lit(1), F.size(gaps) - 1), lambda p: F.lit(True), F.length,
+            return walk(low, F.slice(gaps, F.lit(1), F.size(gaps) - 1), lambda at: F.lit(True), F.length,
                         lambda p: F.length(p) + F.length(word))
 
         single = F.aggregate(s["words"], F.lit(0), lambda total, w: total + by_word(w))

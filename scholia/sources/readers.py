@@ -14,7 +14,7 @@ MARKER_TYPES = ["questions", "answers"]
 def read_dump(spark: SparkSession, path: str, schema: T.StructType, source: str | None = None) -> DataFrame:
     """JSON arrays (a byte order mark is fine), malformed records in `_corrupt_record`, optionally one source only."""
     wide = T.StructType([*schema.fields, T.StructField("_corrupt_record", T.StringType())])
-    df = spark.read.schema(wide).json(path, multiLine=True, mode="PERMISSIVE", encoding="UTF-8")
+    df = spark.read.schema(wide).json(path, multiLine=True, mode="PERMISSIVE")
     return df if source is None else df.where(F.col("source") == source)
 
 
