@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 
 from scholia import fixed_values as V
 from scholia.functions.scalars import add_days
-from scholia.session import reliable_checkpoint
+from scholia.session import stage_table
 
 
 def latest_per_key(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -156,10 +156,10 @@ def numbered_batches(df: DataFrame, order: list[str], size: int, partitions: int
     """Global row number and fixed-size batch number in the given order.
 
     Rows are range-partitioned, numbered inside each partition and shifted by the sizes of the partitions before; only
-    those sizes pass through a single task. The ranged rows are checkpointed so that numbering and sizes see one layout.
+    those sizes pass through a single task. The ranged rows are written once so that numbering and sizes see one layout.
     """
     n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = reliable_checkpoint(df.repartitionByRange(n, *order).withColumn("_part", F.spark_partition_id()))
+    ranged = stage_table(df.repartitionByRange(n, *order).withColumn("_part", F.spark_partition_id()))
     sizes = ranged.groupBy("_part").agg(F.count("*").alias("_size"))
     ahead = Window.partitionBy(F.lit(1)).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select("_part", F.coalesce(F.sum("_size").over(ahead), F.lit(0)).alias("_offset"))

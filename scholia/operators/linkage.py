@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from scholia import fixed_values as V
 from scholia.functions import similarity as Sim
 from scholia.functions import text as X
-from scholia.session import reliable_checkpoint
+from scholia.session import stage_table
 
 SLICE_ROWS = 100_000
 
@@ -25,28 +25,38 @@ def fold_copies(df: DataFrame, id_name: str, content: list[str], out: str) -> Da
     return df.groupBy(*content).agg(F.min(id_name).alias(out), F.count("*").alias(f"{out}_copies"))
 
 
+def with_ref_counts(probes: DataFrame, ref_counts: DataFrame, keys: list[str]) -> DataFrame:
+    """Probe rows whose key some reference has, with the number n of such references."""
+    return probes.join(ref_counts, keys)
+
+
 def sliced_join(probes: DataFrame, refs: DataFrame, keys: list[str], ref_id: str, ref_counts: DataFrame,
                 slice_rows: int = SLICE_ROWS) -> DataFrame:
     """Inner equi-join on `keys` in which every key with more than `slice_rows` reference rows is cut into slices.
 
-    `ref_counts` holds (keys, n). Reference rows of a frequent key go to a slice by their id, probe rows to all of its slices.
+    `ref_counts` holds (keys, n) and the probe rows carry their n. Reference rows of a frequent key go to a slice by their id,
+    probe rows to all of its slices.
     """
-    hot = ref_counts.where(F.col("n") > slice_rows).select(*keys, F.ceil(F.col("n") / slice_rows).cast("int").alias("_slices"))
-    slices = F.coalesce("_slices", F.lit(1))
-    left = probes.join(hot, keys, "left").withColumn("_slice", F.explode(F.sequence(F.lit(0), slices - 1))).drop("_slices")
-    right = refs.join(hot, keys, "left").withColumn("_slice", F.pmod(F.xxhash64(ref_id), slices).cast("int")).drop("_slices")
+    slices = lambda n: F.ceil(n / slice_rows).cast("int")
+    hot = ref_counts.where(F.col("n") > slice_rows).select(*keys, slices(F.col("n")).alias("_slices"))
+    left = probes.withColumn("_slice", F.explode(F.sequence(F.lit(0), slices(F.col("n")) - 1))).drop("n")
+    right = (refs.join(hot, keys, "left")
+             .withColumn("_slice", F.when(F.col("_slices").isNull(), 0).otherwise(F.pmod(F.xxhash64(ref_id), F.col("_slices")).cast("int"))).drop("_slices"))
     return left.join(right, [*keys, "_slice"]).drop("_slice")
 
 
 def bag_documents(df: DataFrame, id_name: str, words: str, repeats: bool = True) -> DataFrame:
-    """(part, id, elements, sig): a bag as a set. The k-th occurrence of a word is the element "word#k", so the size of the
+    """(part, id, elements, sig): a bag as a set. The k-th further occurrence of a word is the element "word#k", so the size of the
     intersection of two such sets is the sum of the smaller counts. Without `repeats`, plain distinct words. `sig` is a digest."""
     if not repeats:
         bags = df.select("part", id_name, F.array_sort(F.array_distinct(words)).alias("elements")).where(F.size("elements") > 0)
     else:
-        rows = df.select("part", id_name, F.explode(words).alias("word"))
+        # Partitioned by document first: counting and collecting its words then need no further shuffle.
+        placed = df.select("part", id_name, words).repartition("part", id_name)
+        rows = placed.select("part", id_name, F.explode(words).alias("word"))
         counted = rows.groupBy("part", id_name, "word").agg(F.count("*").cast("int").alias("n"))
-        each = F.transform(F.sequence(F.lit(1), F.col("n")), lambda k: F.concat_ws("#", "word", k.cast("string")))
+        again = F.transform(F.sequence(F.lit(2), F.col("n")), lambda k: F.concat_ws("#", "word", k.cast("string")))
+        each = F.when(F.col("n") == 1, F.array("word")).otherwise(F.concat(F.array("word"), again))
         bags = counted.groupBy("part", id_name).agg(F.array_sort(F.flatten(F.collect_list(each))).alias("elements"))
     return bags.withColumn("sig", F.md5(F.array_join("elements", " ")))
 
@@ -65,29 +75,35 @@ def overlap_pairs(probes: DataFrame, refs: DataFrame, min_share: float, of_large
     Takes (part, probe_id, words) and (part, ref_id, words); gives part, probe_id, ref_id, ref_id_copies, score. The score is
     the overlap over the probe's size, or over the larger side with `of_larger`.
 
-    Candidates come from prefix filtering: with elements ordered from rare to frequent, a pair that overlaps enough must meet
-    in the first (size - needed + 1) elements of the probe, so frequent words are hardly ever joined on. Every candidate is
-    scored on the full bags, and no pair above the share is lost.
+    Candidates come from prefix filtering: with elements ordered from rare to frequent, a pair that shares `needed` elements
+    must share k of them within the first (size - needed + k), so the most frequent words are not joined on. k is a tenth of
+    `needed`: a slightly longer head, and far fewer chance candidates. Every candidate is scored on the full bags, and no pair
+    above the share is lost.
     """
-    p_docs, r_docs = bag_documents(probes, "probe_id", "words", repeats), bag_documents(refs, "ref_id", "words", repeats)
+    # Both are read several times below, so they are written once.
+    p_docs = stage_table(bag_documents(probes, "probe_id", "words", repeats))
+    r_docs = stage_table(bag_documents(refs, "ref_id", "words", repeats))
     p, r = fold_bags(p_docs, "probe_id", "p"), fold_bags(r_docs, "ref_id", "r")
     rows = lambda d, side: d.select("part", f"{side}_sig", f"{side}_size", F.explode(f"{side}_elements").alias("element"))
     r_rows = rows(r, "r")
     counts = r_rows.groupBy("part", "element").agg(F.count("*").alias("n"))
     needed = lambda size: F.greatest(F.ceil(F.lit(min_share) * size - 1e-9), F.lit(1))
+    meets = lambda size: F.ceil(needed(size) / 10)
 
-    def heads(elements: DataFrame, side: str) -> DataFrame:
+    def heads(elements: DataFrame, side: str, drop: list[str]) -> DataFrame:
         order = Window.partitionBy("part", f"{side}_sig").orderBy(F.coalesce("n", F.lit(0)), "element")
         size = F.col(f"{side}_size")
         return (elements.join(counts, ["part", "element"], "left").withColumn("_at", F.row_number().over(order))
-                .where((F.col("_at") <= size - needed(size) + 1) & F.col("n").isNotNull()).drop("_at", "n"))
+                .where((F.col("_at") <= size - needed(size) + meets(size)) & F.col("n").isNotNull()).drop("_at", *drop))
 
-    p_heads = heads(rows(p, "p"), "p")
-    r_keys = heads(r_rows, "r") if of_larger else r_rows
+    p_heads = heads(rows(p, "p"), "p", [])
+    r_keys = heads(r_rows, "r", ["n"]) if of_larger else r_rows
     pairs = sliced_join(p_heads, r_keys, ["part", "element"], "r_sig", counts, slice_rows)
     if of_larger:
         pairs = pairs.where((F.col("r_size") >= min_share * F.col("p_size") - 1e-9) & (F.col("p_size") >= min_share * F.col("r_size") - 1e-9))
-    pairs = pairs.select("part", "p_sig", "r_sig").distinct()
+    least = F.least(meets(F.col("p_size")), meets(F.col("r_size"))) if of_larger else meets(F.col("p_size"))
+    pairs = (pairs.groupBy("part", "p_sig", "r_sig", "p_size", *(["r_size"] if of_larger else [])).agg(F.count("*").alias("_met"))
+             .where(F.col("_met") >= least).select("part", "p_sig", "r_sig"))
     whole = F.greatest("p_size", "r_size") if of_larger else F.col("p_size")
     scored = (pairs.join(p.select("part", "p_sig", "p_elements", "p_size"), ["part", "p_sig"])
               .join(r.select("part", "r_sig", "r_rep", "r_copies", "r_elements", "r_size"), ["part", "r_sig"])
@@ -141,7 +157,7 @@ def gated_matches(probes: DataFrame, refs: DataFrame, ratio_floor: float = 0.8,
     long_enough = probes.where(F.size("words") >= min_words)
     found, left = None, long_enough
     for share in GATE_SHARES:
-        pairs = reliable_checkpoint(overlap_pairs(left, refs, share))  # read by this stage and, through the rest, by the next
+        pairs = stage_table(overlap_pairs(left, refs, share))  # read by this stage and, through the rest, by the next
         top = pairs.groupBy("part", "probe_id").agg(F.max("score").alias("top"))
         # All candidates within `near_top` of the best are there once the best reaches share / near_top.
         top = top.where(F.col("top") >= share / near_top)
@@ -191,7 +207,7 @@ def gram_candidates(probes: DataFrame, refs: DataFrame, n: int = 4, top: int | N
     r = fold_copies(form(refs), "ref_id", ["form"], "r_rep")
     p_grams, r_grams = grams(p, "p_rep").select("p_rep", "gram"), grams(r, "r_rep").select("r_rep", "gram")
     counts = r_grams.groupBy("gram").agg(F.count("*").alias("n"))
-    shared = (sliced_join(p_grams, r_grams, ["gram"], "r_rep", counts, slice_rows)
+    shared = (sliced_join(with_ref_counts(p_grams, counts, ["gram"]), r_grams, ["gram"], "r_rep", counts, slice_rows)
               .groupBy("p_rep", "r_rep").agg(F.count("*").alias("shared")))
     if top is not None:
         order = Window.partitionBy("p_rep").orderBy(F.col("shared").desc(), "r_rep")
@@ -236,8 +252,8 @@ def fuzzy_matches(probes: DataFrame, refs: DataFrame, threshold: float = 0.82, m
     short_windows = F.when(F.length("form") <= math.ceil(20 * (2 - threshold) / threshold), F.flatten(F.array(*[runs(n) for n in lengths])))
     p_open = keyed(p, "p_rep", F.explode(F.array_distinct(F.concat(windows, F.coalesce(short_windows, F.array().cast("array<string>"))))))
     r_open, r_head = keyed(r, "r_rep", F.explode(windows)), keyed(r, "r_rep", head)
-    gated = (sliced_join(keyed(p, "p_rep", head), r_open, ["key"], "r_rep", counts(r_open)).select("p_rep", "r_rep")
-             .union(sliced_join(p_open, r_head, ["key"], "r_rep", counts(r_head)).select("p_rep", "r_rep")))
+    meet = lambda a, b: sliced_join(with_ref_counts(a, counts(b), ["key"]), b, ["key"], "r_rep", counts(b)).select("p_rep", "r_rep")
+    gated = meet(keyed(p, "p_rep", head), r_open).union(meet(p_open, r_head))
     pairs = (gated.distinct().join(p.select("p_rep", F.col("form").alias("p_form")), "p_rep")
              .join(r.select("r_rep", F.col("form").alias("r_form"), "r_rep_copies"), "r_rep"))
     same = F.substring("p_form", 1, 60) == F.substring("r_form", 1, 60)
@@ -320,7 +336,7 @@ def containment_pairs(needles: DataFrame, texts: DataFrame, slice_rows: int = SL
         # A key that no text has settles the needle: it occurs nowhere.
         rated = n_keys.join(counts, ["part", "key"], "left").groupBy("part", "needle_id").agg(
             F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "key")).alias("rare"))
-        rare = rated.where(F.col("rare.n") > 0).select("part", "needle_id", F.col("rare.key").alias("key"))
+        rare = rated.where(F.col("rare.n") > 0).select("part", "needle_id", "rare.key", "rare.n")
         return sliced_join(rare, t_keys, ["part", "key"], "text_id", counts, slice_rows).select("part", "needle_id", "text_id")
 
     by_word = look_up(n.where(F.size("_inner") > 0), F.col("_inner"), F.array_distinct(all_words(F.col("text"))))

@@ -72,9 +72,10 @@ def passage_matches(t: Tables):
     return L.bag_matches(probes, refs).select("probe_id", F.coalesce("ref_id", F.lit(-1)).alias("ref_id"), F.coalesce("score", F.lit(0.0)).alias("score"), "status")
 
 
-def _item_bags(items, id_name: str):
-    """Whole item texts by topic."""
-    return items.select(F.col("topic").alias("part"), F.col("doc_id").alias(id_name), X.bag_words(F.col("text")).alias("words"))
+def _record_bags(t: Tables, labelled: bool, id_name: str):
+    """Whole texts by topic, with or without a label."""
+    rows = t.records().where(F.col("quality").isNotNull() if labelled else F.col("quality").isNull())
+    return rows.select(F.col("topic").alias("part"), F.col("doc_id").alias(id_name), X.bag_words(F.col("text")).alias("words"))
 
 
 _ITEM_BAG = ("lab AS (SELECT d.*, quality FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id), "
@@ -84,7 +85,7 @@ _ITEM_BAG = ("lab AS (SELECT d.*, quality FROM documents d LEFT JOIN labels l ON
 
 @query("J7", f"WITH {_ITEM_BAG} SELECT doc_id AS probe_id, source AS part, coalesce(ref_id, -1) AS ref_id, coalesce(score, 0.0) AS score, CASE WHEN ref_id IS NULL THEN 'no_match' ELSE 'matched' END AS status FROM lab LEFT JOIN bag ON probe_id = doc_id WHERE quality IS NULL")
 def item_matches_in_topic(t: Tables):
-    return (L.bag_matches(_item_bags(t.unlabelled(), "probe_id"), _item_bags(t.labelled(), "ref_id"))
+    return (L.bag_matches(_record_bags(t, False, "probe_id"), _record_bags(t, True, "ref_id"))
             .select("probe_id", "part", F.coalesce("ref_id", F.lit(-1)).alias("ref_id"), F.coalesce("score", F.lit(0.0)).alias("score"), "status"))
 
 
@@ -96,7 +97,7 @@ _RETRY = (_ITEM_BAG + """, pw2 AS MATERIALIZED (SELECT id, w, n FROM pw WHERE id
 
 @query("J18", f"WITH {_RETRY} SELECT doc_id AS probe_id, coalesce(b.ref_id, c.ref_id, -1) AS ref_id, coalesce(b.score, c.score, 0.0) AS score, CASE WHEN b.ref_id IS NULL THEN 2 ELSE 1 END AS round FROM lab LEFT JOIN bag b ON b.probe_id = doc_id LEFT JOIN bag2 c ON c.probe_id = doc_id WHERE quality IS NULL")
 def retried_item_matches(t: Tables):
-    p, r = _item_bags(t.unlabelled(), "probe_id"), _item_bags(t.labelled(), "ref_id")
+    p, r = _record_bags(t, False, "probe_id"), _record_bags(t, True, "ref_id")
     return (L.retry_matches(L.bag_matches(p, r), p, r)
             .select("probe_id", F.coalesce("ref_id", F.lit(-1)).alias("ref_id"), F.coalesce("score", F.lit(0.0)).alias("score"), "round"))
 

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scholia.functions import text as X
+from scholia.session import spread_if_small
 
 ANCHOR = dt.datetime(2024, 1, 20, 12, 0, 0)
 ANCHOR_DAY = ANCHOR.date()
@@ -20,6 +21,8 @@ WEIGHTS = {t: f"{0.02 * (1 + i % 4):.2f}" for i, t in enumerate(TOPICS)}
 QUOTAS = {t: 6 + 2 * (i % 4) for i, t in enumerate(TOPICS)}
 HIDDEN_TYPES = ["error"]
 CORRECT_BELOW = 35.0
+# Tables with much work per row.
+TEXT_TABLES = ("documents", "pages")
 
 
 class Tables:
@@ -29,7 +32,8 @@ class Tables:
         self.spark, self.folder = spark, folder
 
     def raw(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        table = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        return spread_if_small(table) if name in TEXT_TABLES else table
 
     def attempts(self) -> DataFrame:
         return self.raw("events").select(
@@ -99,6 +103,11 @@ class Tables:
         fields = F.struct("stem", "option_a", "option_b", "option_c", F.concat(lead, F.col("rest")).alias("explanation"), stored.alias("stored"))
         return cut.select("doc_id", "topic", "quality", "text", F.inline(F.array(fields)))
 
+    def records(self) -> DataFrame:
+        """Whole documents with their label, if any."""
+        docs = self.raw("documents").select("doc_id", F.col("source").alias("topic"), "text")
+        return docs.join(self.raw("labels").select("doc_id", "quality"), "doc_id", "left")
+
     def labelled(self) -> DataFrame:
         """Items with a label: the reference corpus."""
         return self.items().where(F.col("quality").isNotNull())

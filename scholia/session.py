@@ -1,8 +1,9 @@
-"""Session settings and the shared checkpoint folder."""
+"""Session settings, stage tables in the shared folder, and spreading of small inputs."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -29,21 +30,31 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, **extra: str) -
     return spark
 
 
-def reliable_checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage of `df` in the folder that `spark.checkpoint.dir` names.
+def working_folder(spark: SparkSession, kind: str = "stage") -> str:
+    """A fresh folder under `spark.checkpoint.dir`. Only a local session without the setting gets one of its own; a cluster
+    without it is refused, since a driver-local path would not be shared."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if root:
+        return f"{root.rstrip('/')}/{kind}-{uuid.uuid4().hex}"
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a shared folder")
+    return tempfile.mkdtemp(prefix="run-", dir="/tmp") + f"/{kind}"
+
 
-    The files outlive the executors that wrote them. Only a local session without the setting gets
-    a folder of its own; a cluster without it is refused, since a driver-local path would not be shared.
+def stage_table(df: DataFrame) -> DataFrame:
+    """Write `df` once to the shared folder and go on from the files.
+
+    This cuts the lineage, survives lost executors and gives later joins real sizes and column pruning.
     """
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        if not sc._jsc.sc().getCheckpointDir().isDefined():
-            sc.setCheckpointDir(configured)
-    elif sc.master.startswith("local"):
-        if not sc._jsc.sc().getCheckpointDir().isDefined():
-            sc.setCheckpointDir(tempfile.mkdtemp(prefix="run-", dir="/tmp"))
-    else:
-        raise ValueError("set spark.checkpoint.dir to a shared folder")
-    return df.checkpoint(eager=True)
+    folder = working_folder(df.sparkSession)
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
+def spread_if_small(df: DataFrame, small: int = 256 * 1024 * 1024) -> DataFrame:
+    """Use all cores for a table that is too small to be read in many splits.
+
+    Only a table whose files are known to be small is redistributed; a large one keeps its splits, without a shuffle.
+    """
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size <= small else df

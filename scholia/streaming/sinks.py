@@ -2,24 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from scholia.operators.history import latest_per_key
-
-
-def working_folder(spark: SparkSession) -> str:
-    """A fresh folder under `spark.checkpoint.dir`; only a local session without the setting gets one of its own."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if root:
-        return f"{root.rstrip('/')}/stream-{uuid.uuid4().hex}"
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a shared folder")
-    return tempfile.mkdtemp(prefix="run-", dir="/tmp")
+from scholia.session import working_folder  # noqa: F401
 
 
 def write_changes(stream: DataFrame, folder: str, mode: str = "update", available_now: bool = True) -> StreamingQuery:
