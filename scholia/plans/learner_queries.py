@@ -82,16 +82,11 @@ _ANSWERS = SESSIONS + """, answers AS (
 
 def _answers(t: Tables):
     """Answers of a session: an answer given within two seconds counts as left blank."""
-    from pyspark.sql import Window
-    a = t.attempts()
     day = F.to_date("attempted_at")
-    place = Window.partitionBy("user_id", "day", "session_type").orderBy("attempted_at", "attempt_id")
-    return (a.withColumn("day", day)
-            .select("attempt_id", "user_id", F.concat(F.lit("src"), (F.col("question_id") % 20).cast("string")).alias("topic"),
-                    F.col("is_correct").alias("correct"), "time_spent_sec", "session_type", "day", "attempted_at",
-                    (F.col("time_spent_sec") > 2).alias("answered"),
-                    F.concat_ws("-", F.col("user_id").cast("string"), F.date_format("day", "yyyyMMdd"), "session_type").alias("session_id"))
-            .withColumn("position", F.row_number().over(place) - 1))
+    return t.attempts().select(
+        "attempt_id", F.concat(F.lit("src"), (F.col("question_id") % 20).cast("string")).alias("topic"), F.col("is_correct").alias("correct"),
+        "time_spent_sec", "session_type", (F.col("time_spent_sec") > 2).alias("answered"),
+        F.concat_ws("-", F.col("user_id").cast("string"), F.date_format(day, "yyyyMMdd"), "session_type").alias("session_id"))
 
 
 @query("A4", f"""WITH {_ANSWERS}
@@ -99,7 +94,7 @@ SELECT session_id, topic, CAST(sum(CAST(correct AND answered AS INT)) AS BIGINT)
        round_even(100.0::DOUBLE * sum(CAST(correct AND answered AS INT)) / count(*), 1) AS pct
 FROM answers GROUP BY ALL""")
 def exam_scores_by_topic(t: Tables):
-    return P.topic_scores(_answers(t).drop("position"), "session_id", unanswered="wrong")
+    return P.topic_scores(_answers(t), "session_id", unanswered="wrong")
 
 
 @query("A4", f"""WITH {_ANSWERS}
@@ -131,9 +126,12 @@ SELECT session_id, max(h) AS half, count(*) FILTER (correct AND position < h) AS
        CASE WHEN max(h) = 0 THEN 0.0 ELSE round_even(100.0::DOUBLE * count(*) FILTER (correct AND position >= h) / max(h), 1) END AS second_pct
 FROM sized GROUP BY session_id""")
 def half_scores(t: Tables):
-    from pyspark.sql import Window
-    sized = _answers(t).withColumn("size", F.count("*").over(Window.partitionBy("user_id", "day", "session_type")))
-    return P.half_scores(sized, "session_id", "position", F.col("size"))
+    """Positions follow the attempt number, which grows with time; sizes come from a grouped count."""
+    from scholia.operators.linkage import position_in_group
+    rows = _answers(t).select("session_id", "attempt_id", "correct")
+    sizes = rows.groupBy("session_id").agg(F.count("*").alias("size"))
+    placed = position_in_group(rows, "session_id", "attempt_id", "place").join(sizes, "session_id")
+    return P.half_scores(placed.withColumn("position", F.col("place") - 1), "session_id", "position", F.col("size"))
 
 
 @query("A1", """SELECT CASE WHEN grouping(source) = 1 THEN 'All' ELSE coalesce(nullif(source, ''), 'Unknown') END AS source, count(*) AS n

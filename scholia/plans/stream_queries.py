@@ -28,7 +28,7 @@ def _run(t: Tables, stream: DataFrame, keys: list[str], mode: str = "update") ->
     return sinks.read_latest(t.spark, folder, keys)
 
 
-@query("ST1 D-r", f"WITH {PROGRESS} SELECT user_id, topic, total_attempted, total_correct, mastery_pct, last_attempted FROM progress")
+@query("ST1", f"WITH {PROGRESS} SELECT user_id, topic, total_attempted, total_correct, mastery_pct, last_attempted FROM progress")
 def streamed_progress(t: Tables):
     topics = t.bank().select("question_id", "topic")
     outcomes = _attempt_stream(t).join(topics, "question_id").select(

@@ -154,9 +154,9 @@ def module_topics(t: Tables):
 
 @query("X23", f"""WITH {ITEMS} SELECT doc_id, CASE WHEN length(l) > 120 THEN substr(l, 1, 120) || '…' ELSE l END AS line,
   'Q: ' || substr(stem, 1, 60) || '… | Expl: ' || substr(explanation, 1, 80) || '…' AS snippet
-FROM (SELECT i.doc_id, stem, explanation, {sql_strip("string_split(d.text, chr(10))[1]")} AS l FROM items i JOIN documents d ON d.doc_id = i.doc_id)""")
+FROM (SELECT doc_id, stem, explanation, {sql_strip("string_split(text, chr(10))[1]")} AS l FROM items)""")
 def previews(t: Tables):
-    return (t.items().join(_docs(t).select("doc_id", "text"), "doc_id")
+    return (t.items()
             .select("doc_id", X.first_line(F.col("text"), 120).alias("line"), X.snippet(F.col("stem"), F.col("explanation")).alias("snippet")))
 
 

@@ -11,10 +11,13 @@ from scholia.sources.schemas import ITEM
 MARKER_TYPES = ["questions", "answers"]
 
 
-def read_dump(spark: SparkSession, path: str, schema: T.StructType, source: str | None = None) -> DataFrame:
-    """JSON arrays (a byte order mark is fine), malformed records in `_corrupt_record`, optionally one source only."""
+def read_dump(spark: SparkSession, path: str, schema: T.StructType, source: str | None = None, array: bool = True) -> DataFrame:
+    """A question dump, malformed records in `_corrupt_record`, optionally one source only.
+
+    A JSON array (a byte order mark is fine) is read by one task per file; dumps with one object per line are split.
+    """
     wide = T.StructType([*schema.fields, T.StructField("_corrupt_record", T.StringType())])
-    df = spark.read.schema(wide).json(path, multiLine=True, mode="PERMISSIVE")
+    df = spark.read.schema(wide).json(path, multiLine=array, mode="PERMISSIVE")
     return df if source is None else df.where(F.col("source") == source)
 
 
