@@ -151,6 +151,7 @@ def bag_matches(probes: DataFrame, refs: DataFrame, accept: float = 0.5) -> Data
 
 def retry_matches(first: DataFrame, probes: DataFrame, refs: DataFrame, accept: float = 0.5) -> DataFrame:
     """Search the probes without a match again in all parts at once."""
+    first = stage_table(first)  # read for the probes to retry and for the result
     left = first.where(F.col("status") == "no_match").select("probe_id")
     everywhere = lambda d: d.withColumn("part", F.lit("*"))
     again = bag_matches(everywhere(probes.join(left, "probe_id", "left_semi")), everywhere(refs), accept)
@@ -301,15 +302,16 @@ def prefix_matches(probes: DataFrame, refs: DataFrame, tiers: list[int] = V.PREF
             .groupBy("probe_id", "_sets").agg(F.max_by(F.struct("tier", "key", "variants", "only"), F.col("tier")).alias("hit"))
             .select("probe_id", "_sets", "hit.*"))
     single = hits.where(F.col("variants") == 1).select("probe_id", "tier", F.col("only").alias("ref_id"))
-    many = hits.where(F.col("variants") > 1).select("probe_id", "tier", "key", F.col("_sets").alias("p_sets"))
-    cases = many.select("tier", "key", "p_sets").distinct()
+    many = hits.where(F.col("variants") > 1).select("probe_id", "tier", "key", F.col("_sets").alias("p_sets"), F.col("variants").alias("n"))
+    cases = many.select("tier", "key", "p_sets", "n").distinct()
     part = lambda c, i: F.filter(F.split(F.get(F.split(c, "\\|"), F.lit(i)), " "), lambda w: w != "")
 
     def similarity(i: int) -> Column:
         a, b = part(F.col("p_sets"), i), part(F.col("_sets"), i)
         return F.when((F.size(a) == 0) | (F.size(b) == 0), 0.0).otherwise(F.size(F.array_intersect(a, b)) / F.greatest(F.size(a), F.size(b)))
 
-    rated = cases.join(r_folded, ["tier", "key"]).withColumn("rate", (similarity(0) + similarity(1) + similarity(2)) / 3.0)
+    opened = sliced_join(cases, r_folded, ["tier", "key"], "ref_id", r_keys.select("tier", "key", F.col("variants").alias("n")))
+    rated = opened.withColumn("rate", (similarity(0) + similarity(1) + similarity(2)) / 3.0)
     chosen = rated.groupBy("tier", "key", "p_sets").agg(F.min_by("ref_id", F.struct(-F.col("rate"), "ref_id")).alias("ref_id"))
     return single.unionByName(many.join(chosen, ["tier", "key", "p_sets"]).select("probe_id", "tier", "ref_id"))
 
