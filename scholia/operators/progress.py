@@ -12,6 +12,16 @@ from scholia import fixed_values as V
 from scholia.functions.scalars import percentage
 
 
+def outcomes_by_question(attempts: DataFrame, topics: DataFrame) -> DataFrame:
+    """Outcomes (user_id, topic, correct, attempted, ts) of an attempt log, one row per user and question.
+
+    The log is reduced before it meets the bank, so the join moves a row per user and question, however often it was asked.
+    """
+    totals = attempts.groupBy("user_id", "question_id").agg(
+        F.sum(F.col("is_correct").cast("int")).alias("correct"), F.count("*").alias("attempted"), F.max("attempted_at").alias("ts"))
+    return totals.join(topics.select("question_id", "topic"), "question_id").select("user_id", "topic", "correct", "attempted", "ts")
+
+
 def progress(outcomes: DataFrame, by: list[str] = ["user_id", "topic"]) -> DataFrame:
     """Attempted, correct, mastery and last activity per key, from rows (keys, correct, attempted, ts)."""
     return (outcomes.groupBy(*by)

@@ -14,7 +14,7 @@ from scholia.plans.tables import (ANCHOR, ANCHOR_DAY, ATTEMPTS, HIDDEN_TYPES, MA
                                   REVIEWS, SESSIONS, TOPIC_LIST, TOPICS, WEIGHT_ROWS, WEIGHTS, Tables)
 
 def now():
-    return F.lit(ANCHOR).cast("timestamp_ntz")
+    return F.lit(str(ANCHOR)).cast("timestamp_ntz")
 
 
 def today():

@@ -394,4 +394,4 @@ def parsed_timestamps(t: Tables):
     text = F.date_format(F.col("ts"), "yyyy-MM-dd'T'HH:mm:ss")
     shape = (F.when(F.col("event_id") % 5 == 0, F.concat(text, F.lit("Z"))).when(F.col("event_id") % 5 == 1, F.concat(text, F.lit("+02:00")))
              .when(F.col("event_id") % 5 == 2, F.concat(text, F.lit("+00:00"))).when(F.col("event_id") % 5 == 3, text).otherwise(F.lit("soon")))
-    return t.raw("events").select("event_id", M.parse_timestamp(shape, F.lit(ANCHOR).cast("timestamp_ntz")).alias("parsed"))
+    return t.raw("events").select("event_id", M.parse_timestamp(shape, F.lit(str(ANCHOR)).cast("timestamp_ntz")).alias("parsed"))

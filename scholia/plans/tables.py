@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scholia.functions import text as X
+from scholia.operators.progress import outcomes_by_question
 from scholia.session import spread_if_small
 
 ANCHOR = dt.datetime(2024, 1, 20, 12, 0, 0)
@@ -51,11 +52,8 @@ class Tables:
             F.col("doc_id").alias("question_id"), F.col("source").alias("topic"), "lang", "text", "n_chars")
 
     def outcomes(self) -> DataFrame:
-        """One row per outcome that counts for progress: user, topic, correct, attempted, time."""
-        topics = self.bank().select("question_id", "topic")
-        return (self.attempts().join(topics, "question_id")
-                .select("attempt_id", "user_id", "topic", "question_id", F.col("is_correct").cast("int").alias("correct"),
-                        F.lit(1).alias("attempted"), F.col("attempted_at").alias("ts"), "time_spent_sec", "session_type"))
+        """What counts for progress: user, topic, correct, attempted, time."""
+        return outcomes_by_question(self.attempts(), self.bank())
 
     def sessions(self) -> DataFrame:
         day = F.to_date("attempted_at")

@@ -57,12 +57,15 @@ def review_box_stream(reviews: DataFrame, key_types: tuple[T.DataType, T.DataTyp
 
     def fold(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         box, right, wrong = state.get if state.exists else (1, 0, 0)
-        rows = pd.concat(list(chunks)).sort_values(["ts", "seq"])
-        new_right, new_wrong = int(rows["right"].sum()), int(rows["wrong"].sum())
-        for knew in rows["knew"].iloc[-tail:]:
+        parts = list(chunks)
+        rows = parts[0] if len(parts) == 1 else pd.concat(parts)
+        # Most cards have a row or two; plain lists are quicker than frames for those.
+        answers = sorted(zip(rows["ts"].tolist(), rows["seq"].tolist(), rows["knew"].tolist()))
+        new_right, new_wrong = sum(rows["right"].tolist()), sum(rows["wrong"].tolist())
+        for _, _, knew in answers[-tail:]:
             box = min(box + 1, top) if knew else 1
         state.update((box, right + new_right, wrong + new_wrong))
-        yield pd.DataFrame([(*key, box, right + new_right, wrong + new_wrong, int(rows["seq"].iloc[-1]))], columns=out.names)
+        yield pd.DataFrame([(*key, box, right + new_right, wrong + new_wrong, answers[-1][1])], columns=out.names)
 
     return (reviews.select(*keys, "knew", "ts", "seq").mapInPandas(newest, thin).groupBy(*keys)
             .applyInPandasWithState(fold, out, BOX_STATE, "update", GroupStateTimeout.NoTimeout))
@@ -92,7 +95,10 @@ CLOSED = T.StructType([T.StructField("session_id", T.StringType()), T.StructFiel
 
 
 def closed_session_stream(answers: DataFrame, seconds_per_question: int = V.SECONDS_PER_QUESTION, lateness: str = "0 seconds") -> DataFrame:
-    """Emit a session once the watermark passes its deadline. Takes (session_id, started_at, size, ts, correct), times as TIMESTAMP."""
+    """Emit a session once the watermark passes its deadline.
+
+    Takes (session_id, started_at, size, ts, correct), times as TIMESTAMP in a session whose time zone is UTC.
+    """
 
     def fold(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
