@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from scholia.functions import similarity as Sim
 from scholia.functions import text as X
+from scholia.session import stage_table
 
 KEEP_VERDICTS = ["ok", "unclear", "wrong_page"]
 
@@ -50,6 +51,7 @@ def contained_shares(df: DataFrame, keys: list[str], probe: str, ref: str, out:
 
     Words are exploded and counted per row, so long texts cost their length, not its square.
     """
+    df = stage_table(df)  # read for the words and again for the result
     tagged = lambda c, p, r: F.transform(X.bag_words(F.col(c)), lambda w: F.struct(w.alias("w"), F.lit(p).alias("p"), F.lit(r).alias("r")))
     per_word = (df.select(*keys, F.inline(F.concat(tagged(probe, 1, 0), tagged(ref, 0, 1))))
                 .groupBy(*keys, "w").agg(F.sum("p").alias("p"), F.sum("r").alias("r")))
