@@ -6,11 +6,11 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from scholia import fixed_values as V
 from scholia.functions import text as X
 
-MAX_LITERALS = 500
 
 
 def matching(df: DataFrame, **wanted: str | None) -> DataFrame:
@@ -31,11 +31,11 @@ def in_given_order(wanted: DataFrame, df: DataFrame, key: str, position: str = "
 
 
 def pick_ids(df: DataFrame, key: str, ids: list) -> DataFrame:
-    """Rows of a caller's id list, in list order. Short lists reach the scan as an IN filter."""
-    if len(ids) > MAX_LITERALS:
-        raise ValueError("pass long id lists as a DataFrame to in_given_order")
-    place = F.array_position(F.array(*[F.lit(i) for i in ids]), F.col(key))
-    return df.where(F.col(key).isin(ids)).withColumn("pos", place - 1).orderBy("pos")
+    """Rows of a caller's id list, in list order; an id that is listed again keeps its first place."""
+    places = {i: pos for pos, i in reversed(list(enumerate(ids)))}
+    wanted = df.sparkSession.createDataFrame([(i, pos) for i, pos in places.items()], T.StructType([
+        T.StructField(key, df.schema[key].dataType), T.StructField("pos", T.LongType())]))
+    return in_given_order(wanted, df, key)
 
 
 def _name_only(options: list[Column], pattern: str) -> Column:
@@ -102,8 +102,6 @@ def has_all_phrases(text: Column, phrases: list[str]) -> Column:
 
 def first_phrase(text: Column, phrases: list[str]) -> Column:
     """First listed phrase inside the text, or null. The list is compiled into the plan."""
-    if len(phrases) > MAX_LITERALS:
-        raise ValueError("join long phrase lists through operators.linkage.containment_pairs")
     low = F.lower(X.blank_if_null(text))
     hits = F.filter(F.array(*[F.lit(p) for p in phrases]), lambda p: F.contains(low, F.lower(p)))
     return F.get(hits, F.lit(0))

@@ -393,9 +393,9 @@ def resolve_by_key(left: DataFrame, right: DataFrame, left_text: str, right_text
 def pair_answers(questions: DataFrame, answers: DataFrame) -> DataFrame:
     """Answers for questions on (file, topic, number); failing that on (file, number) if that number has one answer only.
 
-    Answers are reduced to one row per number with a count before the second join.
+    Several answers for one (file, topic, number) count as their smallest; answers are reduced before both joins.
     """
-    exact = answers.select("file", "topic", "number", F.col("answer").alias("exact_answer"))
+    exact = answers.groupBy("file", "topic", "number").agg(F.min("answer").alias("exact_answer"))
     alone = (answers.groupBy("file", "number").agg(F.count("*").alias("_n"), F.min("answer").alias("only_answer"))
              .where(F.col("_n") == 1).drop("_n"))
     return (questions.join(exact, ["file", "topic", "number"], "left").join(alone, ["file", "number"], "left")
@@ -424,8 +424,6 @@ def align_by_position(left: DataFrame, right: DataFrame, group: str, order: str)
 
 def known_corrections(records: DataFrame, text: str, stored: str, patterns: list[tuple[str, str, str]], key: str) -> DataFrame:
     """Corrections from (pattern, stored letter, right letter): the first record per pattern, if its stored letter is as expected."""
-    if len(patterns) > 500:
-        raise ValueError("join long pattern lists through containment_pairs")
     rows = F.array(*[F.struct(F.lit(p).alias("pattern"), F.lit(s).alias("expected"), F.lit(c).alias("right_letter")) for p, s, c in patterns])
     low = F.lower(F.col(text))
     hits = records.select(key, stored, F.explode(F.filter(rows, lambda r: F.contains(low, F.lower(r["pattern"])))).alias("p"))

@@ -119,8 +119,6 @@ def implausible_corrections(corrections: DataFrame) -> DataFrame:
 def apply_pattern_patches(bank: DataFrame, text: str, patches: list[tuple[str, dict[str, str]]]) -> DataFrame:
     """Set fields of the records whose text matches a case-blind LIKE pattern; later patches win. Applying twice changes nothing more
     as long as the patched fields are not the matched one."""
-    if len(patches) > 500:
-        raise ValueError("turn long catalogues into a corrections table")
     targets = sorted({f for _, values in patches for f in values})
 
     def patched(field: str) -> Column:
@@ -168,8 +166,10 @@ def above_similarity(rows: DataFrame, score: str, floor: float) -> tuple[DataFra
 
 
 def upsert(existing: DataFrame, incoming: DataFrame, key: str, synced: list[str]) -> DataFrame:
-    """Snapshot after an upsert on a natural key: new keys are added, `synced` columns follow the incoming rows."""
-    new = incoming.select(key, *[F.col(c).alias(f"_in_{c}") for c in synced], F.lit(True).alias("_seen")).dropDuplicates([key])
+    """Snapshot after an upsert on a natural key: new keys are added, `synced` columns follow the incoming rows,
+    of several for one key the one that sorts last by them."""
+    new = (incoming.groupBy(key).agg(F.max(F.struct(*synced)).alias("_new"))
+           .select(key, *[F.col(f"_new.{c}").alias(f"_in_{c}") for c in synced], F.lit(True).alias("_seen")))
     rows = existing.withColumn("_old", F.lit(True)).join(new, key, "full_outer")
     return (rows.withColumns({c: F.coalesce(f"_in_{c}", c) for c in synced})
             .withColumn("change", F.when(F.col("_old").isNull(), "inserted").when(F.col("_seen").isNull(), "kept").otherwise("synced"))
@@ -180,8 +180,8 @@ def insert_or_ignore(existing: DataFrame, incoming: DataFrame, key: str) -> Data
     """Incoming rows whose key is new, one per key; appending them seeds a table without touching what is there."""
     from scholia.operators.grouping import keep_first
     fresh = incoming.join(existing.select(key), key, "left_anti")
-    order = next(c for c in fresh.columns if c != key)
-    return keep_first(fresh, [key], order).select(*incoming.columns)
+    order = next((c for c in fresh.columns if c != key), None)
+    return keep_first(fresh, [key], order).select(*incoming.columns) if order else fresh.distinct()
 
 
 def nested_upsert(pages: DataFrame, updates: DataFrame, keys: list[str]) -> DataFrame:

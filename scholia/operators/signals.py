@@ -153,14 +153,14 @@ def overlap_letter(df: DataFrame, f: Fields = FIELDS, out: str = "letter") -> Da
 def pattern_letter(text: Column, patterns: list[str] = V.LETTER_PATTERNS) -> Column:
     """Letter of the first listed pattern that occurs."""
     low = F.lower(X.blank_if_null(text))
-    found = [F.nullif(F.regexp_extract(low, "(?U)" + p.format(B="\\b", L="([abc])"), 1), F.lit("")) for p in patterns]
+    found = [F.nullif(F.regexp_extract(low, "(?U)" + p, 1), F.lit("")) for p in patterns]
     return F.upper(F.coalesce(*found))
 
 
 def negated_letters(text: Column, patterns: list[str] = V.NEGATION_PATTERNS) -> Column:
     """Sorted distinct letters that the text calls wrong."""
     low = F.lower(X.blank_if_null(text))
-    found = [F.regexp_extract_all(low, F.lit("(?U)" + p.format(B="\\b", L="([abc])")), F.lit(1)) for p in patterns]
+    found = [F.regexp_extract_all(low, F.lit("(?U)" + p), F.lit(1)) for p in patterns]
     return F.transform(F.array_sort(F.array_distinct(F.flatten(F.array(*found)))), F.upper)
 
 
@@ -371,12 +371,10 @@ def proximity_score(text: Column, option: Column, cues: list[str], window: int =
     return X.let(F.struct(F.lower(X.blank_if_null(text)).alias("low"), F.substring(core, 1, 20).alias("opening"), words.alias("words")), score)
 
 
-def polarity_inverted(option: Column, text: Column, pairs: list[tuple[str, str, bool]] = V.OPPOSITES) -> Column:
+def polarity_inverted(option: Column, text: Column, pairs: list[tuple[str, str]] = V.OPPOSITES) -> Column:
     """The option says one thing and the opening 600 characters of the text the opposite."""
     left, right = F.lower(X.blank_if_null(option)), F.substring(F.lower(X.blank_if_null(text)), 1, 600)
-    bound = lambda word: "(?U)\\b" + word + ("" if word in ("increas", "decreas") else "\\b")
-    both = [(a, b) for a, b, _ in pairs] + [(b, a) for a, b, mutual in pairs if mutual]
-    return reduce(lambda x, y: x | y, [left.rlike(bound(a)) & right.rlike(bound(b)) for a, b in both])
+    return reduce(lambda x, y: x | y, [left.rlike("(?U)" + a) & right.rlike("(?U)" + b) for a, b in pairs])
 
 
 def flag_verdict(negation: Column, affirmation: Column, inverted: Column, confidence: Column) -> Column:

@@ -242,18 +242,16 @@ def _cued(t: Tables):
     tail = (F.when(F.col("doc_id") % 5 == 0, F.concat(F.lit(" It is not "), F.coalesce(word, F.lit("so")), F.lit(" and the lower value is negative.")))
             .when(F.col("doc_id") % 5 == 1, F.lit(" It decreases after the fall.")).otherwise(F.lit("")))
     lift = F.when(F.col("doc_id") % 5 <= 1, F.lit(" increasing higher before")).otherwise(F.lit(""))
-    return t.items().withColumns({"stored_option": F.concat(opt, lift), "explanation": F.concat(X.first_sentences(F.col("explanation"), 4), tail)})
+    return t.items().withColumns({"stored_option": F.concat(opt, lift), "explanation": F.concat(F.col("explanation"), tail)})
 
 
 _CUED = ITEMS + f""", c1 AS (SELECT *, {sql_strip("CASE stored WHEN 'A' THEN option_a WHEN 'B' THEN option_b ELSE option_c END")} AS opt FROM items),
- cued AS (SELECT doc_id, opt || CASE WHEN doc_id % 5 <= 1 THEN ' increasing higher before' ELSE '' END AS stored_option, {Q.first_n('explanation', 4)} ||
+ cued AS (SELECT doc_id, opt || CASE WHEN doc_id % 5 <= 1 THEN ' increasing higher before' ELSE '' END AS stored_option, explanation ||
    CASE doc_id % 5 WHEN 0 THEN ' It is not ' || coalesce(({Q.words('opt', '[a-z]{4,}')})[1], 'so') || ' and the lower value is negative.' WHEN 1 THEN ' It decreases after the fall.' ELSE '' END AS explanation FROM c1)"""
 
 
 def _opposite_tests() -> str:
-    bound = lambda w: "\\b" + w + ("" if w in ("increas", "decreas") else "\\b")
-    both = [(a, b) for a, b, _ in V.OPPOSITES] + [(b, a) for a, b, mutual in V.OPPOSITES if mutual]
-    return " OR ".join(f"(regexp_matches(lower(stored_option), '{bound(a)}') AND regexp_matches(substr(lower(explanation), 1, 600), '{bound(b)}'))" for a, b in both)
+    return " OR ".join(f"(regexp_matches(lower(stored_option), '{a}') AND regexp_matches(substr(lower(explanation), 1, 600), '{b}'))" for a, b in V.OPPOSITES)
 
 
 @query("T18", f"WITH {_CUED} SELECT doc_id, {_opposite_tests()} AS inverted FROM cued")

@@ -115,10 +115,10 @@ def key(option: str, n: int) -> str:
 
 
 def letter_patterns(expr: str) -> str:
-    found = ", ".join(f"nullif(regexp_extract(lower({expr}), '{p.format(B=chr(92) + 'b', L='([abc])')}', 1), '')" for p in V.LETTER_PATTERNS)
+    found = ", ".join(f"nullif(regexp_extract(lower({expr}), '{p}', 1), '')" for p in V.LETTER_PATTERNS)
     return f"upper(coalesce({found}))"
 
 
 def negated_letters(expr: str) -> str:
-    found = ", ".join(f"regexp_extract_all(lower({expr}), '{p.format(B=chr(92) + 'b', L='([abc])').replace(chr(39), chr(39) * 2)}', 1)" for p in V.NEGATION_PATTERNS)
+    found = ", ".join(f"regexp_extract_all(lower({expr}), '{p.replace(chr(39), chr(39) * 2)}', 1)" for p in V.NEGATION_PATTERNS)
     return f"list_transform(list_sort(list_distinct(flatten([{found}]))), lambda x: upper(x))"

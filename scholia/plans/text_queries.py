@@ -112,7 +112,7 @@ def sentence_parts(t: Tables):
 @query("X17")
 def untripled_headings(t: Tables):
     """Headings whose characters were tripled on every other document, restored. SQL has no back references for this."""
-    heading = X.first_line(F.col("text"), 1000)
+    heading = X.strip(F.get(F.split(F.col("text"), "\n"), F.lit(0)))
     damaged = F.when(F.col("doc_id") % 2 == 0, F.regexp_replace(heading, "(.)", "$1$1$1")).otherwise(heading)
     return _docs(t).select("doc_id", damaged.alias("damaged")).select("doc_id", X.untriple(F.col("damaged")).alias("restored"))
 

@@ -94,18 +94,29 @@ CLOSED = T.StructType([T.StructField("session_id", T.StringType()), T.StructFiel
                        T.StructField("correct", T.LongType())])
 
 
-def closed_session_stream(answers: DataFrame, seconds_per_question: int = V.SECONDS_PER_QUESTION, lateness: str = "0 seconds") -> DataFrame:
-    """Emit a session once the watermark passes its deadline.
+def closed_session_stream(answers: DataFrame, lateness: str, seconds_per_question: int = V.SECONDS_PER_QUESTION,
+                          retention: str = "1 day") -> DataFrame:
+    """Emit a session once, when the watermark passes its deadline. Answers after that are dropped: a closed session is remembered for
+    `retention` of event time. `lateness` is how far answers may lag behind the newest one.
 
     Takes (session_id, started_at, size, ts, correct), times as TIMESTAMP in a session whose time zone is UTC.
     """
 
+    keep = int(pd.Timedelta(retention).total_seconds() * 1000)
+
     def fold(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
-            size, answered, correct, _ = state.get
-            state.remove()
+            size, answered, correct, deadline = state.get
+            if deadline < 0:  # closed long ago
+                state.remove()
+                return
+            state.update((size, answered, correct, -1))
+            state.setTimeoutTimestamp(state.getCurrentWatermarkMs() + keep)
             yield pd.DataFrame([(key[0], size, answered, correct)], columns=CLOSED.names)
             return
+        if state.exists and state.get[3] < 0:
+            state.setTimeoutTimestamp(state.getCurrentWatermarkMs() + keep)
+            return
         rows = pd.concat(list(chunks))
         start = rows["started_at"].iloc[0]
         size = int(rows["size"].iloc[0])
