@@ -74,9 +74,9 @@ def numbered(found: Column, kind: int) -> Column:
 
 
 def shape(found: Column) -> Column:
-    """Letters as a, digits as 9; runs of letters and of more than four digits shortened."""
-    out = F.regexp_replace(F.regexp_replace(found, r"\p{L}+", "a"), "[0-9]", "9")
-    return F.regexp_replace(out, "9{5,}", "9+")
+    """Runs of letters as a; runs of up to 3, up to 7 and more digits as C, B and A."""
+    out = F.regexp_replace(F.regexp_replace(found, r"\p{L}+", "a"), "[0-9]{8,}", "A")
+    return F.regexp_replace(F.regexp_replace(out, "[0-9]{4,}", "B"), "[0-9]+", "C")
 
 
 def _mentions() -> Column:
