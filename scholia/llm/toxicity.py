@@ -25,7 +25,7 @@ WINDOW = 4
 EPOCHS = 60
 RATE = 0.05
 # Bounds of the training sample: labelled texts of each class, and bytes of text together.
-SAMPLE_TOXIC, SAMPLE_CLEAN, SAMPLE_BYTES = 1600, 3200, 24 << 20
+SAMPLE_TOXIC, SAMPLE_CLEAN, SAMPLE_BYTES = 1200, 2400, 16 << 20
 THRESHOLD = 0.3
 
 _TABLE = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 97 <= c <= 122 or 48 <= c <= 57 else 32 for c in range(256))
