@@ -16,11 +16,11 @@ def keep_first(df: DataFrame, keys: list[str], order: str) -> DataFrame:
 
 
 def majority_vote(votes: DataFrame, key: str, value: str) -> DataFrame:
-    """Most frequent value per key with its share and band; the smallest value wins a tie. Only counts reach the window."""
+    """Most frequent value per key with its share and band; the smallest value wins a tie. One aggregate over the counts."""
     counts = votes.groupBy(key, value).agg(F.count("*").alias("votes"))
-    top = counts.groupBy(key).agg(F.sum("votes").alias("total"), F.max("votes").alias("_max"))
-    winner = (counts.join(top, key).where(F.col("votes") == F.col("_max"))
-              .groupBy(key).agg(F.min(value).alias(value), F.first("votes").alias("votes"), F.first("total").alias("total")))
+    winner = (counts.groupBy(key).agg(F.min_by(F.struct(value, "votes"), F.struct(-F.col("votes"), F.col(value).isNull(), value)).alias("_top"),
+                                      F.sum("votes").alias("total"))
+              .select(key, F.col("_top")[value].alias(value), "_top.votes", "total"))
     share = F.col("votes") / F.col("total")
     return (winner.withColumn("agreement", F.bround(share, 4))
             .withColumn("confidence", F.when(share >= 0.8, "HIGH").when(share >= 0.5, "MEDIUM").otherwise("LOW")))

@@ -18,7 +18,6 @@ from scholia.functions import text as X
 from scholia.session import stage_table
 
 SLICE_ROWS = 100_000
-SMALL_VOCABULARY = 200_000  # words; some ten megabytes to broadcast
 
 
 def fold_copies(df: DataFrame, id_name: str, content: list[str], out: str) -> DataFrame:
@@ -50,7 +49,7 @@ def bag_documents(df: DataFrame, id_name: str, words: str, repeats: bool = True,
     """(part, id, elements, sig): a bag as a set. The k-th further occurrence of a word is the element "word#k", so the size of the
     intersection of two such sets is the sum of the smaller counts. Without `repeats`, plain distinct words. `sig` is a digest.
 
-    `only` is a small (part, word) table to restrict the words to."""
+    `only` is a (part, word) table to restrict the words to."""
     if not repeats:
         bags = df.select("part", id_name, F.array_sort(F.array_distinct(words)).alias("elements")).where(F.size("elements") > 0)
     else:
@@ -58,7 +57,7 @@ def bag_documents(df: DataFrame, id_name: str, words: str, repeats: bool = True,
         placed = df.select("part", id_name, words).repartition("part", id_name)
         rows = placed.select("part", id_name, F.explode(words).alias("word"))
         if only is not None:
-            rows = rows.join(F.broadcast(only), ["part", "word"], "left_semi")
+            rows = rows.join(only, ["part", "word"], "left_semi")
         counted = rows.groupBy("part", id_name, "word").agg(F.count("*").cast("int").alias("n"))
         again = F.transform(F.sequence(F.lit(2), F.col("n")), lambda k: F.concat_ws("#", "word", k.cast("string")))
         each = F.when(F.col("n") == 1, F.array("word")).otherwise(F.concat(F.array("word"), again))
@@ -73,10 +72,9 @@ def fold_bags(docs: DataFrame, id_name: str, side: str) -> DataFrame:
             .withColumn(f"{side}_size", F.size(f"{side}_elements")))
 
 
-def small_vocabulary(docs: DataFrame, limit: int = SMALL_VOCABULARY) -> DataFrame | None:
-    """Distinct (part, word) of staged bags if there are at most `limit` of them, else None."""
-    words = docs.select("part", F.explode("elements").alias("word")).where(~F.contains(F.col("word"), F.lit("#"))).distinct()
-    return words if words.limit(limit + 1).count() <= limit else None
+def vocabulary(docs: DataFrame) -> DataFrame:
+    """Distinct (part, word) of bags."""
+    return docs.select("part", F.explode("elements").alias("word")).where(~F.contains(F.col("word"), F.lit("#"))).distinct()
 
 
 def overlap_pairs(probes: DataFrame, refs: DataFrame, min_share: float, of_larger: bool = False, repeats: bool = True,
@@ -91,12 +89,12 @@ def overlap_pairs(probes: DataFrame, refs: DataFrame, min_share: float, of_large
     `needed`: a slightly longer head, and far fewer chance candidates. Every candidate is scored on the full bags, and no pair
     above the share is lost.
 
-    Words that no probe has cannot count, so with few probe words the reference bags are cut down to those (`reduce_refs`);
-    references that become equal thereby score the same for every probe and count as copies.
+    Words that no probe has cannot count, so the reference bags are cut down to those of the probes (`reduce_refs`) by a semi-join, at
+    every size; references that become equal thereby score the same for every probe and count as copies.
     """
     # Both are read several times below, so they are written once.
     p_docs = stage_table(bag_documents(probes, "probe_id", "words", repeats))
-    only = small_vocabulary(p_docs) if repeats and reduce_refs and not of_larger else None
+    only = vocabulary(p_docs) if repeats and reduce_refs and not of_larger else None
     r_docs = stage_table(bag_documents(refs, "ref_id", "words", repeats, only))
     p, r = fold_bags(p_docs, "probe_id", "p"), fold_bags(r_docs, "ref_id", "r")
     rows = lambda d, side: d.select("part", f"{side}_sig", f"{side}_size", F.explode(f"{side}_elements").alias("element"))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from scholia.functions import text as X
 from scholia.operators.progress import outcomes_by_question
-from scholia.session import spread_if_small
+from scholia.session import spread
 
 ANCHOR = dt.datetime(2024, 1, 20, 12, 0, 0)
 ANCHOR_DAY = ANCHOR.date()
@@ -34,7 +34,7 @@ class Tables:
 
     def raw(self, name: str) -> DataFrame:
         table = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
-        return spread_if_small(table) if name in TEXT_TABLES else table
+        return spread(table) if name in TEXT_TABLES else table
 
     def attempts(self) -> DataFrame:
         return self.raw("events").select(

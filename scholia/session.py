@@ -1,4 +1,4 @@
-"""Session settings, stage tables in the shared folder, and spreading of small inputs."""
+"""Session settings, stage tables in the shared folder, and spreading of scans."""
 
 from __future__ import annotations
 
@@ -51,10 +51,10 @@ def stage_table(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
-def spread_if_small(df: DataFrame, small: int = 256 * 1024 * 1024) -> DataFrame:
-    """Use all cores for a table that is too small to be read in many splits.
+def spread(df: DataFrame) -> DataFrame:
+    """Deal rows over as many partitions as the session's `spark.scholia.scanPartitions` says; unset, scans keep their splits.
 
-    Only a table whose files are known to be small is redistributed; a large one keeps its splits, without a shuffle.
+    It is for files of one row group with much work per row, which no split size can divide.
     """
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size <= small else df
+    parts = df.sparkSession.conf.get("spark.scholia.scanPartitions", None)
+    return df.repartition(int(parts)) if parts else df
