@@ -86,11 +86,10 @@ def plan_corrections(bank: DataFrame, corrections: DataFrame, key: str, fields:
     return rows.select(key, "field", before.alias("before"), F.col("new_value").alias("after"), F.coalesce("found", F.lit(False)).alias("found"))
 
 
-def apply_corrections(bank: DataFrame, corrections: DataFrame, key: str, fields: list[str], order: str | None = None) -> DataFrame:
-    """New snapshot of the bank: corrected fields replaced, all else kept. With `order`, the latest correction of a field wins."""
+def apply_corrections(bank: DataFrame, corrections: DataFrame, key: str, fields: list[str], order: str) -> DataFrame:
+    """New snapshot of the bank: corrected fields replaced, all else kept. Of several corrections of a field, the last by `order` wins."""
     value = F.col("new_value")
-    pick = lambda f: (F.max_by(F.when(F.col("field") == f, value), F.when(F.col("field") == f, F.col(order))) if order
-                      else F.max(F.when(F.col("field") == f, value)))
+    pick = lambda f: F.max_by(F.when(F.col("field") == f, value), F.when(F.col("field") == f, F.col(order)))
     wide = corrections.groupBy(key).agg(*[pick(f).alias(f"_new_{f}") for f in fields])
     return (bank.join(wide, key, "left").withColumns({f: F.coalesce(f"_new_{f}", f) for f in fields}).drop(*[f"_new_{f}" for f in fields]))
 

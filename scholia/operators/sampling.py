@@ -86,9 +86,9 @@ def blueprint_sample(users: DataFrame, pool: DataFrame, wrong: DataFrame, quotas
             .select("user_id", "topic", "pick", "question_id", "was_wrong"))
 
 
-def blueprint_shortage(sample: DataFrame, quotas: dict[str, int]) -> DataFrame:
-    """Questions missing per user and topic, also for topics that gave none."""
-    frame = sample.select("user_id").distinct().select("user_id", F.explode(F.array(*[F.lit(t) for t in quotas])).alias("topic"))
+def blueprint_shortage(users: DataFrame, sample: DataFrame, quotas: dict[str, int]) -> DataFrame:
+    """Questions missing per user and topic, also for topics that gave none and for users without any question."""
+    frame = users.select("user_id").distinct().select("user_id", F.explode(F.array(*[F.lit(t) for t in quotas])).alias("topic"))
     got = sample.groupBy("user_id", "topic").agg(F.count("*").alias("got"))
     return (frame.join(got, ["user_id", "topic"], "left").withColumn("got", F.coalesce("got", F.lit(0)))
             .withColumn("quota", quota_column(quotas)).withColumn("missing", F.col("quota") - F.col("got")))

@@ -330,6 +330,6 @@ def blueprint_sample(t: Tables):
 
 @query("O4", f"""WITH {_BLUEPRINT}, g AS (SELECT user_id, topic, count(*) AS got FROM picked GROUP BY ALL)
 SELECT u.user_id, q.topic, coalesce(got, 0) AS got, quota, quota - coalesce(got, 0) AS missing
-FROM (SELECT DISTINCT user_id FROM picked) u CROSS JOIN {QUOTA_ROWS} LEFT JOIN g ON g.user_id = u.user_id AND g.topic = q.topic""")
+FROM (SELECT DISTINCT user_id FROM attempts) u CROSS JOIN {QUOTA_ROWS} LEFT JOIN g ON g.user_id = u.user_id AND g.topic = q.topic""")
 def blueprint_shortage(t: Tables):
-    return S.blueprint_shortage(_blueprint(t), QUOTAS)
+    return S.blueprint_shortage(t.attempts(), _blueprint(t), QUOTAS)

@@ -141,14 +141,14 @@ def _bank(t: Tables):
 
 @query("R8 R12", f"""WITH {_CORR} SELECT i.doc_id AS id, {', '.join(f"md5(coalesce((SELECT max(new_value) FROM corr c WHERE c.id = i.doc_id AND c.field = '{f}'), {f})) AS {f}" for f in FIELDS)} FROM items i WHERE quality IS NULL""")
 def corrected_bank(t: Tables):
-    fixed = R.apply_corrections(_bank(t), R.wanted_corrections(_verdicts(t)), "id", FIELDS)
+    fixed = R.apply_corrections(_bank(t), R.wanted_corrections(_verdicts(t)), "id", FIELDS, "new_value")
     return fixed.select("id", *[F.md5(f).alias(f) for f in FIELDS])
 
 
 @query("R8", f"WITH {_CORR} SELECT id, field, true AS verified FROM corr")
 def verified_corrections(t: Tables):
     wanted = R.wanted_corrections(_verdicts(t))
-    return R.verify_corrections(R.apply_corrections(_bank(t), wanted, "id", FIELDS), wanted, "id", FIELDS)
+    return R.verify_corrections(R.apply_corrections(_bank(t), wanted, "id", FIELDS, "new_value"), wanted, "id", FIELDS)
 
 
 _W4 = lambda c: f"list_distinct({Q.words(c, '[a-z]{4,}')})"

@@ -109,9 +109,21 @@ def sentence_parts(t: Tables):
                     F.md5(F.array_join(F.slice("s", 1, 3), " ")).alias("first_three"), F.md5(X.last_sentence(F.col("text"))).alias("last")))
 
 
-@query("X17")
+# Without back references: of a run of n equal characters, a third stays and what is left over a multiple of three.
+@query("X17", f"""WITH h AS (SELECT doc_id, {sql_strip("split_part(text, chr(10), 1)")} AS h FROM documents),
+ d AS (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN regexp_replace(h, '(.)', '\\1\\1\\1', 'g') ELSE h END AS d FROM h),
+ s AS (SELECT doc_id, d, replace(substr(d, 1, 60), ' ', '') AS s FROM d),
+ n AS (SELECT doc_id, d, s, len(list_filter(range(1, greatest(length(s) - 2, 1) + 1, 3), lambda i: substr(s, i, 1) = substr(s, i + 1, 1)
+         AND substr(s, i + 1, 1) = substr(s, i + 2, 1) AND length(substr(s, i + 2, 1)) > 0)) AS triples FROM s),
+ c AS (SELECT doc_id, i, chars[i] AS ch FROM (SELECT doc_id, chars, unnest(range(1, len(chars) + 1)) AS i
+         FROM (SELECT doc_id, regexp_extract_all(d, '.') AS chars FROM d))),
+ r AS (SELECT doc_id, i, ch, i - row_number() OVER (PARTITION BY doc_id, ch ORDER BY i) AS run FROM c),
+ p AS (SELECT doc_id, i, ch, row_number() OVER (PARTITION BY doc_id, ch, run ORDER BY i) - 1 AS k, count(*) OVER (PARTITION BY doc_id, ch, run) AS size FROM r),
+ u AS (SELECT doc_id, string_agg(ch, '' ORDER BY i) AS u FROM p WHERE k % 3 = 0 OR k >= size // 3 * 3 GROUP BY doc_id)
+SELECT n.doc_id, CASE WHEN length(d) >= 9 AND triples > 0 AND triples >= floor(length(s) / 6) THEN u ELSE d END AS restored
+FROM n LEFT JOIN u ON u.doc_id = n.doc_id""")
 def untripled_headings(t: Tables):
-    """Headings whose characters were tripled on every other document, restored. SQL has no back references for this."""
+    """Headings whose characters were tripled on every other document, restored."""
     heading = X.strip(F.get(F.split(F.col("text"), "\n"), F.lit(0)))
     damaged = F.when(F.col("doc_id") % 2 == 0, F.regexp_replace(heading, "(.)", "$1$1$1")).otherwise(heading)
     return _docs(t).select("doc_id", damaged.alias("damaged")).select("doc_id", X.untriple(F.col("damaged")).alias("restored"))

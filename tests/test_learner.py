@@ -110,7 +110,7 @@ def test_patch_gates_and_idempotence(spark):
 def test_applied_corrections_leave_no_difference(spark):
     bank = spark.createDataFrame([("1", "a", "b"), ("2", "c", None)], "id string, f string, g string")
     fixes = spark.createDataFrame([("1", "f", "A"), ("2", "g", "D"), ("9", "f", "Z")], "id string, field string, new_value string")
-    after = R.apply_corrections(bank, fixes, "id", ["f", "g"])
+    after = R.apply_corrections(bank, fixes, "id", ["f", "g"], "new_value")
     assert {tuple(r) for r in after.collect()} == {("1", "A", "b"), ("2", "c", "D")}
     checked = {(r.id, r.field): r.verified for r in R.verify_corrections(after, fixes, "id", ["f", "g"]).collect()}
     assert checked == {("1", "f"): True, ("2", "g"): True, ("9", "f"): False}
