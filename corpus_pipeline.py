@@ -18,13 +18,8 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group: the one with the smallest id. Documents without id are kept unless their text or a near one has an id."""
-    found = simhash.near_duplicates(docs)
-    kept = found.where("doc_id = component_id").select(F.col("doc_id").alias("kept_id")).distinct()
-    named = docs.join(kept, docs.doc_id == kept.kept_id).select(*docs.columns).dropDuplicates(["doc_id"])
-    if not found.where("component_id is null").limit(1).count():
-        return named
-    return named.unionByName(docs.where("doc_id is null").dropDuplicates(["text"]))
+    """One document of each group: one with the smallest id. A group without any id keeps one document too."""
+    return simhash.representatives(docs)
 
 
 def cut_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -63,6 +63,22 @@ def ball_links(prints: DataFrame) -> DataFrame:
             .where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= RADIUS))
 
 
+def with_fingerprint(docs: DataFrame, name: str, text_col: str = "text") -> DataFrame:
+    """The documents with all their columns and their fingerprint as the column `name`."""
+    @F.arrow_udf("long")
+    def of(texts: pa.Array) -> pa.Array:
+        return pa.array([fingerprint(t or b"") for t in as_bytes(texts)], pa.int64())
+
+    return docs.withColumn(name, of(text_col))
+
+
+def _labelled(prints: DataFrame) -> DataFrame:
+    """`fp`, `first_id` (smallest id with it) and `label`, which the fingerprints of a component share, of each distinct `fp`."""
+    first = stage(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
+    labels = components(stage(ball_links(first)))
+    return stage(first.join(labels, first.fp == labels.node, "left").select("fp", "first_id", F.coalesce("label", "fp").alias("label")))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: `doc_id`, `fp`, `component_id` (smallest id reachable over links, itself included).
 
@@ -70,10 +86,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     and give no name to a component (null if none of it has an id). An empty table gives an empty result. Other columns are ignored.
     """
     prints = stage(simhashes(docs, id_col, text_col))
-    first = stage(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
-    labels = components(stage(ball_links(first)))
-    grouped = stage(first.join(labels, first.fp == labels.node, "left")
-                    .select("fp", "first_id", F.coalesce("label", "fp").alias("label")))
+    grouped = _labelled(prints)
     named = grouped.groupBy("label").agg(F.min("first_id").alias("component_id"))
     classes = stage(grouped.join(stage(named), "label").select("fp", "component_id"))
     return prints.join(classes, "fp").select("doc_id", "fp", "component_id")
+
+
+def representatives(docs: DataFrame) -> DataFrame:
+    """One document of each component, with all its columns: one with the smallest id, then the smallest fingerprint, then any of
+    its repeated rows. A component without any id keeps one row too; one id under two components keeps one row in each.
+    """
+    grouped = _labelled(stage(simhashes(docs)))
+    least = F.min(F.struct(F.col("first_id").isNull().alias("unnamed"), "first_id", "fp")).alias("least")
+    kept = stage(grouped.groupBy("label").agg(least).select(F.col("least.first_id").alias("kept_id"), F.col("least.fp").alias("kept_fp")))
+    own = with_fingerprint(docs.select(*(F.col(c).alias(f"d_{c}") for c in docs.columns))
+                           .join(kept, F.col("d_doc_id").eqNullSafe(F.col("kept_id"))), "own_fp", "d_text")
+    return (own.where("own_fp = kept_fp").dropDuplicates(["d_doc_id", "kept_fp"])
+            .select(*(F.col(f"d_{c}").alias(c) for c in docs.columns)))

@@ -83,6 +83,18 @@ def test_simhash_fingerprints(docs):
         assert r.fp & (1 << 64) - 1 == plain_simhash("no id" if i is None else TEXTS[i] or "")
 
 
+def test_representatives(spark, docs, none):
+    rows = [(5, "a b c d e"), (3, "A b c d e"), (3, "something else stands here"), (9, "a b c d e"), (None, "a b c d e"),
+            (None, "only rows without id"), (None, "only rows without id"), (7, None), (8, " "), (3, "a b c d e")]
+    tables = spark.createDataFrame([(i, t, "clash", "clash", k) for k, (i, t) in enumerate(rows)],
+                                   "doc_id long, text string, kept_id string, fp string, own_fp int").repartition(3)
+    kept = simhash.representatives(tables)
+    assert kept.columns == tables.columns
+    got = [(r.doc_id, (r.text or "").lower().strip()) for r in kept.collect()]
+    assert sorted(got, key=str) == sorted([(3, "a b c d e"), (3, "something else stands here"), (None, "only rows without id"), (7, "")], key=str)
+    assert simhash.representatives(none).count() == 0
+
+
 def test_ball_links_against_all_pairs(spark):
     rng = random.Random(5)
     prints = [rng.getrandbits(64) for _ in range(30)]
