@@ -259,3 +259,31 @@ def answer_key(text: Column, number_letter: str = "([0-9]{1,3})\\.\\s+(?:Answer\
     """Every 'N. X' or 'N. Answer = X' of a text as an array of (number, letter)."""
     return F.arrays_zip(F.regexp_extract_all(text, F.lit(number_letter), F.lit(1)).alias("number"),
                         F.regexp_extract_all(text, F.lit(number_letter), F.lit(2)).alias("letter"))
+
+
+_EDGE = "[^\\p{L}\\p{N}_]"
+# Patterns of a worked solution that marks its options, in the order in which they count.
+MARKED_CORRECT = [f"(?i)(?:^|{_EDGE})([ABC])[.)]\\s+Correct(?:$|{_EDGE})", f"(?i)(?:^|{_EDGE})([ABC])\\s+Correct(?:$|{_EDGE})"]
+MARKED_INCORRECT = f"(?i)(?:^|{_EDGE})@[.)]\\s+Incorrect(?:$|{_EDGE})"
+MARKED_REASON = "(?i)[ABC][.)]\\s+Correct[.:\\s]+([^.]{10,100}\\.)"
+# From the first option label on to the first "correct" behind it, and the last label in there.
+BEFORE_CORRECT = f"(?is)((?:^|{_EDGE})[abc][.)](?:\\s(?:.*?{_EDGE})??)?)correct(?:$|{_EDGE})"
+LAST_LABEL = f"(?is)^(?:.*{_EDGE})?([abc])[.)](?:\\s|$)"
+
+
+def marked_letter(text: Column) -> Column:
+    """Option that a solution marks as correct ("B. Correct", "B correct"); else the one left when two are marked incorrect; else the
+    last option label before the first "correct" that has one; null without any."""
+    whole = blank_if_null(text)
+    found = lambda c, p: F.nullif(F.upper(F.regexp_extract(c, p, 1)), F.lit(""))
+    letters = F.array(*[F.lit(l) for l in "ABC"])
+    open_letters = F.array_compact(F.array(*[F.when(~whole.rlike(MARKED_INCORRECT.replace("@", l)), l) for l in "ABC"]))
+    left = F.when(F.size(open_letters) == F.size(letters) - 2, F.get(open_letters, F.lit(0)))
+    return F.coalesce(*[found(whole, p) for p in MARKED_CORRECT], left, found(F.regexp_extract(whole, BEFORE_CORRECT, 1), LAST_LABEL))
+
+
+def marked_reason(text: Column) -> Column:
+    """Sentence of 10 to 100 characters behind the mark of the correct option; '' without a mark or a sentence."""
+    whole = blank_if_null(text)
+    marked = whole.rlike(MARKED_CORRECT[0]) | whole.rlike(MARKED_CORRECT[1])
+    return F.when(marked, collapse(F.regexp_extract(whole, MARKED_REASON, 1))).otherwise("")

@@ -64,3 +64,16 @@ def first_wins(primary: DataFrame, secondary: DataFrame, key: str) -> DataFrame:
 
 def rank_flags(flags: DataFrame, score: Column, key: str, n: int) -> DataFrame:
     return flags.withColumn("rank_score", score).orderBy(F.col("rank_score").desc(), key).limit(n)
+
+
+def pass_summary(rows: DataFrame, by: str, shortest: int = 15) -> DataFrame:
+    """Per group: explanations too short to judge, those without a signal, and agreeing and differing letters of each pass.
+
+    Takes (by, explanation, letter, pass_no, stored).
+    """
+    short = F.length(F.regexp_replace(F.coalesce("explanation", F.lit("")), "^\\s+|\\s+$", "")) < shortest
+    same = F.coalesce(F.col("letter") == F.upper(F.trim("stored")), F.lit(False))
+    of_pass = lambda n: ~short & F.col("letter").isNotNull() & (F.col("pass_no") == n)
+    return rows.groupBy(by).agg(
+        F.count("*").alias("total"), F.count_if(short).alias("no_explanation"), F.count_if(~short & F.col("letter").isNull()).alias("no_signal"),
+        *[F.count_if(of_pass(n) & (same if ok else ~same)).alias(f"p{n}_{'ok' if ok else 'wrong'}") for n in (1, 2, 3, 4) for ok in (True, False)])

@@ -188,3 +188,9 @@ def nested_upsert(pages: DataFrame, updates: DataFrame, keys: list[str]) -> Data
     new = updates.select(*keys, F.col("page_type").alias("_type"), F.col("items").alias("_items"))
     return (pages.join(new, keys, "left").withColumns({"page_type": F.coalesce("_type", "page_type"), "items": F.coalesce("_items", "items")})
             .drop("_type", "_items"))
+
+
+def cache_validity(pages: DataFrame, key: str, types: list[str], answer: str) -> DataFrame:
+    """Whether a cache holds anything: a page of the wanted types with an item, or a row with an answer."""
+    items = F.col("page_type").isin(types) & (F.size("items") > 0)
+    return pages.groupBy(key).agg(F.bool_or(F.coalesce(items, F.lit(False)) | F.col(answer).isNotNull()).alias("valid"))

@@ -318,6 +318,17 @@ def score_payloads(t: Tables):
     return back.groupBy("user_id", "session_type").agg(F.count("*").alias("topics"), F.sum(F.round(F.col("pct") * 10).cast("int")).alias("total"))
 
 
+@query("N6 N2", f"""WITH {ATTEMPTS}, s AS (SELECT user_id, session_type, question_id % 4 AS slot, round_even(100.0::DOUBLE * sum(CAST(is_correct AS INT)) / count(*), 1) AS pct FROM attempts GROUP BY ALL)
+SELECT user_id, session_type, slot, CAST(pct * 10 AS INTEGER) AS tenths FROM s""")
+def scores_by_slot(t: Tables):
+    """Scores saved under string keys, as JSON has no others, and read back under integer keys."""
+    scores = (t.attempts().groupBy("user_id", "session_type", (F.col("question_id") % 4).cast("string").alias("slot"))
+              .agg(M.percentage(F.sum(F.col("is_correct").cast("int")), F.count("*"), 1).alias("pct")))
+    payload = scores.groupBy("user_id", "session_type").agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("slot", "pct")))).alias("payload"))
+    back = payload.select("user_id", "session_type", F.explode(M.integer_keys(M.json_scores(F.col("payload")))).alias("slot", "pct"))
+    return back.select("user_id", "session_type", "slot", F.round(F.col("pct") * 10).cast("int").alias("tenths"))
+
+
 @query("N3 F3", """WITH e AS (SELECT event_id, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events),
  i AS (SELECT event_id, unnest([k, k + 1, k * 11]) AS id FROM e) SELECT event_id, count(*) FILTER (doc_id IS NOT NULL) = 3 AS restorable FROM i LEFT JOIN documents ON doc_id = id GROUP BY event_id""")
 def restorable_runs(t: Tables):
@@ -354,6 +365,16 @@ def valid_caches(t: Tables):
     return _cache(t).groupBy("file").agg(F.bool_or(F.col("page_type").isin("questions", "answers") & (F.size("items") > 2)).alias("valid"))
 
 
+@query("N4", f"""SELECT conv_id, bool_or((role IN ('user', 'assistant') AND len(list_filter({sql_sentences(sql_strip('text'))}, lambda s: length(s) > 90)) > 0)
+  OR (role = 'system' AND conv_id % 3 = 0)) AS valid FROM conversations GROUP BY conv_id""")
+def usable_caches(t: Tables):
+    """One cache per conversation: long sentences are its items, some system turns its answers."""
+    kind = F.when(F.col("role") == "user", "questions").when(F.col("role") == "assistant", "answers").otherwise("other")
+    pages = t.turns().select("conv_id", kind.alias("page_type"), F.filter(X.sentences(F.col("text")), lambda s: F.length(s) > 90).alias("items"),
+                             F.when((F.col("role") == "system") & (F.col("conv_id") % 3 == 0), "A").alias("answer"))
+    return R.cache_validity(pages, "conv_id", ["questions", "answers"], "answer")
+
+
 @query("N5", f"""WITH {_CACHE} SELECT file, page_idx, CASE WHEN page_type = 'other' THEN 'questions' ELSE page_type END AS page_type, CAST(CASE WHEN page_type = 'other' THEN 1 ELSE len(items) END AS INTEGER) AS n_items FROM cache""")
 def merged_caches(t: Tables):
     """Pages of the type "other" were read again: their one item carries the drifted key `qnum`, renamed to `n`."""
@@ -376,6 +397,17 @@ def study_sections(t: Tables):
     return note_sections(notes, "src3").select("doc_id", F.md5("overview").alias("overview"), "section_no", F.md5("text").alias("body"))
 
 
+@query("S11", f"""SELECT doc_id, CAST(p AS INTEGER) AS tip_no, md5(tips[CAST(p + 1 AS INT)]) AS tip FROM (SELECT doc_id, tips, unnest(range(0, len(tips))) AS p FROM (
+  SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN s[1:1] ELSE s[2:3] END AS tips FROM (SELECT doc_id, {sql_sentences(sql_strip('text'))} AS s FROM documents WHERE source = 'src3')))""")
+def study_tips(t: Tables):
+    """Exam tips of a topic's notes; every other note has only key points."""
+    from scholia.sources.readers import note_tips
+    s = X.sentences(F.col("text"))
+    notes = t.raw("documents").select("doc_id", F.col("source").alias("topic"), F.when(F.col("doc_id") % 2 == 0, F.slice(s, 1, 1)).alias("exam_tips"),
+                                      F.slice(s, 2, 2).alias("key_points"))
+    return note_tips(notes, "src3").select("doc_id", "tip_no", F.md5("tip").alias("tip"))
+
+
 @query("S10 M1", f"WITH {SESSIONS} SELECT session_id, total_questions, correct_answers, score_pct FROM sessions")
 def session_facts(t: Tables):
     from scholia.sources.writers import session_rows

@@ -81,6 +81,14 @@ def audit_summary(t: Tables):
                                      count("p2_fix").alias("p2_fixes"), count("p3_flag").alias("p3_flags"), count("no_signal").alias("no_signal"))
 
 
+@query("A13 T1", f"""WITH {_SIGNAL}
+SELECT topic, count(*) AS total, count(*) FILTER (short) AS no_explanation, count(*) FILTER (NOT short AND letter IS NULL) AS no_signal,
+  {", ".join(f"count(*) FILTER (NOT short AND pass_no = {n} AND letter {op} stored) AS p{n}_{name}" for n in (1, 2, 3, 4) for op, name in (("=", "ok"), ("<>", "wrong")))}
+FROM (SELECT *, length({sql_strip('explanation')}) < 15 AS short FROM signal) GROUP BY topic""")
+def audit_passes(t: Tables):
+    return G.pass_summary(S.four_pass(t.items()), "topic")
+
+
 _BUCKETS = " UNION ALL ".join(
     [f"SELECT 'bucket' AS kind, {lo}::DOUBLE AS bound, count(*) FILTER (confidence >= {lo}::DOUBLE AND confidence < {hi}::DOUBLE) AS n FROM flags" for lo, hi in V.CONFIDENCE_BUCKETS]
     + [f"SELECT 'at_least', {x}::DOUBLE, count(*) FILTER (confidence >= {x}::DOUBLE) FROM flags" for x in V.CONFIDENCE_THRESHOLDS])

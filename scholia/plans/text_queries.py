@@ -218,6 +218,32 @@ def answer_keys(t: Tables):
             .select("doc_id", F.col("k.number").cast("int").alias("number"), F.col("k.letter").alias("letter")))
 
 
+_MARKS = """(SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'A. Incorrect. ' || stem || ' B) incorrect.' WHEN 1 THEN explanation || ' ' || stored || '. Correct: ' || stem || '.'
+  WHEN 2 THEN stored || ' correct' WHEN 3 THEN '(' || stored || ') ' || stem || ' This is correct.' ELSE explanation END AS m FROM items)"""
+
+
+def _found(expr: str, pattern: str) -> str:
+    return f"nullif(upper(regexp_extract({expr}, '{pattern}', 1)), '')"
+
+
+_LEFT = "list_filter(['A', 'B', 'C'], lambda l: NOT CASE l " + " ".join(
+    f"WHEN '{l}' THEN regexp_matches(m, '{X.MARKED_INCORRECT.replace('@', l)}')" for l in "ABC") + " END)"
+
+
+@query("X27", f"""WITH {ITEMS} SELECT doc_id, coalesce({', '.join(_found('m', p) for p in X.MARKED_CORRECT)}, CASE WHEN len({_LEFT}) = 1 THEN ({_LEFT})[1] END,
+    {_found(f"regexp_extract(m, '{X.BEFORE_CORRECT}', 1)", X.LAST_LABEL)}, '') AS letter,
+  CASE WHEN {' OR '.join(f"regexp_matches(m, '{p}')" for p in X.MARKED_CORRECT)} THEN trim(regexp_replace(regexp_extract(m, '{X.MARKED_REASON}', 1), '\\s+', ' ', 'g')) ELSE '' END AS reason FROM {_MARKS}""")
+def marked_letters(t: Tables):
+    """Solutions that mark their options as correct or incorrect, in several ways."""
+    c = F.col
+    text = (F.when(c("doc_id") % 5 == 0, F.concat(F.lit("A. Incorrect. "), "stem", F.lit(" B) incorrect.")))
+            .when(c("doc_id") % 5 == 1, F.concat("explanation", F.lit(" "), "stored", F.lit(". Correct: "), "stem", F.lit(".")))
+            .when(c("doc_id") % 5 == 2, F.concat("stored", F.lit(" correct")))
+            .when(c("doc_id") % 5 == 3, F.concat(F.lit("("), "stored", F.lit(") "), "stem", F.lit(" This is correct."))).otherwise(c("explanation")))
+    rows = t.items().select("doc_id", text.alias("m"))
+    return rows.select("doc_id", F.coalesce(X.marked_letter(F.col("m")), F.lit("")).alias("letter"), X.marked_reason(F.col("m")).alias("reason"))
+
+
 # ---- Record checks ----
 
 _TAILS = ["", " Consider the following table", " Use the following data: Which is right", " Given the following exhibit: 12 and 13.",

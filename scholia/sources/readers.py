@@ -63,3 +63,10 @@ def note_sections(notes: DataFrame, topic: str) -> DataFrame:
     rest = [c for c in notes.columns if c != "sections"]
     return (notes.where(F.col("topic") == topic).select(*rest, F.posexplode("sections").alias("section_no", "_s"))
             .withColumn("text", F.coalesce("_s.content", "_s.body")).drop("_s"))
+
+
+def note_tips(notes: DataFrame, topic: str) -> DataFrame:
+    """Tips of one topic's notes in order: the exam tips, or the key points where there are none."""
+    tips = F.when(F.coalesce(F.size("exam_tips"), F.lit(0)) > 0, F.col("exam_tips")).otherwise(F.col("key_points"))
+    rest = [c for c in notes.columns if c not in ("exam_tips", "key_points")]
+    return notes.where(F.col("topic") == topic).select(*rest, F.posexplode(tips).alias("tip_no", "tip"))
