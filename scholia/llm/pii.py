@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from scholia.functions.text import let
 from scholia.llm.common import keyed_texts, stage
 
 # The base patterns, in a form without backtracking that has the same matches. A run of local-part characters can only
@@ -30,20 +31,37 @@ ROUNDS = 3
 SUPPORT = 3  # different known instances that a pattern needs
 CONFIDENCE = 0.8
 CONTEXT_CHARS = 64
+MATCH_BLOCK = 256
 
 
 def matches(text: Column, pattern: str, hint: Column) -> Column:
-    """(start, end, found) of all matches, in code points: the pieces between matches tell where they stand."""
+    """(start, end, found) of all matches, in code points: the pieces between matches tell where they stand.
+
+    The text is searched once, and ends are sums over whole blocks of matches and the rest of a block, so a long text with many
+    matches costs little more than its length.
+    """
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     gaps = F.transform(F.split(text, pattern, -1), F.char_length)
+    total = lambda values: F.aggregate(values, F.lit(0), lambda a, x: a + x)
+    block = lambda i: F.floor(i / MATCH_BLOCK).cast("int")
+
+    def placed(pieces: Column, steps: Column, sums: Column) -> Column:
+        def one(m, i):
+            end = total(F.slice(sums, F.lit(1), block(i))) + total(F.slice(steps, block(i) * MATCH_BLOCK + 1, i % MATCH_BLOCK + 1))
+            return F.struct((end - F.char_length(m)).alias("start"), end.alias("end"), m.alias("found"))
+        return F.transform(pieces["found"], one)
+
+    def steps_of(pieces: Column) -> Column:
+        return F.zip_with(F.slice(pieces["gaps"], F.lit(1), F.size(pieces["found"])), pieces["found"], lambda g, m: g + F.char_length(m))
 
-    def placed(m, i):
-        before = F.aggregate(F.slice(gaps, F.lit(1), i + 1), F.lit(0), lambda a, x: a + x)
-        inside = F.aggregate(F.slice(F.transform(found, F.char_length), F.lit(1), i), F.lit(0), lambda a, x: a + x)
-        return F.struct((before + inside).alias("start"), (before + inside + F.char_length(m)).alias("end"), m.alias("found"))
+    def sums_of(steps: Column) -> Column:
+        blocks = F.sequence(F.lit(0), block(F.size(steps)))
+        return F.transform(blocks, lambda b: total(F.slice(steps, b * MATCH_BLOCK + 1, F.lit(MATCH_BLOCK))))
 
+    located = let(F.struct(found.alias("found"), gaps.alias("gaps")), lambda pieces: let(
+        steps_of(pieces), lambda steps: let(sums_of(steps), lambda sums: placed(pieces, steps, sums))))
     none = F.array().cast("array<struct<start:int,end:int,found:string>>")
-    return F.when(hint, F.transform(found, placed)).otherwise(none)
+    return F.when(hint, located).otherwise(none)
 
 
 def digits(found: Column) -> Column:

@@ -226,6 +226,17 @@ def test_pii_spans(docs):
                 assert re.fullmatch(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text[int(start):int(end)])
 
 
+def test_places_of_many_matches(spark):
+    from pyspark.sql import functions as F
+
+    rng = random.Random(8)
+    texts = ["".join(rng.choice(["é", "🙂 ", "a", " ", "1", "22", "333 "]) for _ in range(n)) for n in (0, 1, 700, 5000)]
+    texts += ["1 " * 256, "1 " * 257, "1 " * 512]
+    frame = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    for i, got in frame.select("i", pii.matches(F.col("t"), "[0-9]+", F.lit(True)).alias("m")).collect():
+        assert [(m.start, m.end, m.found) for m in got] == [(*m.span(), m[0]) for m in re.finditer("[0-9]+", texts[i])]
+
+
 def test_pii_patterns_are_learned(spark):
     rows = [(i, f"reach me under {10 + i}.20.30.40 today") for i in range(8)] + [(100, "reach me under 10.20.30.999 today"), (101, "version 2.0 of it")]
     got = by_id(pii.digest(pii.personal_data(spark.createDataFrame(rows, "doc_id long, text string"))))
