@@ -34,35 +34,34 @@ def _mix(x: np.ndarray) -> np.ndarray:
 def signature(text: bytes) -> np.ndarray:
     """16 bits for each sketch; 0 for a sketch without k-mers. A text shorter than `K` bytes is one k-mer, an empty one none.
 
-    The rank of a k-mer's later occurrences is at least that of its first. So the smallest ranks are found among the k-mers whose
-    first rank is below a bound, all occurrences of which are then at hand; the bound is raised until it holds enough for every sketch.
+    Occurrences are numbered over the whole text, and each has a rank of its own, independent of the other occurrences'. Only those
+    ranked below a bound are dealt into sketches; the bound is raised until it holds enough for every sketch.
     """
     out = np.zeros(SKETCHES, dtype=np.uint16)
     if not text:
         return out
     text = text if len(text) >= K else text + b"\0" * (K - len(text))
     kmers = np.ndarray((len(text) - K + 1,), dtype="<u8", buffer=text, strides=(1,)).copy()
-    first = (kmers * _A) ^ (kmers >> np.uint64(32))
-    first *= _B
-    first ^= first >> np.uint64(29)
+    place = np.argsort(kmers, kind="stable")
+    kmers = kmers[place]
+    number = np.arange(len(kmers), dtype=np.uint64)
+    start = number.copy()
+    start[1:][kmers[1:] == kmers[:-1]] = 0
+    np.maximum.accumulate(start, out=start)
+    number -= start
+    del start
+    every = _mix(kmers + number * np.uint64(0x9E3779B97F4A7C15))
+    del kmers, number
     wanted = 6 * SKETCHES * TUPLE
     while True:
-        everything = wanted >= len(kmers)
-        at = np.arange(len(kmers)) if everything else np.flatnonzero(first < np.uint64(int(2.0**64 * wanted / len(kmers))))
-        mer, rank = kmers[at], first[at]
-        order = np.argsort(mer, kind="stable")
-        sorted_mer = mer[order]
-        new = np.concatenate(([True], sorted_mer[1:] != sorted_mer[:-1])) if len(mer) else np.zeros(0, bool)
-        start = np.maximum.accumulate(np.where(new, np.arange(len(mer)), 0))
-        number = np.empty(len(mer), dtype=np.uint64)
-        number[order] = (np.arange(len(mer)) - start).astype(np.uint64)
-        own = _mix(mer + number * np.uint64(0x9E3779B97F4A7C15))
-        rank = np.where(number == 0, rank, np.maximum(rank, own))
+        everything = wanted >= len(every)
+        low = slice(None) if everything else np.flatnonzero(every < np.uint64(2**64 * wanted // len(every)))
+        own, at = every[low], place[low]
         sketch = (own & np.uint64(SKETCHES - 1)).astype(np.int64)
         if everything or np.bincount(sketch, minlength=SKETCHES).min() >= TUPLE:
             break
         wanted *= 8
-    order = np.lexsort((at, rank, sketch))
+    order = np.lexsort((at, own, sketch))
     sketch, own, at = sketch[order], own[order], at[order]
     begin = np.flatnonzero(np.concatenate(([True], sketch[1:] != sketch[:-1])))
     place = np.arange(len(sketch)) - np.repeat(begin, np.diff(np.append(begin, len(sketch))))

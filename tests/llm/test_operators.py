@@ -191,6 +191,31 @@ def test_order_minhash():
     assert order_minhash.likeness(base, near) > 0.8 > 0.5 > order_minhash.likeness(base, order_minhash.signature(" ".join(shuffled).encode()))
 
 
+def test_order_minhash_counts_occurrences():
+    rng = random.Random(4)
+    near = lambda a, b: order_minhash.likeness(order_minhash.signature(a), order_minhash.signature(b))
+    for n in (1_000, 10_000, 100_000):
+        once = rng.randbytes(n)
+        assert near(once, once * 2) < 0.5  # half of the longer text is edited away
+        assert near(once + once[:n // 2], once + once[:n // 2] * 5) < 0.7
+    # Every (k-mer, occurrence) is as likely to be among the smallest as any other.
+    text = "a passage that comes again. " * 40 + "and one that comes once, of other words."
+    kmers = [text.encode()[i:i + order_minhash.K] for i in range(len(text) - order_minhash.K + 1)]
+    seen, plain = collections.Counter(), {}
+    for i, k in enumerate(kmers):
+        own = int(order_minhash._mix(np.array([int.from_bytes(k, "little") + seen[k] * 0x9E3779B97F4A7C15 & 2**64 - 1], dtype=np.uint64))[0])
+        seen[k] += 1
+        plain.setdefault(own % order_minhash.SKETCHES, []).append((own, i))
+    want = np.zeros(order_minhash.SKETCHES, dtype=np.uint16)
+    for sketch, ranked in plain.items():
+        chosen = np.array([own for _, own in sorted((i, own) for own, i in sorted(ranked)[:order_minhash.TUPLE])], dtype=np.uint64)
+        value = chosen[:1]
+        for own in chosen[1:]:
+            value = order_minhash._mix(value * order_minhash._B + own)
+        want[sketch] = max(int(order_minhash._mix(value)[0]) & 0xFFFF, 1)
+    assert (order_minhash.signature(text.encode()) == want).all()
+
+
 def test_successors(docs):
     rows = by_id(order_minhash.edit_sensitivity(docs.where("doc_id is not null").dropDuplicates(["doc_id"])))
     for i in range(len(TEXTS)):
