@@ -180,6 +180,20 @@ def test_seating():
     assert tables[0] == 0 and tables[1] == 1 and (tables <= counts).all() and tables[4] > tables[3]
 
 
+def test_seating_is_near_that_of_one_by_one():
+    rng, n, many = np.random.default_rng(3), 1000, 20_000
+    for discount, opening in ((0.67, 20.0), (0.5, 2.0)):
+        plain = np.ones(many)
+        for i in range(1, n):
+            plain += rng.random(many) < opening / (opening + i - discount * plain)
+        blocks = language_model.seat(np.full(many, n), np.full(many, opening), discount, np.random.default_rng(5))
+        assert abs(blocks.mean() / plain.mean() - 1) < 0.03
+
+
+def test_sampling_averages_several_draws_of_renewed_totals():
+    assert language_model.SWEEPS - language_model.BURN_IN >= 3 and language_model.PASSES >= 2
+
+
 def test_order_minhash():
     a = "the quick brown fox jumps over the lazy dog " * 5
     sig = order_minhash.signature(a.encode())
