@@ -70,8 +70,8 @@ def mixture(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sou
                                         word_count(F.col(text_col)).alias("size")))
 
 
-def mixture_of_sizes(sized: DataFrame) -> DataFrame:
-    """The mixture of units of known size (`doc_id`, `source`, `size`)."""
+def mixture_of_sizes(sized: DataFrame, *keep: str) -> DataFrame:
+    """The mixture of units of known size (`doc_id`, `source`, `size`), with the columns `keep`, which also order rows that repeat."""
     order = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
     rows = stage(sized.withColumn("rank", order))
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
@@ -81,7 +81,7 @@ def mixture_of_sizes(sized: DataFrame) -> DataFrame:
     earlier = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = parts.select("source", "bucket", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("start"))
     starts = stage(starts.join(plan.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of"))).drop("of"))
-    within = (Window.partitionBy("source", "bucket").orderBy("rank", "doc_id", "size")
+    within = (Window.partitionBy("source", "bucket").orderBy("rank", "doc_id", "size", *keep)
               .rowsBetween(Window.unboundedPreceding, -1))
     placed = (rows.withColumn("bucket", bucket).withColumn("inner", F.coalesce(F.sum("size").over(within), F.lit(0)))
               .join(starts.withColumnRenamed("source", "of").withColumnRenamed("bucket", "at"),
@@ -99,19 +99,17 @@ def mixture_of_sizes(sized: DataFrame) -> DataFrame:
     places = F.transform(F.sequence(F.lit(0), F.col("epochs") - 1), lambda e: invert_ramp(
         F.least(F.lit(1.0), (F.col("supply") + e * F.col("source_size")) / F.col("wanted")), F.col("ramp")))
     return (mixed.withColumn("positions", F.when(F.col("epochs") > 0, places))
-            .select("doc_id", "source", "size", "source_size", "target", "taken", "epochs", "positions"))
+            .select("doc_id", "source", "size", "source_size", "target", "taken", "epochs", "positions", *keep))
 
 
 def curriculum(docs: DataFrame) -> DataFrame:
     """The documents as they are trained on: each as often as at least half of it is taken, range-sorted by position.
 
-    Rows of one id, or without id, are one unit: the mix is reckoned on the largest of them and they go together.
+    Every row is a unit of its own, as in `mixture`, also where ids repeat or are null.
     """
-    name = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
-    units = docs.groupBy(name.alias("doc_id"), "source").agg(F.max(word_count(F.col("text"))).alias("size"))
-    mixed = mixture_of_sizes(units)
+    rows = stage(docs.withColumn("_row", F.monotonically_increasing_id()))
+    units = rows.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.col("_row").alias("unit"))
+    mixed = mixture_of_sizes(units, "unit")
     whole = F.round(F.col("taken") / F.col("size")).cast("int")
-    times = stage(mixed.where("size > 0").select(F.col("doc_id").alias("unit"), F.col("source").alias("unit_source"),
-                                                 F.explode(F.slice("positions", F.lit(1), whole)).alias("at")))
-    return (docs.join(times, (name == F.col("unit")) & docs.source.eqNullSafe(F.col("unit_source")))
-            .orderBy("at", "unit").select(*(docs[c] for c in docs.columns)))
+    times = stage(mixed.where("size > 0").select("unit", F.explode(F.slice("positions", F.lit(1), whole)).alias("at")))
+    return rows.join(times, F.col("_row") == F.col("unit")).orderBy("at", "unit").select(*docs.columns)

@@ -163,6 +163,20 @@ def test_mixture_takes_its_target(docs):
         assert sum(r.taken for r in own) == round(own[0].target) and all(r.taken <= 3 * r.size for r in own)
 
 
+def test_curriculum_meets_targets_where_ids_repeat(spark):
+    ids = [None, 7, 8, 9]
+    rows = [(ids[i % 4] if i % 4 < 2 else 100 + i, f"w{i} " * (5 + i % 3), "ab"[i // 40]) for i in range(80)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    target = {r.source: r.target for r in mixing.mixture(docs).select("source", "target").distinct().collect()}
+    words, times = collections.Counter(), collections.Counter()
+    for r in mixing.curriculum(docs).collect():
+        words[r.source] += len(r.text.split())
+        times[(r.doc_id, r.text, r.source)] += 1
+    assert all(abs(words[s] - target[s]) <= 7 for s in target) and set(target) == {"a", "b"}
+    for r in mixing.mixture(docs).where("doc_id >= 100").collect():
+        assert times[(r.doc_id, f"w{r.doc_id - 100} " * r.size, r.source)] == int(r.taken / r.size + 0.5)
+
+
 def test_language_model_base_and_normalisation(docs):
     rows = by_id(language_model.scores(docs))
     assert rows[0].n_tokens == 1 and rows[3].n_tokens == 3
