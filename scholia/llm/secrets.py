@@ -1,11 +1,12 @@
 """Secret scans: fixed patterns, and a battery of randomness tests with length-aware false-discovery control.
 
-A candidate is a long token whose characters fit an encoding (hex, base32, base64). Its symbols go through three tests of
+A candidate is a long token whose characters fit an encoding (hex, base32 and base36 in either case, base58, base62, base64, and what
+is left of them without a digit). Its symbols go through three tests of
 randomness: chi-squared uniformity over the encoding's alphabet, runs above and below the middle of the alphabet, and serial
 correlation of neighbours. For a random token the combined p-value is uniform on 0..1; words, paths and identifiers pile up near 0.
 Within each class of encoding and length, the flat upper part of the p-values of the whole corpus tells how many random tokens
-there are, and so which part of the tokens above a bound is false. The lowest bound with a false share of at most `FALSE_SHARE` is used.
-Short tokens have weak tests, so their class needs a higher bound or finds none.
+there are, and so which part of the tokens above a bound is false. The lowest bound whose false share and its error are at most
+`FALSE_SHARE` is used. Short tokens have weak tests, so their class needs a higher bound or finds none. Thin classes are merged.
 """
 
 from __future__ import annotations
@@ -31,11 +32,23 @@ ASSIGN_LEAST, ACCESS_LEAST = 8, 16
 WORDS = re.compile("passw|secret|token|api", re.I | re.A)
 
 TOKEN_LEAST = 16
-TOKEN = re.compile(r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*[0-9])[A-Za-z0-9+/_-]{16,}={0,2}(?![A-Za-z0-9+/_=-])")
-ALPHABETS = {"hex": "0123456789abcdef", "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567",
-             "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"}
+TOKEN = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}={0,6}(?![A-Za-z0-9+/_=-])")
+_UPPER, _LOWER, _DIGITS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
+ALPHABETS = {"hex": "0123456789abcdef", "base32": _UPPER + "234567", "base36": _DIGITS + _LOWER, "letters26": _LOWER,
+             "base58": "123456789ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnopqrstuvwxyz", "base62": _UPPER + _LOWER + _DIGITS,
+             "base64": _UPPER + _LOWER + _DIGITS + "+/", "letters52": _UPPER + _LOWER, "letters54": _UPPER + _LOWER + "+/"}
+# By number of cases and whether there is a digit: encodings from the narrowest. Random tokens that happen to fit a narrower alphabet
+# are random in it too. Of one case, letters count in either.
+NARROWEST = {(1, True): ("hex", "base32", "base36"), (1, False): ("letters26",),
+             (2, True): ("base58", "base62", "base64"), (2, False): ("letters52", "letters54")}
+_FITS = {name: frozenset(a if name not in ("hex", "base32", "base36", "letters26") else a.upper() + a.lower())
+         for name, a in ALPHABETS.items()}
+# Twentieths of the combined p-values of 240,000 simulated random tokens of 16 to 64 symbols: the tests are neither exact nor independent.
+CALIBRATION = (0.0, 0.035, 0.085, 0.141, 0.198, 0.257, 0.317, 0.377, 0.435, 0.491, 0.547,
+              0.602, 0.656, 0.706, 0.754, 0.8, 0.844, 0.887, 0.927, 0.965, 1.0)
 BINS = 20
 FALSE_SHARE = 0.05
+THIN = round(FALSE_SHARE ** -2)  # fewer tokens than this have too large an error by themselves
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -49,23 +62,23 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
+def _body(token: str) -> str:
+    return token.rstrip("=").replace("-", "+").replace("_", "/")
+
+
 def encoding_of(token: str) -> str | None:
-    """The narrowest alphabet that holds the token; base64 needs upper case, lower case and digits, hex letters and digits."""
-    body = token.rstrip("=").replace("-", "+").replace("_", "/")
-    kinds = [any(a <= c <= b for c in body) for a, b in (("A", "Z"), ("a", "z"), ("0", "9"))]
-    lower = body.lower()
-    if kinds[2] and (kinds[0] != kinds[1]) and all(c in ALPHABETS["hex"] for c in lower):
-        return "hex"
-    if kinds[0] and kinds[2] and not kinds[1] and all(c in ALPHABETS["base32"] for c in body):
-        return "base32"
-    return "base64" if all(kinds) else None
+    """The narrowest alphabet that holds the token; none without letters, or with one case and `+-/_`."""
+    body = set(_body(token))
+    cases = (not body.isdisjoint(_UPPER)) + (not body.isdisjoint(_LOWER))
+    return next((e for e in NARROWEST.get((cases, not body.isdisjoint(_DIGITS)), ()) if body <= _FITS[e]), None)
 
 
 def randomness(token: str, encoding: str) -> float:
     """Combined p-value of the three tests under the hypothesis that the symbols are random."""
-    body = token.rstrip("=").replace("-", "+").replace("_", "/")
-    alphabet = ALPHABETS[encoding]
-    x = np.array([alphabet.index(c) for c in (body.lower() if encoding == "hex" else body)], dtype=float)
+    body, alphabet = _body(token), ALPHABETS[encoding]
+    if alphabet.islower() or alphabet.isupper():
+        body = body.lower() if alphabet.islower() else body.upper()
+    x = np.array([alphabet.index(c) for c in body], dtype=float)
     n, size = len(x), len(alphabet)
     # Chi-squared over cells with about two or more expected symbols; Wilson and Hilferty's normal form.
     cells = max(2, min(size, n // 2))
@@ -89,7 +102,8 @@ def randomness(token: str, encoding: str) -> float:
     p_serial = math.erfc(abs(r * n + 1) / math.sqrt(n) / math.sqrt(2))
     # Fisher's combination of three: chi-squared with six degrees of freedom.
     half = -sum(math.log(max(p, 1e-300)) for p in (p_chi, p_runs, p_serial))
-    return math.exp(-half) * (1 + half + half * half / 2)
+    combined = math.exp(-half) * (1 + half + half * half / 2)
+    return float(np.interp(combined, CALIBRATION, np.linspace(0, 1, len(CALIBRATION))))
 
 
 def length_class(n: int) -> int:
@@ -106,18 +120,48 @@ def candidates(text: str) -> list[tuple[int, int, str, float]]:
     return out
 
 
+def merged(histogram: dict[str, list[int]]) -> list[tuple[list[str], list[int]]]:
+    """Classes with their counts, thin ones merged: neighbouring lengths of an encoding first, then encodings that are thin in all."""
+    def add(a, b):
+        return a[0] + b[0], [x + y for x, y in zip(a[1], b[1])]
+
+    by_encoding: dict[str, list[tuple[int, str]]] = {}
+    for name in histogram:
+        encoding, _, length = name.partition(":")
+        by_encoding.setdefault(encoding, []).append((int(length or 0), name))
+    out, rest = [], ([], [0] * BINS)
+    for _, classes in sorted(by_encoding.items()):
+        groups: list[tuple[list[str], list[int]]] = []
+        for _, name in sorted(classes):
+            own = ([name], list(histogram[name]))
+            if groups and sum(groups[-1][1]) < THIN:
+                groups[-1] = add(groups[-1], own)
+            else:
+                groups.append(own)
+        if len(groups) > 1 and sum(groups[-1][1]) < THIN:
+            groups[-2:] = [add(groups[-2], groups[-1])]
+        if sum(groups[0][1]) < THIN:
+            rest = add(rest, groups[0])
+        else:
+            out += groups
+    return [*out, rest] if rest[0] else out
+
+
 def bounds(histogram: dict[str, list[int]], false_share: float = FALSE_SHARE) -> dict[str, float]:
-    """Lowest p-value bound of each class with at most `false_share` of false tokens above it; none if no bound will do."""
+    """Lowest p-value bound of each class above which the share of false tokens, and its standard error, come to at most `false_share`;
+    none if no bound will do."""
     out = {}
-    for name, counts in histogram.items():
+    for names, counts in merged(histogram):
         half = BINS // 2
-        flat = min(sum(counts[half:half + half // 2]) / (half // 2), sum(counts[half + half // 2:]) / (half - half // 2))
-        above = 0
+        flat = sum(counts[half:]) / (BINS - half)
+        above, bound = 0, None
         for b in reversed(range(BINS)):
             above += counts[b]
-            true = flat * (BINS - b)
-            if above and true >= (1 - false_share) * above - 2 * math.sqrt(above):  # within sampling error of the flat part
-                out[name] = b / BINS
+            false = max(0.0, above - flat * (BINS - b))
+            if above and false + math.sqrt(above) <= false_share * above:
+                bound = b / BINS
+        if bound is not None:
+            out |= dict.fromkeys(names, bound)
     return out
 
 
@@ -131,7 +175,7 @@ def fitted_bounds(texts: DataFrame) -> dict[str, float]:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.string(), pa.int32(), pa.int64()))],
                                                  ["name", "bin", "token"])
 
-    # Copies of a token count once. One row for each class and bin comes back: classes are three encodings by half octaves of length.
+    # Copies of a token count once. One row for each class and bin comes back: classes are encodings by half octaves of length.
     distinct = texts.select("text").mapInArrow(tally, "name string, bin int, token long").distinct()
     histogram: dict[str, list[int]] = {}
     for r in distinct.groupBy("name", "bin").count().collect():

@@ -269,6 +269,27 @@ def test_random_tokens_are_told_from_words():
     assert secrets.bounds({"x": [900] * 4 + [0] * 16}) == {} and secrets.bounds({"x": [50] * 20}) == {"x": 0.0}
 
 
+def test_planted_keys_of_other_encodings(spark):
+    rng = random.Random(6)
+    alphabets = {"base36": "abcdefghijklmnopqrstuvwxyz0123456789", "base32": "abcdefghijklmnopqrstuvwxyz234567",
+                 "upper": "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "base58": secrets.ALPHABETS["base58"]}
+    keys = {k: ["".join(rng.choice(a) for _ in range(40)) for _ in range(2000)] for k, a in alphabets.items()}
+    words = "river stone cloud lamp paper garden window silver quiet morning".split()
+    slugs = ["".join(rng.sample(words, 5)) + str(i) for i in range(2000)]
+    rows = [(i, f"see {t} here") for i, t in enumerate([*sum(keys.values(), []), *slugs])]
+    clean = {r.doc_id: r.text for r in secrets.redact(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    hit = ["[SECRET]" in clean[i] for i in range(len(rows))]
+    for j in range(len(keys)):
+        assert np.mean(hit[2000 * j:2000 * (j + 1)]) > 0.5, list(keys)[j]
+    assert sum(hit[8000:]) <= 0.05 * sum(hit)
+
+
+def test_bounds_of_thin_classes():
+    assert secrets.bounds({"base64:12": [4] + [0] * 19}) == {} and secrets.bounds({"base64:12": [1] * 3 + [0] * 17}) == {}
+    assert secrets.bounds({"hex:10": [50] * 20, "hex:11": [1] * 20}) == {"hex:10": 0.0, "hex:11": 0.0}
+    assert secrets.bounds({"hex:10": [15] * 20, "base58:10": [15] * 20}) == {"hex:10": 0.0, "base58:10": 0.0}
+
+
 def test_pii_spans(docs):
     rows = by_id(pii.digest(pii.personal_data(docs)))
     assert rows[8][1:5] == (1, 1, 0, 1) and rows[9][3] == 1 and rows[12].n_email == 2
