@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scholia.session import stage_table
@@ -67,3 +67,36 @@ def components(edges: DataFrame) -> DataFrame:
         labels = jumped.select("node", "label")
         if not jumped.where("old != label").limit(1).count():
             return labels
+
+
+def salted_join(rows: DataFrame, facts: DataFrame, keys: list[str], spread: list[str], count: str = "n", heavy: int = 1000) -> DataFrame:
+    """Inner equi-join of `rows` with the one row that `facts` has for each key; `facts[count]` is the number of rows of that key.
+
+    A key with more than 1/`heavy` of all counted rows is cut into slices of that size: its rows go to one of them by a hash of the
+    columns `spread`, its fact to all. Fewer than `heavy` keys can be so frequent, so their broadcast is bounded. Keys must not be null.
+    """
+    total = facts.agg(F.sum(count)).first()[0] or 0
+    # A total is an integer literal of the plan, so a retried task cuts alike.
+    frequent = (facts.where(F.col(count) * heavy > total)
+                .select(*(F.col(k).alias(f"_{k}") for k in keys), F.ceil(F.col(count) * heavy / F.lit(max(total, 1))).cast("int").alias("_slices")))
+    same = [F.col(k) == F.col(f"_{k}") for k in keys]
+    named = [f"_{k}" for k in keys]
+    salted = (rows.join(F.broadcast(frequent), same, "left")
+              .withColumn("_salt", F.coalesce(F.pmod(F.xxhash64(*spread), F.col("_slices")).cast("int"), F.lit(0))).drop("_slices", *named))
+    copied = (facts.join(F.broadcast(frequent), same, "left")
+              .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_slices") - 1, F.lit(0))))).drop("_slices", *named))
+    return salted.join(copied, [*keys, "_salt"]).drop("_salt")
+
+
+def numbered(df: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """`df` with its place 1, 2, 3... in the order of `order`, which must end in something distinct so that ties can be cut anywhere.
+
+    Rows are sorted over ranges; what precedes a range is counted in a table of one row per range.
+    """
+    at = f"_{name}"
+    placed = stage(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn(at, F.monotonically_increasing_id()))
+    span = F.shiftright(at, 33)
+    before = (placed.groupBy(span.alias("_span")).agg(F.count("*").alias("_size"))
+              .select("_span", (F.sum("_size").over(Window.orderBy("_span")) - F.col("_size")).alias("_before")))
+    return (placed.withColumn("_span", span).join(F.broadcast(before), "_span")
+            .withColumn(name, F.col("_before") + F.col(at) % (1 << 33) + 1).drop(at, "_span", "_before"))
