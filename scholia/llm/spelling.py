@@ -35,6 +35,7 @@ PROBES = 5
 BLOCK_BITS = 512  # one block is 8 words of 64 bits
 ROUND_BYTES = 16 << 20
 EDITS_AT_ONCE = 1 << 21
+WORDS_A_TASK = 50_000
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BACK = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -217,11 +218,12 @@ def candidates(words: DataFrame, filters: Filters) -> DataFrame:
 def near_words(words: DataFrame, budget: int = ROUND_BYTES) -> DataFrame:
     """Staged (word, near, near_n): each pair of vocabulary words at one edit, in both directions."""
     sizes = {r["letters"]: r["count"] for r in words.groupBy("letters").count().collect()}
-    # Work on a word grows with its length, and few files would be few tasks.
-    dealt = stage(words.repartition(words.sparkSession.sparkContext.defaultParallelism * 2, "word"))
+    # A word makes hundreds of probes, so a small table is dealt over many tasks.
+    tasks = max(int(words.sparkSession.conf.get("spark.sql.shuffle.partitions")), sum(sizes.values()) // WORDS_A_TASK + 1)
+    dealt = words.repartition(tasks, "word")
     found = None
     for filters in rounds(sizes, budget):
-        let_through = stage(candidates(dealt, filled(filters, dealt)))
+        let_through = stage(candidates(dealt, filled(filters, words)))
         found = let_through if found is None else found.union(let_through)
     if found is None:
         return words.select("word", F.col("word").alias("near"), F.col("n").alias("near_n")).limit(0)
