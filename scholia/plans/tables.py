@@ -101,6 +101,25 @@ class Tables:
         fields = F.struct("stem", "option_a", "option_b", "option_c", F.concat(lead, F.col("rest")).alias("explanation"), stored.alias("stored"))
         return cut.select("doc_id", "topic", "quality", "text", F.inline(F.array(fields)))
 
+    def booklets(self) -> DataFrame:
+        """Items printed on the pages of one book a topic (doc, page_no, text). An item's second half stands on the next page, before the
+        next item's first half. Some items lack an option, have them out of order, or repeat a mark in the explanation."""
+        n = F.col("doc_id")
+        line = lambda mark, c: F.concat(F.lit(mark), c)
+        option_b, option_c = line("B) ", F.col("option_b")), line("C) ", F.col("option_c"))
+        lines = F.concat_ws("\n", line("Question #", F.concat(n.cast("string"), F.lit(" of 9999"))), line("Question ID: ", n.cast("string")), F.col("stem"),
+                            line("A) ", F.col("option_a")), F.when(n % 13 == 0, option_c).otherwise(option_b),
+                            F.when(n % 13 == 0, option_b).when(n % 11 != 0, option_c), F.lit("Explanation"),
+                            F.when(n % 17 == 0, F.lit("A) is repeated here")), F.col("explanation"),
+                            F.concat(F.lit("(Module "), (n % 9 + 1).cast("string"), F.lit(".2, LOS 3.a)\nfootnote")))
+        cut = self.items().select(F.col("topic").alias("doc"), "doc_id", F.floor(n / 20).alias("page_no"), F.split(lines, "\n").alias("lines"))
+        half = F.floor(F.size("lines") / 2).cast("int")
+        parts = cut.select("doc", "doc_id", F.inline(F.array(
+            F.struct(F.lit(1).alias("half"), F.col("page_no").alias("page_no"), F.array_join(F.slice("lines", F.lit(1), half), "\n").alias("text")),
+            F.struct(F.lit(0).alias("half"), (F.col("page_no") + 1).alias("page_no"), F.array_join(F.slice("lines", half + 1, X.REST), "\n").alias("text")))))
+        page = F.sort_array(F.collect_list(F.struct("half", "doc_id", "text")))
+        return parts.groupBy("doc", "page_no").agg(F.array_join(F.transform(page, lambda p: p["text"]), "\n").alias("text"))
+
     def records(self) -> DataFrame:
         """Whole documents with their label, if any."""
         docs = self.raw("documents").select("doc_id", F.col("source").alias("topic"), "text")
@@ -184,3 +203,14 @@ ITEMS = f"""items AS (
                substr('ABC', CAST((d.doc_id + 1) % 3 + 1 AS INT), 1) AS other,
                substr('ABC', CAST((d.doc_id + coalesce(quality, 0)) % 3 + 1 AS INT), 1) AS stored
         FROM (SELECT *, {sql_sentences(sql_strip('text'))} AS s FROM documents) d LEFT JOIN labels l ON l.doc_id = d.doc_id))"""
+
+BOOKLETS = ITEMS + """, printed AS (
+  SELECT topic AS doc, doc_id, CAST(floor(doc_id / 20) AS BIGINT) AS page_no, string_split(concat_ws(chr(10), 'Question #' || doc_id || ' of 9999', 'Question ID: ' || doc_id, stem,
+         'A) ' || option_a, CASE WHEN doc_id % 13 = 0 THEN 'C) ' || option_c ELSE 'B) ' || option_b END,
+         CASE WHEN doc_id % 13 = 0 THEN 'B) ' || option_b WHEN doc_id % 11 <> 0 THEN 'C) ' || option_c END, 'Explanation',
+         CASE WHEN doc_id % 17 = 0 THEN 'A) is repeated here' END, explanation,
+         '(Module ' || (doc_id % 9 + 1) || '.2, LOS 3.a)' || chr(10) || 'footnote'), chr(10)) AS lines FROM items),
+booklets AS (
+  SELECT doc, page_no, string_agg(text, chr(10) ORDER BY half, doc_id) AS text FROM (
+    SELECT doc, doc_id, 1 AS half, page_no, array_to_string(lines[1:len(lines) // 2], chr(10)) AS text FROM printed
+    UNION ALL SELECT doc, doc_id, 0, page_no + 1, array_to_string(lines[len(lines) // 2 + 1:], chr(10)) FROM printed) GROUP BY doc, page_no)"""

@@ -8,9 +8,10 @@ from scholia import fixed_values as V
 from scholia.functions import similarity as Sim
 from scholia.functions import text as X
 from scholia.operators import filters as Fl
+from scholia.operators import segmentation as Seg
 from scholia.plans import sql_text as Q
 from scholia.plans.registry import query
-from scholia.plans.tables import ITEMS, Tables, sql_sentences, sql_strip
+from scholia.plans.tables import BOOKLETS, ITEMS, Tables, sql_sentences, sql_strip
 
 
 def _docs(t: Tables):
@@ -207,6 +208,41 @@ def page_blocks(t: Tables):
             .where((F.length("head") >= 10) & (F.length("body") >= 2)).withColumn("body", F.md5("body")))
 
 
+def _tidy(lines: str) -> str:
+    clean = sql_strip(f"translate({lines}, '�' || chr(173) || chr(8203), '')")
+    return f"regexp_replace({sql_strip(f"regexp_replace({clean}, '\\s*\\n\\s*', ' ', 'g')")}, '  +', ' ', 'g')"
+
+
+def _part(state: str, drop: str = "") -> str:
+    line = f"CASE WHEN pos = {state} THEN regexp_replace(line, '{drop}', '') ELSE line END" if drop else "line"
+    return _tidy(f"coalesce(string_agg({line}, chr(10) ORDER BY pos) FILTER (WHERE part = '{state}'), '')")
+
+
+_ITEM_SQL = f"""WITH {BOOKLETS}, l AS (SELECT doc, page_no, unnest(string_split(text, chr(10))) AS line, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM booklets),
+ n AS (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY page_no, i) AS pos,
+   CASE WHEN regexp_matches(line, '^[ \\t]*Question\\s+#\\d+\\s+of\\s+\\d+') THEN 'h' WHEN regexp_matches(line, '^[ \\t]*[ABC]\\)(?:\\s|$)') THEN regexp_extract(line, '[ABC]')
+        WHEN regexp_matches(line, '^[ \\t]*(?i:explanation)[ \\t]*$') THEN 'e' ELSE '' END AS kind FROM l),
+ b AS (SELECT *, sum(CASE WHEN kind = 'h' THEN 1 ELSE 0 END) OVER (PARTITION BY doc ORDER BY pos) AS block FROM n),
+ a1 AS (SELECT doc, block, min(pos) FILTER (WHERE kind = 'A') AS a FROM b WHERE block > 0 GROUP BY ALL),
+ b1 AS (SELECT b.doc, b.block, any_value(a) AS a, min(pos) FILTER (WHERE kind = 'B' AND pos > a) AS bb, min(pos) FILTER (WHERE kind = 'C' AND pos > a) AS c0,
+               min(pos) FILTER (WHERE kind = 'e' AND pos > a) AS e FROM b JOIN a1 ON a1.doc = b.doc AND a1.block = b.block GROUP BY ALL),
+ c1 AS (SELECT * FROM b1 WHERE bb < c0 AND (e IS NULL OR e > c0)),
+ p AS (SELECT b.*, a, bb, c0, e, CASE WHEN pos < a THEN 's' WHEN pos < bb THEN 'a' WHEN pos < c0 THEN 'bb' WHEN e IS NULL OR pos < e THEN 'c0' ELSE 'e' END AS part
+       FROM b JOIN c1 ON c1.doc = b.doc AND c1.block = b.block),
+ f AS (SELECT doc, CAST(max(regexp_extract(line, '#([0-9]+)', 1)) FILTER (WHERE kind = 'h') AS BIGINT) AS number,
+   {_tidy("string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE part = 's' AND kind <> 'h' AND NOT regexp_matches(line, '^[ \\t]*Question\\s+ID:\\s*[0-9]+'))")} AS stem,
+   {_part('a', '^[ \\t]*A\\)')} AS option_a, {_part('bb', '^[ \\t]*B\\)')} AS option_b, {_part('c0', '^[ \\t]*C\\)')} AS option_c,
+   {_tidy("regexp_replace(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE part = 'e' AND kind <> 'e'), ''), '(?s)\\(Module\\s+\\d+.*$', '')")} AS explanation,
+   min(page_no) AS first_page, max(page_no) AS last_page FROM p GROUP BY doc, block)
+SELECT * FROM f WHERE length(stem) >= 10 AND least(length(option_a), length(option_b), length(option_c)) >= 2"""
+
+
+@query("X26 F10", _ITEM_SQL)
+def extracted_items(t: Tables):
+    """Whole items of the topics' booklets; most of them go over two pages."""
+    return Seg.extract_items(t.booklets())
+
+
 @query("X27", f"""WITH {ITEMS}, k AS (SELECT doc_id, (doc_id % 50 + 1) || '. ' || stored || ' ' || explanation || ' ' || (doc_id % 50 + 2) || '. Answer = ' || stored AS text FROM items),
  hits AS (SELECT doc_id, unnest(regexp_extract_all(text, '([0-9]{{1,3}})\\.\\s+(?:Answer\\s*[=:]\\s*)?([A-C])\\b', 1)) AS number,
                  unnest(regexp_extract_all(text, '([0-9]{{1,3}})\\.\\s+(?:Answer\\s*[=:]\\s*)?([A-C])\\b', 2)) AS letter FROM k)
