@@ -345,9 +345,11 @@ def containment_pairs(needles: DataFrame, texts: DataFrame, slice_rows: int = SL
     n_texts = texts.select("part", "text_id", "text")
 
     def look_up(some: DataFrame, anchors: Column, text_keys: Column) -> DataFrame:
-        t_keys = n_texts.select("part", "text_id", F.explode(text_keys).alias("key"))
-        counts = t_keys.groupBy("part", "key").agg(F.count("*").alias("n"))
         n_keys = some.select("part", "needle_id", F.explode(anchors).alias("key"))
+        # Only keys that some needle has are counted.
+        t_keys = (n_texts.select("part", "text_id", F.explode(text_keys).alias("key"))
+                  .join(n_keys.select("part", "key").distinct(), ["part", "key"], "left_semi"))
+        counts = t_keys.groupBy("part", "key").agg(F.count("*").alias("n"))
         # A key that no text has settles the needle: it occurs nowhere.
         rated = n_keys.join(counts, ["part", "key"], "left").groupBy("part", "needle_id").agg(
             F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "key")).alias("rare"))
@@ -382,6 +384,64 @@ def locate_pages(records: DataFrame, pages: DataFrame) -> DataFrame:
     return found.select("part", "record_id", "at.tier", "at.page_no")
 
 
+def word_hosts(words: DataFrame, tokens: DataFrame) -> DataFrame:
+    """(part, word, token, n) for each token that contains a word, from (part, word) and (part, token, n), both distinct.
+
+    A word is looked up by its rarest run of three characters (a shorter word by itself) among the tokens' runs of that length.
+    """
+    runs = lambda c, q: F.regexp_extract_all(c, F.lit("(?s)(?=(.{%d}))" % q), F.lit(1))
+    w_keys = words.select("part", "word", F.explode(F.array_distinct(F.when(F.length("word") > 3, runs(F.col("word"), 3)).otherwise(F.array("word")))).alias("key"))
+    t_keys = (tokens.select("part", "token", "n", F.explode(F.array_distinct(F.concat(*[runs(F.col("token"), q) for q in (1, 2, 3)]))).alias("key"))
+              .join(w_keys.select("part", "key").distinct(), ["part", "key"], "left_semi"))
+    counts = t_keys.groupBy("part", "key").agg(F.count("*").alias("_held"))
+    rarest = (w_keys.join(counts, ["part", "key"]).groupBy("part", "word").agg(F.min(F.struct("_held", "key")).alias("rare"))
+              .select("part", "word", "rare.key"))
+    return rarest.join(t_keys, ["part", "key"]).where(F.contains(F.col("token"), F.col("word"))).select("part", "word", "token", "n")
+
+
+def locate_by_words(records: DataFrame, pages: DataFrame, opening: int = 50, words: int = 8, hits: int = 6, fallback_words: int = 4,
+                    fallback_hits: int = 3, slice_rows: int = SLICE_ROWS) -> DataFrame:
+    """Page of each record by its first words: part, record_id, tier, page_no.
+
+    Takes (part, record_id, text) and (part, page_no, text). The words are those of the first `opening` characters; tier 1 are pages
+    that contain at least `hits` of the first `words` of them (all, if there are fewer), tier 2 those that contain `fallback_hits` of
+    the first `fallback_words`. A word may lie inside a longer one and counts as often as it is written. The lowest tier stands,
+    then the lowest page; records without words or page give no row.
+
+    A page with T of m words has one of any m - T + 1 of them, so only that many, the rarest ones, are looked up; all words are counted
+    on these candidates only.
+    """
+    flat = lambda c: X.collapse(F.lower(X.blank_if_null(c)))
+    listed = F.filter(F.split(F.substring(flat(F.col("text")), 1, opening), " "), lambda w: w != "")
+    cases = (records.select("part", "record_id", F.slice(listed, 1, words).alias("words")).where(F.size("words") > 0)
+             .withColumn("case", F.array_join("words", " ")))
+    texts = pages.select("part", "page_no", flat(F.col("text")).alias("text"))
+    distinct = cases.select("part", "case", "words").distinct()
+    held = texts.select("part", "page_no", F.explode(F.array_distinct(F.split("text", " "))).alias("token")).where("token <> ''")
+    tokens = held.groupBy("part", "token").agg(F.count("*").alias("n"))
+    each = distinct.select("part", "case", F.size("words").alias("m"), F.posexplode("words").alias("at", "word"))
+    hosts = word_hosts(each.select("part", "word").distinct(), tokens)
+    pages_with = hosts.groupBy("part", "word").agg(F.sum("n").alias("seen"))
+    rated = each.join(pages_with, ["part", "word"], "left").withColumn("seen", F.coalesce("seen", F.lit(0)))
+    rank = lambda few: F.row_number().over(Window.partitionBy("part", "case").orderBy(few, "seen", "word", "at"))
+    needed = F.least(F.lit(hits), F.col("m"))
+    second = F.col("at") < fallback_words
+    spare = F.least(F.lit(fallback_words), F.col("m")) - fallback_hits
+    probes = (rated.withColumn("_first", rank(F.lit(0))).withColumn("_second", rank(F.when(second, 0).otherwise(1)))
+              .where((F.col("seen") > 0) & ((F.col("_first") <= F.col("m") - needed + 1) | (second & (spare >= 0) & (F.col("_second") <= spare + 1))))
+              .select("part", "case", "word").distinct())
+    looked_up = probes.join(hosts, ["part", "word"]).select("part", "case", "token", "n").distinct()
+    met = sliced_join(looked_up, held, ["part", "token"], "page_no", tokens, slice_rows).select("part", "case", "page_no").distinct()
+    found = lambda some: F.size(F.filter(some, lambda w: F.contains(F.col("text"), w)))
+    counted = (met.join(distinct, ["part", "case"]).join(texts, ["part", "page_no"])
+               .select("part", "case", "page_no", F.size("words").alias("m"), found(F.col("words")).alias("all_hits"),
+                       found(F.slice("words", 1, fallback_words)).alias("few_hits")))
+    tier = F.when(F.col("all_hits") >= needed, 1).when(F.col("few_hits") >= fallback_hits, 2)
+    placed = (counted.withColumn("tier", tier).where(F.col("tier").isNotNull()).groupBy("part", "case")
+              .agg(F.min(F.struct("tier", "page_no")).alias("at")))
+    return cases.join(placed, ["part", "case"]).select("part", "record_id", "at.tier", "at.page_no")
+
+
 def resolve_by_key(left: DataFrame, right: DataFrame, left_text: str, right_text: str, left_pattern: str, right_pattern: str) -> DataFrame:
     """Join on a key that each side's text holds, such as a document number."""
     keyed = lambda d, c, p: d.withColumn("doc_key", F.nullif(F.regexp_extract(c, p, 1), F.lit(""))).where(F.col("doc_key").isNotNull())

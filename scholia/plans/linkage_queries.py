@@ -201,6 +201,25 @@ def located_passages(t: Tables):
     return L.locate_pages(records, pages).select("record_id", "tier", "page_no")
 
 
+_WORD_FLAT = "trim(regexp_replace(lower(coalesce(text, '')), '\\s+', ' ', 'g'))"
+
+
+@query("J16", f"""WITH r AS (SELECT item_id * 2 + back AS record_id, list_filter(string_split(left(CASE WHEN back = 0 THEN {_WORD_FLAT} ELSE trim(right({_WORD_FLAT}, 60)) END, 50), ' '), lambda w: w <> '')[1:8] AS ws
+   FROM benchmark, (VALUES (0), (1)) v(back)),
+ d AS (SELECT doc_id AS page_no, {_WORD_FLAT} AS txt FROM documents),
+ h AS (SELECT record_id, page_no, len(ws) AS m, len(list_filter(ws, lambda w: contains(txt, w))) AS n8, len(list_filter(ws[1:4], lambda w: contains(txt, w))) AS n4 FROM r, d WHERE len(ws) > 0),
+ k AS (SELECT record_id, page_no, CASE WHEN n8 >= least(6, m) THEN 1 WHEN n4 >= 3 THEN 2 END AS tier FROM h)
+SELECT record_id, tier, page_no FROM k WHERE tier IS NOT NULL QUALIFY row_number() OVER (PARTITION BY record_id ORDER BY tier, page_no) = 1""")
+def word_hit_pages(t: Tables):
+    """The first document, taken as a page, that holds most words of each benchmark passage's opening, and of its end."""
+    flat = X.collapse(F.lower(X.blank_if_null(F.col("text"))))
+    records = t.raw("benchmark").select(F.lit(0).alias("part"), "item_id", flat.alias("_t")).select("part", F.inline(F.array(
+        F.struct((F.col("item_id") * 2).alias("record_id"), F.col("_t").alias("text")),
+        F.struct((F.col("item_id") * 2 + 1).alias("record_id"), F.trim(F.right("_t", F.lit(60))).alias("text")))))
+    pages = t.raw("documents").select(F.lit(0).alias("part"), F.col("doc_id").alias("page_no"), "text")
+    return L.locate_by_words(records, pages).select("record_id", "tier", "page_no")
+
+
 @query("J17", """SELECT doc_id, page_id FROM documents JOIN pages ON CAST(doc_id AS VARCHAR) = regexp_extract(url, '/([0-9]+)', 1) WHERE regexp_extract(source, 'src([0-9]+)', 1) <> ''""")
 def pages_by_number(t: Tables):
     docs = t.raw("documents").select("doc_id", F.concat(F.lit("Document "), F.col("doc_id").cast("string")).alias("name"))

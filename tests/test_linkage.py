@@ -199,3 +199,28 @@ def test_alignment_skips_unequal_groups(spark):
     r = spark.createDataFrame([("g", 2, "a1"), ("g", 9, "a2"), ("h", 1, "a3"), ("h", 2, "a4")], "g string, o int, a string")
     got = {(x.g, x.q, x.a) for x in L.align_by_position(l, r, "g", "o").collect()}
     assert got == {("g", "q1", "a1"), ("g", "q2", "a2")}
+
+
+def test_word_hits_equal_every_record_against_every_page(spark):
+    pick = random.Random(5)
+    voc = ["a", "of", "in", "inner", "winner", "beta", "alpha", "alphabet", "bet", "gamma", "del", "delta", "é", "zeta", "x1", "()"]
+    pages = [(p, n, None if pick.random() < .03 else "  ".join(pick.choice(voc) for _ in range(pick.randint(0, 14))).title()) for p in "ab" for n in range(60)]
+    records = [(p, i, None if i == 7 else " ".join(pick.choice(voc) for _ in range(pick.randint(0, 11))) + "\n" * (i % 2)) for p in "ab" for i in range(50)]
+    records.append(("a", 99, records[3][2]))
+    got = L.locate_by_words(spark.createDataFrame(records, "part string, record_id long, text string").repartition(3),
+                            spark.createDataFrame(pages, "part string, page_no long, text string").repartition(3), slice_rows=7).collect()
+    flat = lambda t: " ".join((t or "").lower().split())
+    want = set()
+    for part, i, text in records:
+        words = flat(text)[:50].split()[:8]
+        best = None
+        for p, n, page in pages:
+            if p != part or not words:
+                continue
+            hits = lambda ws: sum(w in flat(page) for w in ws)
+            tier = 1 if hits(words) >= min(6, len(words)) else 2 if hits(words[:4]) >= 3 else None
+            if tier and (best is None or (tier, n) < best):
+                best = (tier, n)
+        if best:
+            want.add((part, i, *best))
+    assert {tuple(r) for r in got} == want and {r[2] for r in want} == {1, 2}
