@@ -67,3 +67,27 @@ def closed_sessions(t: Tables):
         F.concat_ws("-", F.col("user_id").cast("string"), F.date_format("day", "yyyyMMdd")).alias("session_id"), "started_at", "size",
         F.col("attempted_at").alias("ts"), F.col("is_correct").alias("correct"))
     return K.closed_sessions(answers, F.col("size") * V.SECONDS_PER_QUESTION)
+
+
+_KINDS = {"signup": "mock_partial", "purchase": "mock_full"}
+_LATENESS_HOURS = 1
+_TYPED = ATTEMPTS + """, d AS (SELECT *, CAST(attempted_at AS DATE) AS day FROM attempts), typed AS (
+  SELECT concat_ws('-', CAST(user_id AS VARCHAR), strftime(day, '%Y%m%d'), session_type) AS session_id, min(attempted_at) OVER w AS started_at, 2 * count(*) OVER w AS size,
+         CASE session_type WHEN 'signup' THEN 67 * 60 WHEN 'purchase' THEN 135 * 60 ELSE 2 * count(*) OVER w * 90 END AS budget, attempted_at AS ts, is_correct AS correct
+  FROM d WINDOW w AS (PARTITION BY user_id, day, session_type))"""
+
+
+@query("ST4", f"""WITH {_TYPED} SELECT session_id, CAST(max(size) AS BIGINT) AS size, count(*) FILTER (ts <= started_at + to_seconds(budget)) AS answered,
+ count(*) FILTER (correct AND ts <= started_at + to_seconds(budget)) AS correct FROM typed GROUP BY session_id
+HAVING max(started_at + to_seconds(budget)) < (SELECT max(ts) FROM typed) - INTERVAL {_LATENESS_HOURS} HOUR""")
+def streamed_closed_sessions(t: Tables):
+    """Sessions of a user, day and type that have reached their deadline when the replayed events end; later answers aren't counted."""
+    a = t.attempts().withColumn("day", F.to_date("attempted_at"))
+    facts = a.groupBy("user_id", "day", "session_type").agg(F.min("attempted_at").alias("started_at"), (2 * F.count("*")).alias("size"))
+    answers = (_attempt_stream(t).withColumn("day", F.to_date("attempted_at")).join(facts, ["user_id", "day", "session_type"])
+               .withColumn("kind", F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in _KINDS.items() for x in kv]), F.col("session_type")), F.lit("quiz")))
+               .select(F.concat_ws("-", F.col("user_id").cast("string"), F.date_format("day", "yyyyMMdd"), "session_type").alias("session_id"),
+                       F.col("started_at").cast("timestamp").alias("started_at"), "size", "kind", F.col("attempted_at").cast("timestamp").alias("ts"),
+                       F.col("is_correct").alias("correct")))
+    closed = K.closed_session_stream(answers, f"{_LATENESS_HOURS} hours", K.session_budget(F.col("kind"), F.col("size")))
+    return _run(t, closed, ["session_id"], "append")

@@ -94,10 +94,16 @@ CLOSED = T.StructType([T.StructField("session_id", T.StringType()), T.StructFiel
                        T.StructField("correct", T.LongType())])
 
 
-def closed_session_stream(answers: DataFrame, lateness: str, seconds_per_question: int = V.SECONDS_PER_QUESTION,
-                          retention: str = "1 day") -> DataFrame:
-    """Emit a session once, when the watermark passes its deadline. Answers after that are dropped: a closed session is remembered for
-    `retention` of event time. `lateness` is how far answers may lag behind the newest one.
+def session_budget(session_type: Column, size: Column, fixed: dict[str, int] = V.SESSION_BUDGETS, per_question: int = V.SECONDS_PER_QUESTION) -> Column:
+    """Seconds that a session may take: those of its type, or so many a question."""
+    named = F.create_map(*[F.lit(x) for kv in fixed.items() for x in kv]) if fixed else F.create_map().cast("map<string,int>")
+    return F.coalesce(F.try_element_at(named, session_type), size * per_question).cast("long")
+
+
+def closed_session_stream(answers: DataFrame, lateness: str, budget_sec: Column | None = None, retention: str = "1 day") -> DataFrame:
+    """Emit a session once, when the watermark passes its deadline, start + `budget_sec` (90 seconds a question, unless given).
+    A session first seen behind its deadline is emitted at once. Answers after the close don't count: a closed session is remembered
+    for `retention` of event time. `lateness` is how far answers may lag behind the newest one.
 
     Takes (session_id, started_at, size, ts, correct), times as TIMESTAMP in a session whose time zone is UTC.
     """
@@ -105,29 +111,29 @@ def closed_session_stream(answers: DataFrame, lateness: str, seconds_per_questio
     keep = int(pd.Timedelta(retention).total_seconds() * 1000)
 
     def fold(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            size, answered, correct, deadline = state.get
-            if deadline < 0:  # closed long ago
+        now = state.getCurrentWatermarkMs()
+        size, answered, correct, deadline = state.get if state.exists else (0, 0, 0, 0)
+        if state.exists and deadline < 0:  # closed; forget it in the end
+            if state.hasTimedOut:
                 state.remove()
-                return
+            else:
+                state.setTimeoutTimestamp(now + keep)
+            return
+        if not state.hasTimedOut:
+            parts = list(chunks)
+            rows = parts[0] if len(parts) == 1 else pd.concat(parts)
+            ends = rows["started_at"].iloc[0] + pd.Timedelta(seconds=int(rows["budget_sec"].iloc[0]))
+            timely = (rows["ts"] <= ends).to_numpy()
+            size, deadline = int(rows["size"].iloc[0]), int((ends if ends.tzinfo else ends.tz_localize("UTC")).timestamp() * 1000)
+            answered, correct = answered + int(timely.sum()), correct + int((timely & rows["correct"].to_numpy(dtype=bool)).sum())
+        if state.hasTimedOut or deadline < now:
             state.update((size, answered, correct, -1))
-            state.setTimeoutTimestamp(state.getCurrentWatermarkMs() + keep)
+            state.setTimeoutTimestamp(now + keep)
             yield pd.DataFrame([(key[0], size, answered, correct)], columns=CLOSED.names)
-            return
-        if state.exists and state.get[3] < 0:
-            state.setTimeoutTimestamp(state.getCurrentWatermarkMs() + keep)
-            return
-        rows = pd.concat(list(chunks))
-        start = rows["started_at"].iloc[0]
-        size = int(rows["size"].iloc[0])
-        deadline = start + pd.Timedelta(seconds=size * seconds_per_question)
-        timely = rows[rows["ts"] <= deadline]
-        answered, correct = (state.get[1], state.get[2]) if state.exists else (0, 0)
-        millis = int(deadline.tz_localize("UTC").timestamp() * 1000) if deadline.tzinfo is None else int(deadline.timestamp() * 1000)
-        state.update((size, answered + len(timely), correct + int(timely["correct"].sum()), millis))
-        # The timer must lie ahead of the watermark; a session that is already over closes with the next one.
-        state.setTimeoutTimestamp(max(millis, state.getCurrentWatermarkMs()) + 1)
-        yield pd.DataFrame([], columns=CLOSED.names)
-
-    return (answers.withWatermark("ts", lateness).groupBy("session_id")
+        else:
+            state.update((size, answered, correct, deadline))
+            state.setTimeoutTimestamp(deadline + 1)
+
+    budget = F.col("size") * V.SECONDS_PER_QUESTION if budget_sec is None else budget_sec
+    return (answers.withColumn("budget_sec", budget.cast("long")).withWatermark("ts", lateness).groupBy("session_id")
             .applyInPandasWithState(fold, CLOSED, DEADLINE_STATE, "append", GroupStateTimeout.EventTimeTimeout))

@@ -85,6 +85,29 @@ def test_deadline_stream_equals_batch(spark):
     assert [g for g in got if g[0] in ("s", "t")] == sorted(want)
 
 
+def test_deadline_stream_by_type_over_many_batches(spark):
+    """Every session is emitted once with the batch form's counts: budgets by type, answers after the close, a session that is first seen
+    behind its deadline."""
+    rng, folder = random.Random(3), tempfile.mkdtemp(prefix="run-", dir="/tmp")
+    kinds, data = ["quiz", "mock_partial", "mock_full"], []
+    for s in range(60):
+        kind, size, start = kinds[s % 3], rng.randrange(1, 30), T0 + dt.timedelta(minutes=20 * s)
+        for _ in range(rng.randrange(1, 12)):
+            data.append((f"s{s}", kind, start, size, start + dt.timedelta(minutes=rng.randrange(0, 200)), rng.random() < 0.5))
+    data.append(("after", "quiz", T0, 2, T0 + dt.timedelta(minutes=700), True))
+    data.sort(key=lambda r: r[4])
+    data.append(("end", "quiz", T0 + dt.timedelta(days=3), 1, T0 + dt.timedelta(days=3), True))
+    schema = "session_id string, kind string, started_at timestamp, size long, ts timestamp, correct boolean"
+    for i in range(0, len(data), 60):
+        spark.createDataFrame(data[i:i + 60], schema).coalesce(1).write.mode("append").parquet(folder + "/log")
+    budget = K.session_budget(F.col("kind"), F.col("size"))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(folder + "/log")
+    sinks.write_changes(K.closed_session_stream(stream, "10 minutes", budget, retention="2 days"), folder + "/out", mode="append").awaitTermination()
+    got = sorted(tuple(r) for r in spark.read.parquet(folder + "/out/rows").select("session_id", "size", "answered", "correct").collect())
+    want = K.closed_sessions(spark.createDataFrame(data, schema), budget).where("session_id <> 'end'")
+    assert got == sorted(tuple(r) for r in want.select("session_id", "size", "answered", "correct").collect())
+
+
 def test_dump_with_byte_order_mark_and_drift(spark):
     folder = tempfile.mkdtemp(prefix="run-", dir="/tmp")
     with open(folder + "/dump.json", "w", encoding="utf-8-sig") as f:
