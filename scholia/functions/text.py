@@ -89,6 +89,16 @@ def bag_words(text: Column) -> Column:
     return words(text, "[a-z0-9]{3,}")
 
 
+def multiset(words: Column) -> Column:
+    """A bag as a sorted set: the k-th further occurrence of a word is the element "word#k", so the size of the intersection of two such
+    sets is the sum of the smaller counts. Repeats are found as runs in the sorted words, joined into one text."""
+    runs = "(?<![^\u0001])([^\u0001]++)(?:\u0001\\1(?![^\u0001]))++"
+    repeated = lambda s: F.regexp_extract_all(F.array_join(s, "\u0001"), F.lit(runs), F.lit(0))
+    more = lambda r: let(F.split(r, "\u0001"), lambda w: F.transform(
+        F.sequence(F.lit(2), F.size(w)), lambda k: F.concat_ws("#", F.get(w, F.lit(0)), k.cast("string"))))
+    return let(F.sort_array(words), lambda s: F.sort_array(F.concat(F.array_distinct(s), F.flatten(F.transform(repeated(s), more)))))
+
+
 def ligature_free_words(text: Column) -> Column:
     """Words with ligature letters removed, at least two characters long; a lost glyph makes no difference."""
     return F.filter(F.transform(words(text, "[a-z0-9]+"), lambda w: F.regexp_replace(w, V.LIGATURES, "")),

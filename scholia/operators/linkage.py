@@ -18,6 +18,7 @@ from scholia.functions import text as X
 from scholia.session import stage_table
 
 SLICE_ROWS = 100_000
+HOT_KEYS = 1_000
 
 
 def fold_copies(df: DataFrame, id_name: str, content: list[str], out: str) -> DataFrame:
@@ -25,61 +26,66 @@ def fold_copies(df: DataFrame, id_name: str, content: list[str], out: str) -> Da
     return df.groupBy(*content).agg(F.min(id_name).alias(out), F.count("*").alias(f"{out}_copies"))
 
 
-def with_ref_counts(probes: DataFrame, ref_counts: DataFrame, keys: list[str]) -> DataFrame:
-    """Probe rows whose key some reference has, with the number n of such references."""
-    return probes.join(ref_counts, keys)
+def hot_counts(counts: DataFrame, keys: list[str], slice_rows: int = SLICE_ROWS) -> DataFrame:
+    """The most frequent keys of (keys, n) with more than `slice_rows` rows; at most `HOT_KEYS`, so they can be broadcast. A key that is
+    not among them has at most 1/`HOT_KEYS` of all rows, or `slice_rows`."""
+    return counts.where(F.col("n") > slice_rows).orderBy(F.col("n").desc(), *keys).limit(HOT_KEYS).select(*keys, "n")
 
 
-def sliced_join(probes: DataFrame, refs: DataFrame, keys: list[str], ref_id: str, ref_counts: DataFrame,
-                slice_rows: int = SLICE_ROWS) -> DataFrame:
-    """Inner equi-join on `keys` in which every key with more than `slice_rows` reference rows is cut into slices.
+def with_counts(rows: DataFrame, counts: DataFrame, keys: list[str], row_id: str, slice_rows: int = SLICE_ROWS) -> DataFrame:
+    """Left join of rows with the count n of their key. Hot keys get theirs from a broadcast, and their rows are dealt out by `row_id`."""
+    hot = F.broadcast(hot_counts(counts, keys, slice_rows).withColumnRenamed("n", "_hot"))
+    lot = F.when(F.col("_hot").isNull(), 0).otherwise(F.pmod(F.xxhash64(row_id), F.lit(HOT_KEYS)).cast("int") + 1)
+    return (rows.join(hot, keys, "left").withColumn("_lot", lot).join(counts.select(*keys, "n", F.lit(0).alias("_lot")), [*keys, "_lot"], "left")
+            .withColumn("n", F.coalesce("_hot", "n")).drop("_hot", "_lot"))
 
-    `ref_counts` holds (keys, n) and the probe rows carry their n. Reference rows of a frequent key go to a slice by their id,
-    probe rows to all of its slices.
+
+def sliced_join(probes: DataFrame, refs: DataFrame, keys: list[str], ref_id: str, ref_counts: DataFrame, slice_rows: int = SLICE_ROWS,
+                probe_id: str | None = None, probe_counts: DataFrame | None = None) -> DataFrame:
+    """Inner equi-join on `keys` in which every hot key is cut into slices of about `slice_rows` rows, on the side of the references and,
+    with `probe_counts`, of the probes too.
+
+    Both counts hold (keys, n). Rows of a hot key go to one slice of their own side by their id and to all slices of the other.
+    Which keys are hot is broadcast to both sides, so no row is moved by a hot key alone.
     """
-    slices = lambda n: F.ceil(n / slice_rows).cast("int")
-    hot = ref_counts.where(F.col("n") > slice_rows).select(*keys, slices(F.col("n")).alias("_slices"))
-    left = probes.withColumn("_slice", F.explode(F.sequence(F.lit(0), slices(F.col("n")) - 1))).drop("n")
-    right = (refs.join(hot, keys, "left")
-             .withColumn("_slice", F.when(F.col("_slices").isNull(), 0).otherwise(F.pmod(F.xxhash64(ref_id), F.col("_slices")).cast("int"))).drop("_slices"))
-    return left.join(right, [*keys, "_slice"]).drop("_slice")
-
-
-def bag_documents(df: DataFrame, id_name: str, words: str, repeats: bool = True, only: DataFrame | None = None) -> DataFrame:
-    """(part, id, elements, sig): a bag as a set. The k-th further occurrence of a word is the element "word#k", so the size of the
-    intersection of two such sets is the sum of the smaller counts. Without `repeats`, plain distinct words. `sig` is a digest.
-
-    `only` is a (part, word) table to restrict the words to."""
-    if not repeats:
-        bags = df.select("part", id_name, F.array_sort(F.array_distinct(words)).alias("elements")).where(F.size("elements") > 0)
-    else:
-        # Partitioned by document first: counting and collecting its words then need no further shuffle.
-        placed = df.select("part", id_name, words).repartition("part", id_name)
-        rows = placed.select("part", id_name, F.explode(words).alias("word"))
-        if only is not None:
-            rows = rows.join(only, ["part", "word"], "left_semi")
-        counted = rows.groupBy("part", id_name, "word").agg(F.count("*").cast("int").alias("n"))
-        again = F.transform(F.sequence(F.lit(2), F.col("n")), lambda k: F.concat_ws("#", "word", k.cast("string")))
-        each = F.when(F.col("n") == 1, F.array("word")).otherwise(F.concat(F.array("word"), again))
-        bags = counted.groupBy("part", id_name).agg(F.array_sort(F.flatten(F.collect_list(each))).alias("elements"))
+    def slices(df: DataFrame, counts: DataFrame | None, name: str) -> DataFrame:
+        if counts is None:
+            return df.withColumn(name, F.lit(1))
+        cut = hot_counts(counts, keys, slice_rows).select(*keys, F.ceil(F.col("n") / slice_rows).cast("int").alias(name))
+        return df.join(F.broadcast(cut), keys, "left").withColumn(name, F.coalesce(name, F.lit(1)))
+
+    def dealt(df: DataFrame, own: str, own_id: str | None, other: str) -> DataFrame:
+        rows = slices(slices(df, ref_counts, "_refs"), probe_counts, "_probes")
+        at = F.pmod(F.xxhash64(own_id), F.col(own)).cast("int") if own_id else F.lit(0)
+        return (rows.withColumn(f"{own}_at", at).withColumn(f"{other}_at", F.explode(F.sequence(F.lit(0), F.col(other) - 1)))
+                .drop("_refs", "_probes"))
+
+    left = dealt(probes, "_probes", probe_id if probe_counts is not None else None, "_refs")
+    return left.join(dealt(refs, "_refs", ref_id, "_probes"), [*keys, "_refs_at", "_probes_at"]).drop("_refs_at", "_probes_at")
+
+
+def bag_documents(df: DataFrame, id_name: str, words: str, repeats: bool = True) -> DataFrame:
+    """(part, id, elements, sig, and the column `share` where there is one): the bag of each row, made from that row alone. Without `repeats`,
+    plain distinct words. `sig` is a digest."""
+    elements = X.multiset(F.col(words)) if repeats else F.sort_array(F.array_distinct(words))
+    kept = [c for c in ("share",) if c in df.columns]
+    # `inline` keeps the filter and the digest from making the bag anew.
+    bags = df.select("part", id_name, *kept, F.inline(F.array(F.struct(elements.alias("elements"))))).where(F.size("elements") > 0)
     return bags.withColumn("sig", F.md5(F.array_join("elements", " ")))
 
 
 def fold_bags(docs: DataFrame, id_name: str, side: str) -> DataFrame:
     """One row per distinct bag of a part: digest, smallest id, copies, elements and size, prefixed with `side`."""
     return (docs.groupBy("part", F.col("sig").alias(f"{side}_sig"))
-            .agg(F.min(id_name).alias(f"{side}_rep"), F.count("*").alias(f"{side}_copies"), F.any_value("elements").alias(f"{side}_elements"))
+            .agg(F.min(id_name).alias(f"{side}_rep"), F.count("*").alias(f"{side}_copies"), F.any_value("elements").alias(f"{side}_elements"),
+                 *[F.min(c).alias(f"{side}_{c}") for c in ("share",) if c in docs.columns])
             .withColumn(f"{side}_size", F.size(f"{side}_elements")))
 
 
-def vocabulary(docs: DataFrame) -> DataFrame:
-    """Distinct (part, word) of bags."""
-    return docs.select("part", F.explode("elements").alias("word")).where(~F.contains(F.col("word"), F.lit("#"))).distinct()
-
-
-def overlap_pairs(probes: DataFrame, refs: DataFrame, min_share: float, of_larger: bool = False, repeats: bool = True,
-                  slice_rows: int = SLICE_ROWS, reduce_refs: bool = True) -> DataFrame:
-    """All (probe, reference representative) pairs of a part whose bags overlap by at least `min_share`.
+def overlap_pairs(probes: DataFrame, refs: DataFrame, min_share: float | None, of_larger: bool = False, repeats: bool = True,
+                  slice_rows: int = SLICE_ROWS) -> DataFrame:
+    """All (probe, reference representative) pairs of a part whose bags overlap by at least `min_share`; without it, by at least the
+    probe's own column `share` (of probes with one bag, the smallest).
 
     Takes (part, probe_id, words) and (part, ref_id, words); gives part, probe_id, ref_id, ref_id_copies, score. The score is
     the overlap over the probe's size, or over the larger side with `of_larger`.
@@ -88,48 +94,46 @@ def overlap_pairs(probes: DataFrame, refs: DataFrame, min_share: float, of_large
     must share k of them within the first (size - needed + k), so the most frequent words are not joined on. k is a tenth of
     `needed`: a slightly longer head, and far fewer chance candidates. Every candidate is scored on the full bags, and no pair
     above the share is lost.
-
-    Words that no probe has cannot count, so the reference bags are cut down to those of the probes (`reduce_refs`) by a semi-join, at
-    every size; references that become equal thereby score the same for every probe and count as copies.
     """
-    # Both are read several times below, so they are written once.
-    p_docs = stage_table(bag_documents(probes, "probe_id", "words", repeats))
-    only = vocabulary(p_docs) if repeats and reduce_refs and not of_larger else None
-    r_docs = stage_table(bag_documents(refs, "ref_id", "words", repeats, only))
+    p_docs, r_docs = bag_documents(probes, "probe_id", "words", repeats), bag_documents(refs, "ref_id", "words", repeats)
     p, r = fold_bags(p_docs, "probe_id", "p"), fold_bags(r_docs, "ref_id", "r")
-    rows = lambda d, side: d.select("part", f"{side}_sig", f"{side}_size", F.explode(f"{side}_elements").alias("element"))
+    share = {"p": F.col("p_share") if min_share is None else F.lit(min_share), "r": F.lit(min_share)}
+    own = ["p_share"] if min_share is None else []
+    rows = lambda d, side, *more: d.select("part", f"{side}_sig", f"{side}_size", *more, F.explode(f"{side}_elements").alias("element"))
     r_rows = rows(r, "r")
-    counts = r_rows.groupBy("part", "element").agg(F.count("*").alias("n"))
-    needed = lambda size: F.greatest(F.ceil(F.lit(min_share) * size - 1e-9), F.lit(1))
-    meets = lambda size: F.ceil(needed(size) / 10)
+    counted = lambda d: d.groupBy("part", "element").agg(F.count("*").alias("n"))
+    counts = counted(r_rows)
+    needed = lambda side: F.greatest(F.ceil(share[side] * F.col(f"{side}_size") - 1e-9), F.lit(1))
+    meets = lambda side: F.ceil(needed(side) / 10)
 
-    def heads(elements: DataFrame, side: str, drop: list[str]) -> DataFrame:
+    def heads(elements: DataFrame, side: str) -> DataFrame:
         order = Window.partitionBy("part", f"{side}_sig").orderBy(F.coalesce("n", F.lit(0)), "element")
-        size = F.col(f"{side}_size")
-        return (elements.join(counts, ["part", "element"], "left").withColumn("_at", F.row_number().over(order))
-                .where((F.col("_at") <= size - needed(size) + meets(size)) & F.col("n").isNotNull()).drop("_at", *drop))
-
-    p_heads = heads(rows(p, "p"), "p", [])
-    r_keys = heads(r_rows, "r", ["n"]) if of_larger else r_rows
-    pairs = sliced_join(p_heads, r_keys, ["part", "element"], "r_sig", counts, slice_rows)
+        rated = with_counts(elements, counts, ["part", "element"], f"{side}_sig", slice_rows)
+        return (rated.withColumn("_at", F.row_number().over(order))
+                .where((F.col("_at") <= F.col(f"{side}_size") - needed(side) + meets(side)) & F.col("n").isNotNull()).drop("_at", "n"))
+
+    p_rows = rows(p, "p", *own)
+    p_heads = heads(p_rows, "p")
+    r_keys = heads(r_rows, "r") if of_larger else r_rows
+    pairs = sliced_join(p_heads, r_keys, ["part", "element"], "r_sig", counts, slice_rows, "p_sig", counted(p_rows))
     if of_larger:
         pairs = pairs.where((F.col("r_size") >= min_share * F.col("p_size") - 1e-9) & (F.col("p_size") >= min_share * F.col("r_size") - 1e-9))
-    least = F.least(meets(F.col("p_size")), meets(F.col("r_size"))) if of_larger else meets(F.col("p_size"))
-    pairs = (pairs.groupBy("part", "p_sig", "r_sig", "p_size", *(["r_size"] if of_larger else [])).agg(F.count("*").alias("_met"))
+    least = F.least(meets("p"), meets("r")) if of_larger else meets("p")
+    pairs = (pairs.groupBy("part", "p_sig", "r_sig", "p_size", *own, *(["r_size"] if of_larger else [])).agg(F.count("*").alias("_met"))
              .where(F.col("_met") >= least).select("part", "p_sig", "r_sig"))
     whole = F.greatest("p_size", "r_size") if of_larger else F.col("p_size")
-    scored = (pairs.join(p.select("part", "p_sig", "p_elements", "p_size"), ["part", "p_sig"])
+    scored = (pairs.join(p.select("part", "p_sig", "p_elements", "p_size", *own), ["part", "p_sig"])
               .join(r.select("part", "r_sig", "r_rep", "r_copies", "r_elements", "r_size"), ["part", "r_sig"])
-              .select("part", "p_sig", F.col("r_rep").alias("ref_id"), F.col("r_copies").alias("ref_id_copies"),
+              .select("part", "p_sig", F.col("r_rep").alias("ref_id"), F.col("r_copies").alias("ref_id_copies"), share["p"].alias("_least"),
                       (F.size(F.array_intersect("p_elements", "r_elements")) / whole).alias("score"))
-              .where(F.col("score") >= min_share))
+              .where(F.col("score") >= F.col("_least")))
     members = p_docs.select("part", "probe_id", F.col("sig").alias("p_sig"))
     return scored.join(members, ["part", "p_sig"]).select("part", "probe_id", "ref_id", "ref_id_copies", "score")
 
 
 def best_match(pairs: DataFrame, keys: list[str] = ["part", "probe_id"]) -> DataFrame:
     """Best reference per probe, the smaller id on a tie, with the runner-up's score (its own score if it has copies)."""
-    ranked = F.array_sort(F.collect_list("_ranked"))
+    ranked = F.sort_array(F.collect_list("_ranked"))
     order = Window.partitionBy(*keys).orderBy(F.col("score").desc(), "ref_id")
     two = (pairs.withColumn("_rn", F.row_number().over(order)).where(F.col("_rn") <= 2)
            .withColumn("_ranked", F.struct("_rn", "ref_id", "score", "ref_id_copies")))
@@ -157,7 +161,54 @@ def retry_matches(first: DataFrame, probes: DataFrame, refs: DataFrame, accept:
     return found.unionByName(again.withColumn("round", F.lit(2)).withColumn("part", F.col("part").cast(first.schema["part"].dataType)))
 
 
-GATE_SHARES = (0.45, 0.2, 0.0)
+def _options(df: DataFrame, id_name: str, side: str) -> DataFrame:
+    """(part, id, a, b, c with the side's mark, and their letter counts)."""
+    bare = df.select("part", id_name, *[F.lower(X.strip(X.blank_if_null(F.col(o)))).alias(f"{side}_{o}") for o in "abc"])
+    return bare.withColumns({f"{side}_{o}_counts": Sim.letter_counts(F.col(f"{side}_{o}")) for o in "abc"})
+
+
+def _options_agree(pairs: DataFrame, floor: float) -> DataFrame:
+    """The pairs whose three options all have a ratio of at least `floor`. Letter counts refuse most others before any ratio, and each
+    pair of option sets is rated once."""
+    possible, likely = F.lit(True), F.lit(True)
+    for o in "abc":
+        possible &= Sim.ratio_possible(F.col(f"p_{o}"), F.col(f"r_{o}"), floor)
+        likely &= Sim.ratio_reachable(F.col(f"p_{o}"), F.col(f"r_{o}"), F.col(f"p_{o}_counts"), F.col(f"r_{o}_counts"), floor)
+    pairs = pairs.where(possible & likely)
+    texts = [f"{s}_{o}" for o in "abc" for s in "pr"]
+    once = pairs.select(*texts).distinct()
+    rated = once.withColumns({f"x_{o}": Sim.sequence_ratio(F.col(f"p_{o}"), F.col(f"r_{o}")) for o in "abc"})
+    return pairs.join(rated.where(F.least("x_a", "x_b", "x_c") >= floor).select(*texts), texts, "left_semi")
+
+
+def option_neighbours(probes: DataFrame, refs: DataFrame, floor: float, slice_rows: int = SLICE_ROWS) -> DataFrame:
+    """(part, probe_id, ref_id) whose three options all look alike and whose words have one in common.
+
+    Texts with a ratio of `floor` differ in length by at most (2 - floor) / floor, so each option falls into the same or the next band
+    of lengths on that scale. References are looked up by a word and the bands of all three options together.
+    """
+    step = math.log((2 - floor) / floor)
+    # An empty option is like empty ones only, so its band lies apart.
+    band = lambda o: F.when(F.length(o) == 0, -9).otherwise(F.floor(F.log(F.length(o).cast("double")) / step + 1e-9)).cast("int")
+    p, r = _options(probes, "probe_id", "p"), _options(refs, "ref_id", "r")
+    key = lambda *bands: F.xxhash64("part", "word", *bands)
+    around = lambda c: F.when(c == -9, F.array(c)).otherwise(F.array(c - 1, c, c + 1))
+    with_words = lambda d, src, id_name: d.join(src.select("part", id_name, F.explode(F.array_distinct("words")).alias("word")), ["part", id_name])
+    bands = lambda d, side: d.select("part", f"{'probe' if side == 'p' else 'ref'}_id", *[band(F.col(f"{side}_{o}")).alias(f"band_{o}") for o in "abc"])
+    p_bands, r_bands = bands(p, "p"), bands(r, "r")
+    for o in "abc":
+        p_bands = p_bands.withColumn(f"band_{o}", F.explode(around(F.col(f"band_{o}"))))
+    names = [f"band_{o}" for o in "abc"]
+    p_keys = with_words(p_bands, probes, "probe_id").select("part", "probe_id", key(*names).alias("key"))
+    r_keys = with_words(r_bands, refs, "ref_id").select("part", "ref_id", key(*names).alias("key"))
+    counted = lambda d: d.groupBy("part", "key").agg(F.count("*").alias("n"))
+    met = sliced_join(p_keys, r_keys, ["part", "key"], "ref_id", counted(r_keys), slice_rows, "probe_id", counted(p_keys)).select("part", "probe_id", "ref_id").distinct()
+    rows = met.join(p, ["part", "probe_id"]).join(r, ["part", "ref_id"])
+    # Keys are hashes, so a shared word is made sure of by the score that the caller needs anyway.
+    return _options_agree(rows, floor).select("part", "probe_id", "ref_id")
+
+
+GATE_SHARE = 0.45
 
 
 def gated_matches(probes: DataFrame, refs: DataFrame, ratio_floor: float = 0.8, near_top: float = 0.9, alone: float = 0.85,
@@ -165,44 +216,42 @@ def gated_matches(probes: DataFrame, refs: DataFrame, ratio_floor: float = 0.8,
     """Among candidates within 90 % of the top word score, the first whose three options all look alike; else the top one alone
     from 0.85 on, marked low confidence.
 
-    Takes (part, id, words, a, b, c) on both sides. Probes are searched with a high share first; only those without a
-    candidate go on to a lower share, down to any shared word, so the top candidates are complete at every stage.
+    Takes (part, id, words, a, b, c) on both sides. Probes with a word score of 0.5 or more have all their candidates among the pairs
+    that share 45 % of the words. For the others, references with like options are found by an index on words and option lengths;
+    only probes that have some need to know their top score, and it is searched from the score of their best such reference on.
     """
     long_enough = probes.where(F.size("words") >= min_words)
-    found, left = None, long_enough
-    for share in GATE_SHARES:
-        pairs = stage_table(overlap_pairs(left, refs, share, reduce_refs=False))  # read by this stage and, through the rest, by the next
-        top = pairs.groupBy("part", "probe_id").agg(F.max("score").alias("top"))
-        # All candidates within `near_top` of the best are there once the best reaches share / near_top.
-        top = top.where(F.col("top") >= share / near_top)
-        kept = pairs.join(top, ["part", "probe_id"]).where(F.col("score") >= near_top * F.col("top"))
-        found = kept if found is None else found.unionByName(kept)
-        left = left.join(top, ["part", "probe_id"], "left_anti")
-    side = lambda d, id_name, tag: d.select("part", id_name, *[F.lower(X.strip(X.blank_if_null(F.col(o)))).alias(f"{tag}_{o}") for o in "abc"])
+    first = stage_table(overlap_pairs(long_enough, refs, GATE_SHARE))  # read for the candidates and for the probes that have none
+    tops = first.groupBy("part", "probe_id").agg(F.max("score").alias("top")).where(F.col("top") >= GATE_SHARE / near_top)
+    close = first.join(tops, ["part", "probe_id"]).where(F.col("score") >= near_top * F.col("top")).select("part", "probe_id", "ref_id", "score")
     # Copies share their words, not necessarily their options, so all members of a representative are compared.
-    members = ref_members(refs)
-    rows = (found.join(members, ["part", "ref_id"]).drop("ref_id").withColumnRenamed("member_id", "ref_id")
-            .join(side(probes, "probe_id", "p"), ["part", "probe_id"]).join(side(refs, "ref_id", "r"), ["part", "ref_id"]))
-    for o in "abc":
-        rows = rows.where(Sim.ratio_possible(F.col(f"p_{o}"), F.col(f"r_{o}"), ratio_floor))
-    agreeing = rows.withColumns({f"x_{o}": Sim.sequence_ratio(F.col(f"p_{o}"), F.col(f"r_{o}")) for o in "abc"})
-    agreeing = agreeing.where(F.least("x_a", "x_b", "x_c") >= ratio_floor)
-    first = lambda d, name: d.groupBy("part", "probe_id").agg(F.min_by(F.struct("ref_id", "score"), F.struct(-F.col("score"), "ref_id")).alias(name))
-    out = (probes.select("part", "probe_id").join(first(agreeing, "gate"), ["part", "probe_id"], "left")
-           .join(first(found, "top"), ["part", "probe_id"], "left"))
+    bags = bag_documents(refs, "ref_id", "words").select("part", "sig", "ref_id")
+    members = (bags.groupBy("part", "sig").agg(F.min("ref_id").alias("rep")).join(bags, ["part", "sig"])
+               .select("part", F.col("rep").alias("ref_id"), F.col("ref_id").alias("member_id")))
+    rows = (close.join(members, ["part", "ref_id"]).drop("ref_id").withColumnRenamed("member_id", "ref_id")
+            .join(_options(probes, "probe_id", "p"), ["part", "probe_id"]).join(_options(refs, "ref_id", "r"), ["part", "ref_id"]))
+    agreeing = _options_agree(rows, ratio_floor).select("part", "probe_id", "ref_id", "score")
+
+    rest = long_enough.join(tops, ["part", "probe_id"], "left_anti")
+    words = lambda d, id_name, side: bag_documents(d, id_name, "words").select("part", id_name, F.col("elements").alias(side))
+    alike = (option_neighbours(rest, refs, ratio_floor).join(words(rest, "probe_id", "p"), ["part", "probe_id"])
+             .join(words(refs, "ref_id", "r"), ["part", "ref_id"])
+             .select("part", "probe_id", "ref_id", (F.size(F.array_intersect("p", "r")) / F.size("p")).alias("score")).where(F.col("score") > 0))
+    alike = stage_table(alike)  # few rows that took a search; read for the shares and for the result
+    shares = alike.groupBy("part", "probe_id").agg(F.max("score").alias("share"))
+    searched = overlap_pairs(rest.join(shares, ["part", "probe_id"]).select("part", "probe_id", "words", "share"), refs, None)
+    higher = searched.groupBy("part", "probe_id").agg(F.max("score").alias("top"))
+    late = alike.join(higher, ["part", "probe_id"]).where(F.col("score") >= near_top * F.col("top")).drop("top")
+
+    best = lambda d, name: d.groupBy("part", "probe_id").agg(F.min_by(F.struct("ref_id", "score"), F.struct(-F.col("score"), "ref_id")).alias(name))
+    out = (probes.select("part", "probe_id").join(best(agreeing.unionByName(late), "gate"), ["part", "probe_id"], "left")
+           .join(best(close, "top"), ["part", "probe_id"], "left"))
     low = F.col("gate").isNull() & (F.col("top.score") >= alone)
     return out.select("part", "probe_id", F.coalesce("gate.ref_id", F.when(low, F.col("top.ref_id"))).alias("ref_id"),
                       F.coalesce("gate.score", F.when(low, F.col("top.score")), F.lit(0.0)).alias("score"),
                       F.when(F.col("gate").isNotNull(), "matched").when(low, "low_confidence").otherwise("no_match").alias("status"))
 
 
-def ref_members(refs: DataFrame) -> DataFrame:
-    """(part, ref_id, member_id): every reference row under its representative."""
-    docs = bag_documents(refs, "ref_id", "words").select("part", "sig", "ref_id")
-    reps = docs.groupBy("part", "sig").agg(F.min("ref_id").alias("rep"))
-    return docs.join(reps, ["part", "sig"]).select("part", F.col("rep").alias("ref_id"), F.col("ref_id").alias("member_id"))
-
-
 def ngrams(words: Column, n: int = 4) -> Column:
     """Distinct n-word sequences; none for shorter texts."""
     starts = F.sequence(F.lit(1), F.size(words) - (n - 1))
@@ -221,13 +270,22 @@ def gram_candidates(probes: DataFrame, refs: DataFrame, n: int = 4, top: int | N
     r = fold_copies(form(refs), "ref_id", ["form"], "r_rep")
     p_grams, r_grams = grams(p, "p_rep").select("p_rep", "gram"), grams(r, "r_rep").select("r_rep", "gram")
     counts = r_grams.groupBy("gram").agg(F.count("*").alias("n"))
-    shared = (sliced_join(with_ref_counts(p_grams, counts, ["gram"]), r_grams, ["gram"], "r_rep", counts, slice_rows)
+    shared = (sliced_join(p_grams, r_grams, ["gram"], "r_rep", counts, slice_rows, "p_rep", p_grams.groupBy("gram").agg(F.count("*").alias("n")))
               .groupBy("p_rep", "r_rep").agg(F.count("*").alias("shared")))
     if top is not None:
         order = Window.partitionBy("p_rep").orderBy(F.col("shared").desc(), "r_rep")
         shared = shared.withColumn("_rn", F.row_number().over(order)).where(F.col("_rn") <= top).drop("_rn")
-    return (shared.join(p.select("p_rep", F.col("form").alias("p_form")), "p_rep")
-            .join(r.select("r_rep", F.col("form").alias("r_form"), "r_rep_copies"), "r_rep"))
+    return shared.join(with_form(p, "p"), "p_rep").join(with_form(r, "r", "r_rep_copies"), "r_rep")
+
+
+def with_form(reps: DataFrame, side: str, *more: str) -> DataFrame:
+    """Folded texts of one side: `rep`, `form`, and the form's letter counts, counted once a form before it is paired."""
+    return reps.select(f"{side}_rep", F.col("form").alias(f"{side}_form"), Sim.letter_counts(F.col("form")).alias(f"{side}_counts"), *more)
+
+
+def reachable(pairs: DataFrame, floor: float) -> DataFrame:
+    """The pairs whose lengths and letters allow a ratio of `floor`; only these are worth rating."""
+    return pairs.where(Sim.ratio_reachable(F.col("p_form"), F.col("r_form"), F.col("p_counts"), F.col("r_counts"), floor))
 
 
 def gram_matches(probes: DataFrame, refs: DataFrame, threshold: float = 0.78, margin: float = 0.05, top: int | None = None) -> DataFrame:
@@ -235,7 +293,7 @@ def gram_matches(probes: DataFrame, refs: DataFrame, threshold: float = 0.78, ma
 
     By default every candidate is rated; `top=30` keeps only those with the most shared n-grams.
     """
-    pairs = gram_candidates(probes, refs, top=top).where(Sim.ratio_possible(F.col("p_form"), F.col("r_form"), threshold - margin))
+    pairs = reachable(gram_candidates(probes, refs, top=top), threshold - margin)
     rated = pairs.withColumn("score", Sim.sequence_ratio(F.col("p_form"), F.col("r_form")))
     best = best_match(rated.select(F.lit(0).alias("part"), F.col("p_rep").alias("probe_id"), F.col("r_rep").alias("ref_id"),
                                    F.col("r_rep_copies").alias("ref_id_copies"), "score")).drop("part")
@@ -266,13 +324,12 @@ def fuzzy_matches(probes: DataFrame, refs: DataFrame, threshold: float = 0.82, m
     short_windows = F.when(F.length("form") <= math.ceil(20 * (2 - threshold) / threshold), F.flatten(F.array(*[runs(n) for n in lengths])))
     p_open = keyed(p, "p_rep", F.explode(F.array_distinct(F.concat(windows, F.coalesce(short_windows, F.array().cast("array<string>"))))))
     r_open, r_head = keyed(r, "r_rep", F.explode(windows)), keyed(r, "r_rep", head)
-    meet = lambda a, b: sliced_join(with_ref_counts(a, counts(b), ["key"]), b, ["key"], "r_rep", counts(b)).select("p_rep", "r_rep")
+    meet = lambda a, b: sliced_join(a, b, ["key"], "r_rep", counts(b), SLICE_ROWS, "p_rep", counts(a)).select("p_rep", "r_rep")
     gated = meet(keyed(p, "p_rep", head), r_open).union(meet(p_open, r_head))
-    pairs = (gated.distinct().join(p.select("p_rep", F.col("form").alias("p_form")), "p_rep")
-             .join(r.select("r_rep", F.col("form").alias("r_form"), "r_rep_copies"), "r_rep"))
+    pairs = gated.distinct().join(with_form(p, "p"), "p_rep").join(with_form(r, "r", "r_rep_copies"), "r_rep")
     same = F.substring("p_form", 1, 60) == F.substring("r_form", 1, 60)
     equal = pairs.where(same).withColumn("score", F.lit(1.0))
-    rated = (pairs.where(~same & Sim.ratio_possible(F.col("p_form"), F.col("r_form"), threshold))
+    rated = (reachable(pairs.where(~same), threshold)
              .withColumn("score", Sim.sequence_ratio(F.col("p_form"), F.col("r_form"))).where(F.col("score") >= threshold))
     both = equal.unionByName(rated).select(F.lit(0).alias("part"), F.col("p_rep").alias("probe_id"), F.col("r_rep").alias("ref_id"),
                                            F.col("r_rep_copies").alias("ref_id_copies"), "score")
@@ -292,7 +349,7 @@ def prefix_matches(probes: DataFrame, refs: DataFrame, tiers: list[int] = V.PREF
     """
     options = [F.col(o) for o in "abc"]
     keys = lambda d: d.withColumn("_keys", F.array(*[F.struct(F.lit(n).alias("tier"), X.prefix_key(F.col("text"), n).alias("key")) for n in tiers]))
-    word_sets = F.concat_ws("|", *[F.array_join(F.array_sort(F.array_distinct(X.words(o, "[a-z]+"))), " ") for o in options])
+    word_sets = F.concat_ws("|", *[F.array_join(F.sort_array(F.array_distinct(X.words(o, "[a-z]+"))), " ") for o in options])
     explode = lambda d, *cols: keys(d).select(*cols, F.inline("_keys"))
     r_folded = explode(refs.withColumn("_sets", word_sets), "ref_id", "_sets").groupBy("tier", "key", "_sets").agg(F.min("ref_id").alias("ref_id"))
     r_keys = r_folded.groupBy("tier", "key").agg(F.count("*").alias("variants"), F.min("ref_id").alias("only"))
@@ -308,7 +365,7 @@ def prefix_matches(probes: DataFrame, refs: DataFrame, tiers: list[int] = V.PREF
         a, b = part(F.col("p_sets"), i), part(F.col("_sets"), i)
         return F.when((F.size(a) == 0) | (F.size(b) == 0), 0.0).otherwise(F.size(F.array_intersect(a, b)) / F.greatest(F.size(a), F.size(b)))
 
-    opened = sliced_join(cases, r_folded, ["tier", "key"], "ref_id", r_keys.select("tier", "key", F.col("variants").alias("n")))
+    opened = sliced_join(cases.drop("n"), r_folded, ["tier", "key"], "ref_id", r_keys.select("tier", "key", F.col("variants").alias("n")))
     rated = opened.withColumn("rate", (similarity(0) + similarity(1) + similarity(2)) / 3.0)
     chosen = rated.groupBy("tier", "key", "p_sets").agg(F.min_by("ref_id", F.struct(-F.col("rate"), "ref_id")).alias("ref_id"))
     return single.unionByName(many.join(chosen, ["tier", "key", "p_sets"]).select("probe_id", "tier", "ref_id"))
@@ -354,7 +411,7 @@ def containment_pairs(needles: DataFrame, texts: DataFrame, slice_rows: int = SL
         rated = n_keys.join(counts, ["part", "key"], "left").groupBy("part", "needle_id").agg(
             F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "key")).alias("rare"))
         rare = rated.where(F.col("rare.n") > 0).select("part", "needle_id", "rare.key", "rare.n")
-        return sliced_join(rare, t_keys, ["part", "key"], "text_id", counts, slice_rows).select("part", "needle_id", "text_id")
+        return sliced_join(rare.drop("n"), t_keys, ["part", "key"], "text_id", counts, slice_rows).select("part", "needle_id", "text_id")
 
     by_word = look_up(n.where(F.size("_inner") > 0), F.col("_inner"), F.array_distinct(all_words(F.col("text"))))
     by_triple = look_up(n.where(F.size("_inner") == 0), triples(F.col("needle")), triples(F.col("text")))
@@ -431,7 +488,7 @@ def locate_by_words(records: DataFrame, pages: DataFrame, opening: int = 50, wor
               .where((F.col("seen") > 0) & ((F.col("_first") <= F.col("m") - needed + 1) | (second & (spare >= 0) & (F.col("_second") <= spare + 1))))
               .select("part", "case", "word").distinct())
     looked_up = probes.join(hosts, ["part", "word"]).select("part", "case", "token", "n").distinct()
-    met = sliced_join(looked_up, held, ["part", "token"], "page_no", tokens, slice_rows).select("part", "case", "page_no").distinct()
+    met = sliced_join(looked_up.drop("n"), held, ["part", "token"], "page_no", tokens, slice_rows).select("part", "case", "page_no").distinct()
     found = lambda some: F.size(F.filter(some, lambda w: F.contains(F.col("text"), w)))
     counted = (met.join(distinct, ["part", "case"]).join(texts, ["part", "page_no"])
                .select("part", "case", "page_no", F.size("words").alias("m"), found(F.col("words")).alias("all_hits"),

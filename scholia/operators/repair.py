@@ -46,19 +46,13 @@ def long_enough(old: Column, new: Column, share: float = 0.7) -> Column:
     return count(new) >= share * F.greatest(count(old), F.lit(1))
 
 
-def contained_shares(df: DataFrame, keys: list[str], probe: str, ref: str, out: str, empty: float = 1.0) -> DataFrame:
-    """Share of the probe's word bag inside the reference's, per row and for texts of any length.
-
-    Words are exploded and counted per row, so long texts cost their length, not its square.
-    """
-    df = stage_table(df)  # read for the words and again for the result
-    tagged = lambda c, p, r: F.transform(X.bag_words(F.col(c)), lambda w: F.struct(w.alias("w"), F.lit(p).alias("p"), F.lit(r).alias("r")))
-    per_word = (df.select(*keys, F.inline(F.concat(tagged(probe, 1, 0), tagged(ref, 0, 1))))
-                .groupBy(*keys, "w").agg(F.sum("p").alias("p"), F.sum("r").alias("r")))
-    shares = per_word.groupBy(*keys).agg(F.sum(F.least("p", "r")).alias("_shared"), F.sum("p").alias("_total"))
-    return (df.join(shares, keys, "left")
-            .withColumn(out, F.when(F.coalesce("_total", F.lit(0)) == 0, F.lit(empty)).otherwise(F.col("_shared") / F.col("_total")))
-            .drop("_shared", "_total"))
+def contained_shares(df: DataFrame, probe: str, ref: str, out: str, empty: float = 1.0) -> DataFrame:
+    """Share of the probe's word bag inside the reference's, from each row alone and for texts of any length: both bags are sets of
+    numbered words, which meet by hashing."""
+    bags = F.struct(X.multiset(X.bag_words(F.col(probe))).alias("p"), X.multiset(X.bag_words(F.col(ref))).alias("r"))
+    share = X.let(bags, lambda b: F.when(F.size(b["p"]) == 0, F.lit(empty)).otherwise(F.size(F.array_intersect(b["p"], b["r"])) / F.size(b["p"])))
+    # `inline` keeps later conditions on the share from making the bags anew.
+    return df.select("*", F.inline(F.array(F.struct(share.alias(out)))))
 
 
 def plan_gated_patches(fields: DataFrame, floor: float = 0.85) -> DataFrame:
@@ -66,7 +60,7 @@ def plan_gated_patches(fields: DataFrame, floor: float = 0.85) -> DataFrame:
     prefix or a word overlap of at least `floor`."""
     old, new = X.blank_if_null(F.col("old")), X.strip(X.blank_if_null(F.col("new")))
     shaped = X.has_table(old) | X.has_list(old, numbered=True)
-    rated = contained_shares(fields, ["id", "field"], "old", "new", "overlap")
+    rated = contained_shares(fields, "old", "new", "overlap")
     reason = (F.when(new == "", "empty").when(new == X.strip(old), "unchanged")
               .when(shaped & ~(X.has_table(new) | X.has_list(new)), "would_lose_format")
               .when(X.strip(old).startswith(new), "clean_prefix")
@@ -183,9 +177,13 @@ def insert_or_ignore(existing: DataFrame, incoming: DataFrame, key: str) -> Data
     return keep_first(fresh, [key], order).select(*incoming.columns) if order else fresh.distinct()
 
 
-def nested_upsert(pages: DataFrame, updates: DataFrame, keys: list[str]) -> DataFrame:
-    """Replace type and items of the pages that have an update; pages without one stay, updates without a page are ignored."""
-    new = updates.select(*keys, F.col("page_type").alias("_type"), F.col("items").alias("_items"))
+def nested_upsert(pages: DataFrame, updates: DataFrame, keys: list[str], order: list[str] = []) -> DataFrame:
+    """Replace type and items of the pages that have an update; pages without one stay, updates without a page are ignored.
+
+    Of several updates of one page the last by `order` counts, and among equal ones the greatest by type and items.
+    """
+    last = F.max(F.struct(*order, F.col("page_type").alias("_type"), F.col("items").alias("_items"))).alias("_new")
+    new = updates.groupBy(*keys).agg(last).select(*keys, "_new._type", "_new._items")
     return (pages.join(new, keys, "left").withColumns({"page_type": F.coalesce("_type", "page_type"), "items": F.coalesce("_items", "items")})
             .drop("_type", "_items"))
 

@@ -377,12 +377,14 @@ def usable_caches(t: Tables):
 
 @query("N5", f"""WITH {_CACHE} SELECT file, page_idx, CASE WHEN page_type = 'other' THEN 'questions' ELSE page_type END AS page_type, CAST(CASE WHEN page_type = 'other' THEN 1 ELSE len(items) END AS INTEGER) AS n_items FROM cache""")
 def merged_caches(t: Tables):
-    """Pages of the type "other" were read again: their one item carries the drifted key `qnum`, renamed to `n`."""
+    """Pages of the type "other" were read again, twice: of the later reading, the one item carries the drifted key `qnum`, renamed to `n`."""
     again = (t.turns().where(F.col("role") == "system")
              .select((F.col("conv_id") % 10).alias("file"), (F.col("conv_id") * 10 + F.col("turn")).alias("page_idx"), F.lit("questions").alias("page_type"),
                      F.array(F.struct(F.col("turn").cast("int").alias("qnum"), "text")).alias("raw")))
     renamed = again.select("file", "page_idx", "page_type", F.transform("raw", lambda r: F.struct(r["qnum"].alias("n"), r["text"].alias("stem"))).alias("items"))
-    return R.nested_upsert(_cache(t), renamed, ["file", "page_idx"]).select("file", "page_idx", "page_type", F.size("items").alias("n_items"))
+    first = renamed.withColumn("items", F.concat("items", "items"))
+    readings = first.withColumn("reading", F.lit(1)).unionByName(renamed.withColumn("reading", F.lit(2)))
+    return R.nested_upsert(_cache(t), readings, ["file", "page_idx"], ["reading"]).select("file", "page_idx", "page_type", F.size("items").alias("n_items"))
 
 
 @query("S11", f"""WITH n AS (SELECT doc_id, {sql_sentences(sql_strip('text'))} AS s FROM documents WHERE source = 'src3')

@@ -127,10 +127,27 @@ def stated_letters(t: Tables):
                             F.array_join(S.negated_letters(F.col("explanation")), "").alias("negated"))
 
 
-@query("T6 T5")
+def _opinion() -> str:
+    take = lambda pattern: f"nullif(upper(regexp_extract(opening, '(?im){pattern}', 1)), '')"
+    share = lambda i: (f"CASE WHEN len(t{i}) = 0 OR length(o{i}) < 8 THEN 0.0::DOUBLE WHEN contains(core, substr(o{i}, 1, 40)) THEN 1.0::DOUBLE "
+                       f"ELSE len(list_filter(t{i}, lambda w: list_contains(ws, w)))::DOUBLE / len(t{i}) END AS s{i}")
+    return ITEMS + f""", q AS (SELECT doc_id, substr(explanation, 1, 500) AS opening, regexp_matches(CASE WHEN doc_id % 4 = 0 THEN stem || ' Which is least likely?' ELSE stem END, '(?i)\\b(?:{V.NEGATED_STEM_WIDE})\\b') AS negated,
+   {Q.repaired(f"lower({Q.first_n('explanation', 2)})")} AS core, {', '.join(f"{Q.repaired(f'lower({o})')} AS o{i}" for i, o in enumerate(OPTIONS))} FROM items),
+ tk AS (SELECT *, {Q.stemmed('core')} AS ws, {', '.join(f"{Q.stemmed(f'o{i}')} AS t{i}" for i in range(3))} FROM q),
+ sc AS (SELECT *, {', '.join(share(i) for i in range(3))}, coalesce({take('(?:^|\\n)\\s*(?:The\\s+)?(?:correct\\s+)?answer\\s*(?:is|:)\\s*([ABC])[.\\s]')},
+   {take('\\b(?:choice\\s+)?([ABC])\\s+is\\s+correct\\b')}, {take('\\b([ABC])\\s+is\\s+the\\s+correct\\s+answer\\b')}, {take('\\bthe\\s+correct\\s+answer\\s+is\\s+([ABC])\\b')},
+   CASE WHEN negated THEN {take('\\b(?:choice\\s+)?([ABC])\\s+is\\s+(?:incorrect|not\\s+accurate|inaccurate|wrong|false)\\b')} END,
+   {take('\\b([ABC])\\s+is\\s+the\\s+(?:best|only\\s+)?(?:correct\\s+)?(?:answer|choice|option|statement)\\b')}) AS stated FROM tk),
+ hl AS (SELECT *, greatest(s0, s1, s2) AS hi, negated AND least(s0, s1, s2) < 0.4::DOUBLE AND greatest(s0, s1, s2) > 0.5::DOUBLE AS turned,
+   NOT negated AND greatest(s0, s1, s2) >= 0.5::DOUBLE AND 0.9::DOUBLE * greatest(s0, s1, s2) >= 0.7::DOUBLE AS plain FROM sc)"""
+
+
+@query("T6 T5", f"""WITH {_opinion()} SELECT doc_id, coalesce(stated, CASE WHEN turned THEN {Q.lowest('s0', 's1', 's2')} WHEN plain THEN {Q.highest('s0', 's1', 's2')} END) AS letter,
+  CASE WHEN stated IS NOT NULL THEN 1.0::DOUBLE WHEN turned THEN 0.9::DOUBLE WHEN plain THEN 0.9::DOUBLE * hi ELSE 0.0::DOUBLE END AS confidence FROM hl""")
 def opinion_letters(t: Tables):
-    """Checked against single rows in the tests; the look-behind repairs inside have no SQL form."""
-    return S.opinion_letter(t.items()).select("doc_id", "letter", "confidence")
+    """Every fourth question is negated, so that the rules turn round."""
+    asked = F.when(F.col("doc_id") % 4 == 0, F.concat("stem", F.lit(" Which is least likely?"))).otherwise(F.col("stem"))
+    return S.opinion_letter(t.items().withColumn("stem", asked)).select("doc_id", "letter", "confidence")
 
 
 def _weighted() -> str:
@@ -286,13 +303,39 @@ def _triaged(t: Tables):
             .withColumn("verdict", S.flag_verdict(F.col("negation"), F.col("affirmation"), F.col("inverted"), F.col("confidence"))))
 
 
-@query("T17 T19")
+def _near(cues: str) -> str:
+    """Whether a cue stands within 100 characters of `spot`."""
+    around = "substr(low, greatest(spot - 100, 0) + 1, least(spot, 100) + 100)"
+    return f"len(list_filter({Q.quoted(cues)}, lambda c: contains({around}, c))) > 0"
+
+
+def _proximity(name: str, option: str, cues: list[str]) -> str:
+    """Tables {name}_whole (hits of the option's opening) and {name}_words (hits of its first longer words), both as doc_id, n."""
+    core = f"substr(regexp_replace({sql_strip(f'lower({option})')}, '\\.+$', ''), 1, 40)"
+    return f"""{name}_o AS (SELECT doc_id, lower(explanation) AS low, substr({core}, 1, 20) AS opening,
+   list_filter({Q.words(core, '[a-z]+')}, lambda w: length(w) > 3)[1:3] AS ws FROM flagged),
+ {name}_at AS (SELECT doc_id, low, unnest(list_filter(range(0, length(low)), lambda i: substr(low, i + 1, length(opening)) = opening)) AS spot FROM {name}_o WHERE opening <> '' AND contains(low, opening)),
+ {name}_w AS (SELECT doc_id, low, k, w, string_split(low, w) AS gaps FROM (SELECT doc_id, low, unnest(ws) AS w, unnest(range(0, len(ws))) AS k FROM {name}_o WHERE opening <> '' AND NOT contains(low, opening))),
+ {name}_wat AS (SELECT doc_id, low, CAST(list_sum(list_transform(gaps[1:g], lambda p: length(p))) + (g - 1) * length(w) AS BIGINT) AS spot FROM (SELECT *, unnest(range(1, len(gaps))) AS g FROM {name}_w)),
+ {name} AS (SELECT doc_id, count(*) FILTER ({_near(cues)}) AS n FROM (SELECT doc_id, low, spot FROM {name}_at UNION ALL SELECT doc_id, low, spot FROM {name}_wat) GROUP BY doc_id)"""
+
+
+_FLAG_OPTION = lambda letter: f"(CASE {letter} WHEN 'A' THEN option_a WHEN 'B' THEN option_b WHEN 'C' THEN option_c ELSE '' END)"
+_TRIAGED = f"""{_SIGNAL}, flagged AS MATERIALIZED (SELECT * FROM signal WHERE {_CLASS} = 'p3_flag'), {_proximity('neg_', _FLAG_OPTION('stored'), V.NEGATION_CUES)},
+ {_proximity('aff_', _FLAG_OPTION('letter'), V.AFFIRMATION_CUES)},
+ rated AS (SELECT doc_id, confidence, CAST(coalesce(neg_.n, 0) AS INTEGER) AS negation, CAST(coalesce(aff_.n, 0) AS INTEGER) AS affirmation,
+   {_opposite_tests().replace('stored_option', _FLAG_OPTION('stored'))} AS inverted FROM flagged LEFT JOIN neg_ USING (doc_id) LEFT JOIN aff_ USING (doc_id)),
+ triaged AS (SELECT *, CASE WHEN negation >= 2 OR (negation >= 1 AND (affirmation >= 1 OR inverted)) OR (inverted AND affirmation >= 1) THEN 'LIKELY_REAL'
+   WHEN negation = 1 OR (inverted AND confidence >= 0.85::DOUBLE) THEN 'UNCERTAIN' ELSE 'LIKELY_FALSE_POSITIVE' END AS verdict FROM rated)"""
+
+
+@query("T17 T19", f"WITH {_TRIAGED} SELECT doc_id, negation, affirmation, inverted, verdict FROM triaged")
 def triaged_flags(t: Tables):
-    """Windows around every occurrence have no cheap SQL form; the tests compare this with a plain reading of the rule."""
     return _triaged(t).select("doc_id", "negation", "affirmation", "inverted", "verdict")
 
 
-@query("O7 T19")
+@query("O7 T19", f"""WITH {_TRIAGED}, r AS (SELECT *, negation + affirmation + CAST(inverted AS INTEGER) + confidence AS rank_score FROM triaged)
+SELECT doc_id, verdict, confidence, round_even(rank_score, 6) AS rank_score FROM r ORDER BY r.rank_score DESC, doc_id LIMIT 40""")
 def flags_for_review(t: Tables):
     rows = _triaged(t)
     score = S.flag_rank(F.col("negation"), F.col("affirmation"), F.col("inverted"), F.col("confidence"))

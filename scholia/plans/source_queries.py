@@ -7,7 +7,7 @@ from pyspark.sql import types as T
 
 from scholia.operators.history import numbered_batches
 from scholia.plans.registry import query
-from scholia.plans.tables import Tables
+from scholia.plans.tables import ITEMS, Tables
 from scholia.session import working_folder
 from scholia.sources import readers, writers
 
@@ -38,3 +38,15 @@ def appended_attempts(t: Tables):
     for _ in range(2):
         writers.append_rows(t.attempts(), folder)
     return t.spark.read.parquet(folder).groupBy("user_id").agg(F.count("*").alias("n"))
+
+
+@query("S5", f"""WITH {ITEMS} SELECT doc_id AS qnum, upper(trim(answer)) AS answer, md5(stem) AS stem FROM (
+  SELECT *, CASE doc_id % 4 WHEN 0 THEN ' ' || lower(stored) || ' ' WHEN 1 THEN stored WHEN 2 THEN 'D' END AS answer FROM items) WHERE stem <> '' AND upper(trim(answer)) IN ('A', 'B', 'C')""")
+def flat_cache_items(t: Tables):
+    """Items written as a flat cache, where a missing stem is null, read back: those with a stem and a valid letter."""
+    folder = working_folder(t.spark, "flat")
+    answer = (F.when(F.col("doc_id") % 4 == 0, F.concat(F.lit(" "), F.lower("stored"), F.lit(" ")))
+              .when(F.col("doc_id") % 4 == 1, F.col("stored")).when(F.col("doc_id") % 4 == 2, F.lit("D")))
+    writers.write_report(t.items().select(F.col("doc_id").alias("qnum"), F.nullif("stem", F.lit("")).alias("stem"), answer.alias("correct")), folder)
+    cache = t.spark.read.schema("qnum long, stem string, correct string").json(folder)
+    return readers.flat_items(cache, answered=True).select("qnum", F.upper(F.trim("correct")).alias("answer"), F.md5("stem").alias("stem"))

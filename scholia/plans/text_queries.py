@@ -39,19 +39,7 @@ def sanitized_pages(t: Tables):
     return t.raw("pages").select("page_id", F.md5(X.sanitize(F.col("html"))).alias("clean"), F.md5(X.tidy_lines(F.col("html"))).alias("tidy"))
 
 
-def _sql_repair(expr: str) -> str:
-    edge = "[^\\p{L}\\p{N}_]"
-    for bad, good in V.LIGATURE_REPAIRS.items():
-        for b, g in ((bad, good), (bad.capitalize(), good.capitalize())):
-            for _ in range(2):  # neighbours share the character between them
-                expr = f"regexp_replace({expr}, '(^|{edge}){b}($|{edge})', '\\1{g}\\2', 'g')"
-    for bad, good in V.LIGATURE_PREFIX_REPAIRS.items():
-        for b, g in ((bad, good), (bad.capitalize(), good.capitalize())):
-            expr = f"regexp_replace({expr}, '(^|{edge}){b}', '\\1{g}', 'g')"
-    return expr
-
-
-@query("X5", f"SELECT doc_id, md5({_sql_repair('text')}) AS repaired, {_sql_repair('text')} <> text AS changed FROM (SELECT doc_id, text || ' Reation of oor, oor and cash ow; combination uctuates' AS text FROM documents)")
+@query("X5", f"SELECT doc_id, md5({Q.repaired('text')}) AS repaired, {Q.repaired('text')} <> text AS changed FROM (SELECT doc_id, text || ' Reation of oor, oor and cash ow; combination uctuates' AS text FROM documents)")
 def repaired_ligatures(t: Tables):
     damaged = F.concat("text", F.lit(" Reation of oor, oor and cash ow; combination uctuates"))
     return (_docs(t).select("doc_id", damaged.alias("text")).withColumn("fixed", X.repair_ligatures(F.col("text")))

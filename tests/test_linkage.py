@@ -224,3 +224,62 @@ def test_word_hits_equal_every_record_against_every_page(spark):
         if best:
             want.add((part, i, *best))
     assert {tuple(r) for r in got} == want and {r[2] for r in want} == {1, 2}
+
+
+def test_multiset(spark):
+    rng = random.Random(4)
+    bags = [[rng.choice(["a", "aa", "b", "ab", "b#2"[:1], "the"]) for _ in range(rng.randint(0, 30))] for _ in range(40)] + [["x"] * 20_000, []]
+    got = spark.createDataFrame([(i, b) for i, b in enumerate(bags)], "i int, words array<string>").select("i", X.multiset(F.col("words")).alias("e")).collect()
+    for i, e in got:
+        want = [w if k == 1 else f"{w}#{k}" for w, n in Counter(bags[i]).items() for k in range(1, n + 1)]
+        assert e == sorted(want)
+
+
+def test_a_word_of_every_row_is_cut_on_both_sides(spark):
+    """With one word in all rows, slices of few rows give the pairs of a plain join, and each probe its own least share."""
+    rng = random.Random(6)
+    texts = [" ".join(["common", "common"] + [rng.choice(WORDS) for _ in range(rng.randint(0, 5))]) for _ in range(60)]
+    shares = [rng.choice([0.2, 0.5, 0.9]) for _ in range(30)]
+    p = spark.createDataFrame([(0, i, texts[i].split(), shares[i]) for i in range(30)], "part int, probe_id int, words array<string>, share double")
+    r = spark.createDataFrame([(0, i, texts[i].split()) for i in range(30, 60)], "part int, ref_id int, words array<string>")
+    bags = [Counter(t.split()) for t in texts]
+    reps = {frozenset(bags[i].items()): i for i in range(59, 29, -1)}
+    least = {}
+    for i in range(30):
+        key = frozenset(bags[i].items())
+        least[key] = min(least.get(key, 1), shares[i])
+    want = {(i, j) for i in range(30) for j in reps.values() if score(bags[i], bags[j]) >= least[frozenset(bags[i].items())]}
+    for rows in (3, 100):
+        got = L.overlap_pairs(p, r, None, slice_rows=rows).collect()
+        assert {(x.probe_id, x.ref_id) for x in got} == want
+        assert all(x.score == score(bags[x.probe_id], bags[x.ref_id]) for x in got)
+
+
+def test_option_neighbours_lose_no_pair(spark):
+    rng = random.Random(12)
+    def near(t):
+        t = list(t)
+        for _ in range(rng.randrange(0, 4)):
+            t.insert(rng.randint(0, len(t)), rng.choice(["", "x", "é "]))
+            if t and rng.random() < .5:
+                t.pop(rng.randrange(len(t)))
+        return "".join(t)
+    base = [[sentence(rng, rng.randint(1, 4)), rng.choice(["", "a", "ab"]), sentence(rng, 2)] for _ in range(12)]
+    side = lambda n: [(0, i, rng.sample(WORDS, 3), *(near(o) if o else o for o in rng.choice(base))) for i in range(n)]
+    ps, rs = side(40), side(50)
+    schema = "part int, {}_id int, words array<string>, a string, b string, c string"
+    got = L.option_neighbours(spark.createDataFrame(ps, schema.format("probe")), spark.createDataFrame(rs, schema.format("ref")), 0.8, slice_rows=5).collect()
+    ratio = lambda x, y: difflib.SequenceMatcher(None, x.lower().strip(), y.lower().strip()).ratio()
+    want = {(p[1], r[1]) for p in ps for r in rs if set(p[2]) & set(r[2]) and min(ratio(p[k], r[k]) for k in (3, 4, 5)) >= 0.8}
+    assert {(x.probe_id, x.ref_id) for x in got} == want and len(want) > 20
+
+
+def test_letters_never_refuse_a_reachable_ratio(spark):
+    rng = random.Random(1)
+    pairs = [(sentence(rng, rng.randint(0, 8)), sentence(rng, rng.randint(0, 8))) for _ in range(60)]
+    pairs += [(a, a.replace("a", "é", 1)) for a, _ in pairs]
+    d = spark.createDataFrame(pairs, "a string, b string")
+    counts = [Sim.letter_counts(F.col(c)) for c in "ab"]
+    for floor in (0.3, 0.6, 0.8, 1.0):
+        got = d.select(Sim.ratio_reachable(F.col("a"), F.col("b"), *counts, floor).alias("ok")).collect()
+        assert all(x.ok or difflib.SequenceMatcher(None, a, b).ratio() < floor for x, (a, b) in zip(got, pairs))

@@ -137,3 +137,12 @@ def test_writers(spark):
     assert spark.read.parquet(folder + "/facts").count() == 90
     path = writers.write_snapshot(df, folder, "1")
     assert spark.read.parquet(path).count() == 45
+
+
+def test_last_update_of_a_page_counts(spark):
+    from scholia.operators import repair as R
+    pages = spark.createDataFrame([(1, "other", [0]), (2, "questions", [5]), (3, None, None)], "p int, page_type string, items array<int>")
+    updates = spark.createDataFrame([(1, 1, "questions", [1]), (1, 3, "answers", [3]), (1, 2, "other", [2]), (3, 1, "a", [1]), (3, 1, "b", [0]), (9, 1, "x", [1])],
+                                    "p int, reading int, page_type string, items array<int>")
+    got = R.nested_upsert(pages, updates, ["p"], ["reading"]).select("p", "page_type", "items").collect()
+    assert sorted(map(tuple, got)) == [(1, "answers", [3]), (2, "questions", [5]), (3, "b", [0])]
