@@ -17,7 +17,6 @@ MOST_EPOCHS = 3
 # Schedule of a source by its weight: the rate at the start against the mean rate; at the end 2 minus it. The first kind fades out, the
 # last one fades in, and all integrate to 1.
 RAMPS = (1.5, 1.0, 0.5)
-BUCKETS = 4096
 
 
 def word_count(text: Column) -> Column:
@@ -105,11 +104,15 @@ def mixture_of_sizes(sized: DataFrame, *keep: str) -> DataFrame:
 def curriculum(docs: DataFrame) -> DataFrame:
     """The documents as they are trained on: each as often as at least half of it is taken, range-sorted by position.
 
-    Every row is a unit of its own, as in `mixture`, also where ids repeat or are null.
+    Every row is a unit of its own, as in `mixture`, also where ids repeat or are null. Rows without words, and those of which less than
+    half is taken, are not in the result; a null source is a source of its own; an empty table gives an empty result. Other columns are
+    kept, whatever their names.
     """
-    rows = stage(docs.withColumn("_row", F.monotonically_increasing_id()))
-    units = rows.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.col("_row").alias("unit"))
+    rows = stage(docs.select(*(F.col(c).alias(f"d_{c}") for c in docs.columns), F.monotonically_increasing_id().alias("row")))
+    units = rows.select(F.col("d_doc_id").alias("doc_id"), F.col("d_source").alias("source"), word_count(F.col("d_text")).alias("size"),
+                        F.col("row").alias("unit"))
     mixed = mixture_of_sizes(units, "unit")
     whole = F.round(F.col("taken") / F.col("size")).cast("int")
     times = stage(mixed.where("size > 0").select("unit", F.explode(F.slice("positions", F.lit(1), whole)).alias("at")))
-    return rows.join(times, F.col("_row") == F.col("unit")).orderBy("at", "unit").select(*docs.columns)
+    return (rows.join(times, F.col("row") == F.col("unit")).orderBy("at", "unit")
+            .select(*(F.col(f"d_{c}").alias(c) for c in docs.columns)))

@@ -48,14 +48,14 @@ def pieces_of_group(parts: np.ndarray, shards: int = SHARDS) -> int:
 def shards_of(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: `doc_id`, `size` (bytes of the text plus 16), `text_crc32`, `tokens` (words), `shard`, `slot`.
 
-    Equal texts share a shard, except a group larger than a whole shard, which is cut by id into pieces that are packed each for itself.
+    Equal texts share a shard, except a group larger than a whole shard, which is cut by a number of the row into pieces that are packed each for itself.
     Slots number the rows of a shard from 0 without gaps. Null texts have no bytes and are a group with the empty ones.
     Rows without id and repeated rows count like others; an empty table gives an empty result; other columns are ignored.
     """
     spark = docs.sparkSession
     text = F.col("text")
     rows = stage(keyed_texts(docs, id_col, text_col).select(
-        "doc_id", (F.octet_length(text) + ROW_OVERHEAD).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"),
+        "doc_id", F.monotonically_increasing_id().alias("row"), (F.octet_length(text) + ROW_OVERHEAD).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"),
         F.xxhash64(text).alias("digest"),
         F.size(F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != "")).cast("long").alias("tokens")))
     groups = stage(rows.groupBy("digest", "text_crc32").agg(
@@ -87,10 +87,10 @@ def shards_of(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", tex
     cut = own.select("digest", "text_crc32", "pieces").distinct()
     bundles = spark.createDataFrame([(i[1], i[5]) for i in items if i[0] == "b"], "bundle int, bundle_shard int")
     dealt = (rows.join(F.broadcast(cut), ["digest", "text_crc32"], "left")
-             .withColumn("piece", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.col("pieces")).cast("int")).withColumn("bundle", bundle)
+             .withColumn("piece", F.pmod(F.xxhash64("row", F.lit(1)), F.col("pieces")).cast("int")).withColumn("bundle", bundle)
              .join(F.broadcast(own.drop("pieces")), ["digest", "text_crc32", "piece"], "left")
              .join(F.broadcast(bundles), "bundle", "left")
-             .select("doc_id", "size", "text_crc32", "tokens", "digest", F.coalesce("own_shard", "bundle_shard").alias("shard")))
+             .select("doc_id", "row", "size", "text_crc32", "tokens", F.coalesce("own_shard", "bundle_shard").alias("shard")))
     return with_slots(dealt, int(total["rows"]), shards)
 
 
@@ -108,11 +108,11 @@ def with_slots(dealt: DataFrame, rows: int, shards: int = SHARDS) -> DataFrame:
     from pyspark.sql import Window
 
     parts = max(16, -(-rows // (SLOT_ROWS * shards)))
-    dealt = dealt.withColumn("part", F.pmod(F.xxhash64("doc_id", "digest"), F.lit(parts)).cast("int"))
+    dealt = dealt.withColumn("part", F.pmod(F.xxhash64("row"), F.lit(parts)).cast("int"))
     counts = dealt.groupBy("shard", "part").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("shard").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select("shard", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
-    within = Window.partitionBy("shard", "part").orderBy("doc_id", "digest", "text_crc32", "size")
+    within = Window.partitionBy("shard", "part").orderBy("row")
     numbered = dealt.withColumn("at", F.row_number().over(within) - 1)
     return (numbered.join(starts, ["shard", "part"])
             .select("doc_id", "size", "text_crc32", "tokens", "shard", (F.col("start") + F.col("at")).cast("long").alias("slot")))

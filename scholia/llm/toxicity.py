@@ -13,7 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scholia.llm.common import as_bytes, held_out, keyed_texts, slices
@@ -155,12 +155,15 @@ def train(texts: list[bytes], toxic: np.ndarray, epochs: int = EPOCHS, seed: int
 def training_sample(docs: DataFrame, labels: DataFrame, seen) -> tuple[list[bytes], np.ndarray]:
     """At most `SAMPLE_TOXIC` and `SAMPLE_CLEAN` labelled whole texts, and `SAMPLE_BYTES` of them, in the order of their id's hash.
 
-    `seen` filters ids that may be learnt from. A document with several labels is toxic if one says so; null labels don't count.
+    `seen` filters ids that may be learnt from. A document with several labels is toxic if one says so; null labels don't count. One text
+    is learnt from each id; a text that is larger than the bytes left for its class is passed over.
     """
     spark = docs.sparkSession
     marked = (labels.where("doc_id is not null and toxic is not null").where(seen)
               .groupBy("doc_id").agg((F.max("toxic") >= 1).alias("toxic")))
-    sized = keyed_texts(docs).select("doc_id", F.octet_length("text").alias("n")).join(marked, "doc_id")
+    # Of several texts of one id, that of the smallest hash.
+    sized = (keyed_texts(docs).select("doc_id", F.struct(F.xxhash64("text").alias("version"), F.octet_length("text").alias("n")).alias("own"))
+             .join(marked, "doc_id").groupBy("doc_id", "toxic").agg(F.min("own").alias("own")).select("doc_id", "toxic", "own.*"))
     ranked = sized.withColumn("rank", F.xxhash64("doc_id"))
     chosen = []
     for toxic, most in ((True, SAMPLE_TOXIC), (False, SAMPLE_CLEAN)):
@@ -168,11 +171,12 @@ def training_sample(docs: DataFrame, labels: DataFrame, seen) -> tuple[list[byte
         for r in ranked.where(F.col("toxic") == F.lit(toxic)).orderBy("rank", "doc_id", "n").limit(most).collect():
             if r.n <= room:
                 room -= r.n
-                chosen.append((r.doc_id, toxic))
+                chosen.append((r.doc_id, toxic, r.version))
     if not chosen:
         return [], np.zeros(0)
-    ids = spark.createDataFrame(sorted(set(chosen)), "doc_id long, toxic boolean")
-    rows = keyed_texts(docs).join(F.broadcast(ids), "doc_id").collect()
+    ids = spark.createDataFrame(sorted(set(chosen)), "doc_id long, toxic boolean, version long")
+    rows = (keyed_texts(docs).withColumn("version", F.xxhash64("text")).join(F.broadcast(ids), ["doc_id", "version"])
+            .dropDuplicates(["doc_id", "version"]).collect())
     rows = sorted({(r.doc_id, r.text, r.toxic) for r in rows})
     return [r[1].encode() for r in rows], np.array([r[2] for r in rows], dtype=float)
 
@@ -190,16 +194,16 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     return keyed_texts(docs, id_col, text_col).mapInArrow(run, "doc_id long, score double")
 
 
-def with_score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """The documents with all their columns and `score`; a column of that name is replaced."""
-    shared = docs.sparkSession.sparkContext.broadcast((model.weight, model.bias))
+def scorer(spark: SparkSession, model: Model):
+    """The score as a function of a text column, for tables whose other columns must stay as they are."""
+    shared = spark.sparkContext.broadcast((model.weight, model.bias))
 
     @F.arrow_udf("double")
     def of(texts: pa.Array) -> pa.Array:
         own = Model(*shared.value)
         return pa.array([own.score(t or b"") for t in as_bytes(texts)], pa.float64())
 
-    return docs.withColumn("score", of(text_col))
+    return of
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
