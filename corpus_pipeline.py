@@ -14,7 +14,7 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     """Documents that the classifier does not predict toxic. Copies of an id are judged by their own text."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = toxicity.train(*toxicity.training_sample(docs, labels, ~toxicity.held_out("doc_id", 4, 2)))
-    return toxicity.with_score(docs, model).where(F.col("score") < toxicity.THRESHOLD).select(*docs.columns)
+    return docs.where(toxicity.scorer(spark, model)("text") < toxicity.THRESHOLD)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
