@@ -358,17 +358,48 @@ def prefix_matches(probes: DataFrame, refs: DataFrame, tiers: list[int] = V.PREF
             .select("probe_id", "_sets", "hit.*"))
     single = hits.where(F.col("variants") == 1).select("probe_id", "tier", F.col("only").alias("ref_id"))
     many = hits.where(F.col("variants") > 1).select("probe_id", "tier", "key", F.col("_sets").alias("p_sets"), F.col("variants").alias("n"))
-    cases = many.select("tier", "key", "p_sets", "n").distinct()
+    cases = many.select("tier", "key", "p_sets").distinct()
+    lists = r_folded.join(cases.select("tier", "key").distinct(), ["tier", "key"], "left_semi")
+    chosen = most_similar_options(cases, lists)
+    none_alike = r_keys.select("tier", "key", F.col("only").alias("first_id"))
+    return single.unionByName(many.join(chosen, ["tier", "key", "p_sets"], "left").join(none_alike, ["tier", "key"])
+                              .select("probe_id", "tier", F.coalesce("ref_id", "first_id").alias("ref_id")))
+
+
+def most_similar_options(cases: DataFrame, lists: DataFrame, slice_rows: int = SLICE_ROWS) -> DataFrame:
+    """(tier, key, p_sets, ref_id): for each option set of the probes the reference under the same key whose options are most similar,
+    the smallest id among equals. A case that shares no word of an option with any reference gives no row.
+
+    Takes cases (tier, key, p_sets) and references (tier, key, _sets, ref_id); a set holds three sorted word lists. The similarity is
+    the mean over the options of shared words by the larger list, so a word of the case adds at most one part of its list.
+    References that share the rarest word of an option give each case a similarity that can be had. After that, the most frequent words
+    are left out as long as all of them together stay below it: a reference that shares none of the others cannot be the best.
+    """
+    on, case = ["tier", "key"], ["tier", "key", "p_sets"]
     part = lambda c, i: F.filter(F.split(F.get(F.split(c, "\\|"), F.lit(i)), " "), lambda w: w != "")
+    words = lambda d, sets, *cols: d.select(*on, *cols, F.inline(F.flatten(F.array(*[
+        X.let(part(F.col(sets), i), lambda ws: F.transform(ws, lambda w: F.struct(F.lit(i).alias("at"), w.alias("word"), (1.0 / F.size(ws)).alias("weight"))))
+        for i in range(3)]))))
 
     def similarity(i: int) -> Column:
         a, b = part(F.col("p_sets"), i), part(F.col("_sets"), i)
         return F.when((F.size(a) == 0) | (F.size(b) == 0), 0.0).otherwise(F.size(F.array_intersect(a, b)) / F.greatest(F.size(a), F.size(b)))
 
-    opened = sliced_join(cases.drop("n"), r_folded, ["tier", "key"], "ref_id", r_keys.select("tier", "key", F.col("variants").alias("n")))
-    rated = opened.withColumn("rate", (similarity(0) + similarity(1) + similarity(2)) / 3.0)
-    chosen = rated.groupBy("tier", "key", "p_sets").agg(F.min_by("ref_id", F.struct(-F.col("rate"), "ref_id")).alias("ref_id"))
-    return single.unionByName(many.join(chosen, ["tier", "key", "p_sets"]).select("probe_id", "tier", "ref_id"))
+    keys = [*on, "at", "word"]
+    held = words(lists, "_sets", "ref_id", "_sets").drop("weight")
+    counts = held.groupBy(*keys).agg(F.count("*").alias("n"))
+    asked = with_counts(words(cases, "p_sets", "p_sets"), counts, keys, "p_sets", slice_rows).where(F.col("n").isNotNull())
+
+    def rated(some: DataFrame) -> DataFrame:
+        met = sliced_join(some.select(*keys, "p_sets"), held, keys, "ref_id", counts, slice_rows).select(*case, "ref_id", "_sets").distinct()
+        return met.withColumn("rate", (similarity(0) + similarity(1) + similarity(2)) / 3.0)
+
+    rarest = asked.groupBy(*case, "at").agg(F.min(F.struct("n", "word")).alias("rare")).select(*case, "at", "rare.word")
+    reached = rated(rarest).groupBy(*case).agg(F.max("rate").alias("reached"))
+    frequent_first = Window.partitionBy(*case).orderBy(F.col("n").desc(), "at", "word").rowsBetween(Window.unboundedPreceding, 0)
+    needed = (asked.withColumn("together", F.sum("weight").over(frequent_first)).join(reached, case)
+              .where(F.col("together") >= 3 * F.col("reached") - 1e-9))
+    return rated(needed).groupBy(*case).agg(F.min_by("ref_id", F.struct(-F.col("rate"), "ref_id")).alias("ref_id"))
 
 
 def validated_matches(matches: DataFrame, probes: DataFrame, refs: DataFrame, floor: float = 0.40, length: int | None = 120) -> DataFrame:

@@ -188,6 +188,26 @@ def test_prefix_matches_prefer_similar_options(spark):
     assert [tuple(x) for x in L.prefix_matches(p, r).select("probe_id", "tier", "ref_id").collect()] == [(1, 120, 2)]
 
 
+def test_prefix_matches_find_the_most_similar_options_of_many(spark):
+    rng = random.Random(21)
+    opening = ["w" * 130, "v" * 130]
+    pick = lambda: sentence(rng, rng.randint(0, 5))
+    refs = [(i, rng.choice(opening), pick(), pick(), pick()) for i in range(60)] + [(60 + i, "u" * 130, "", "", "") for i in range(3)]
+    probes = [(i, rng.choice(opening), *(rng.choice(refs)[2:] if rng.random() < .4 else (pick(), pick(), pick()))) for i in range(50)]
+    probes += [(50, "u" * 130, "alpha", "", ""), (51, opening[0], "", "", ""), (52, opening[1], "zzz", "", "qqq")]
+    p = spark.createDataFrame(probes, "probe_id int, text string, a string, b string, c string")
+    r = spark.createDataFrame(refs, "ref_id int, text string, a string, b string, c string")
+    def rate(x, y):
+        total = 0.0
+        for a, b in zip(x[2:], y[2:]):
+            a, b = set(a.split()), set(b.split())
+            total += len(a & b) / max(len(a), len(b)) if a and b else 0.0
+        return total / 3.0
+    got = {x.probe_id: x.ref_id for x in L.prefix_matches(p, r).collect()}
+    want = {x[0]: min(((-rate(x, y), y[0]) for y in refs if y[1] == x[1]))[1] for x in probes}
+    assert got == want
+
+
 def test_sequence_ratio(spark):
     pairs = [("abcd", "bcde"), ("", ""), ("same", "same"), ("x" * 250 + "abc", "abc" + "x" * 250)]
     got = [x.r for x in spark.createDataFrame(pairs, "a string, b string").select(Sim.sequence_ratio("a", "b").alias("r")).collect()]
