@@ -359,21 +359,22 @@ def prefix_matches(probes: DataFrame, refs: DataFrame, tiers: list[int] = V.PREF
     single = hits.where(F.col("variants") == 1).select("probe_id", "tier", F.col("only").alias("ref_id"))
     many = hits.where(F.col("variants") > 1).select("probe_id", "tier", "key", F.col("_sets").alias("p_sets"), F.col("variants").alias("n"))
     cases = many.select("tier", "key", "p_sets").distinct()
-    lists = r_folded.join(cases.select("tier", "key").distinct(), ["tier", "key"], "left_semi")
-    chosen = most_similar_options(cases, lists)
+    chosen = most_similar_options(cases, r_folded.join(r_keys.where("variants > 1").select("tier", "key"), ["tier", "key"], "left_semi"))
     none_alike = r_keys.select("tier", "key", F.col("only").alias("first_id"))
     return single.unionByName(many.join(chosen, ["tier", "key", "p_sets"], "left").join(none_alike, ["tier", "key"])
                               .select("probe_id", "tier", F.coalesce("ref_id", "first_id").alias("ref_id")))
 
 
-def most_similar_options(cases: DataFrame, lists: DataFrame, slice_rows: int = SLICE_ROWS) -> DataFrame:
+def most_similar_options(cases: DataFrame, lists: DataFrame) -> DataFrame:
     """(tier, key, p_sets, ref_id): for each option set of the probes the reference under the same key whose options are most similar,
     the smallest id among equals. A case that shares no word of an option with any reference gives no row.
 
     Takes cases (tier, key, p_sets) and references (tier, key, _sets, ref_id); a set holds three sorted word lists. The similarity is
     the mean over the options of shared words by the larger list, so a word of the case adds at most one part of its list.
     References that share the rarest word of an option give each case a similarity that can be had. After that, the most frequent words
-    are left out as long as all of them together stay below it: a reference that shares none of the others cannot be the best.
+    are left out as long as all of them together stay below it: a reference that shares none of the others cannot be the best. Keys
+    hold an opening and a word, and joins on frequent ones are split by adaptive execution; a plan with slices of its own reads the
+    tables many more times.
     """
     on, case = ["tier", "key"], ["tier", "key", "p_sets"]
     part = lambda c, i: F.filter(F.split(F.get(F.split(c, "\\|"), F.lit(i)), " "), lambda w: w != "")
@@ -388,10 +389,10 @@ def most_similar_options(cases: DataFrame, lists: DataFrame, slice_rows: int = S
     keys = [*on, "at", "word"]
     held = words(lists, "_sets", "ref_id", "_sets").drop("weight")
     counts = held.groupBy(*keys).agg(F.count("*").alias("n"))
-    asked = with_counts(words(cases, "p_sets", "p_sets"), counts, keys, "p_sets", slice_rows).where(F.col("n").isNotNull())
+    asked = words(cases, "p_sets", "p_sets").join(counts, keys)
 
     def rated(some: DataFrame) -> DataFrame:
-        met = sliced_join(some.select(*keys, "p_sets"), held, keys, "ref_id", counts, slice_rows).select(*case, "ref_id", "_sets").distinct()
+        met = some.select(*keys, "p_sets").join(held, keys).select(*case, "ref_id", "_sets").distinct()
         return met.withColumn("rate", (similarity(0) + similarity(1) + similarity(2)) / 3.0)
 
     rarest = asked.groupBy(*case, "at").agg(F.min(F.struct("n", "word")).alias("rare")).select(*case, "at", "rare.word")
