@@ -22,6 +22,15 @@ def dump_round_trip(t: Tables):
     return readers.read_dump(t.spark, folder, DUMP, source="src4", array=False).select("doc_id", F.md5("text").alias("text"))
 
 
+@query("S1 S7", "SELECT doc_id, source, md5(concat(text, '\\\"}],[{\"', source)) AS text FROM documents")
+def array_dump_round_trip(t: Tables):
+    """The bank written as JSON arrays and read back in splits; every text holds quotes, braces and brackets."""
+    folder = working_folder(t.spark, "arrays")
+    marked = F.concat("text", F.lit('\\"}],[{"'), "source")
+    writers.write_arrays(t.raw("documents").select("doc_id", marked.alias("text"), "source"), folder)
+    return readers.read_dump(t.spark, folder, DUMP).select("doc_id", "source", F.md5("text").alias("text"))
+
+
 @query("S3 S9", "SELECT batch_no, count(*) AS n, 1 AS files FROM (SELECT (row_number() OVER (ORDER BY source, doc_id) - 1) // 100 AS batch_no FROM documents) GROUP BY batch_no")
 def batch_files(t: Tables):
     """Review batches written one file each and read back with the file that each row came from."""

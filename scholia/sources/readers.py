@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from scholia.sources.arrays import array_records
 from scholia.sources.schemas import ITEM
 
 MARKER_TYPES = ["questions", "answers"]
@@ -14,10 +15,14 @@ MARKER_TYPES = ["questions", "answers"]
 def read_dump(spark: SparkSession, path: str, schema: T.StructType, source: str | None = None, array: bool = True) -> DataFrame:
     """A question dump, malformed records in `_corrupt_record`, optionally one source only.
 
-    A JSON array (a byte order mark is fine) is read by one task per file; dumps with one object per line are split.
+    Both JSON arrays (a byte order mark is fine) and dumps with one object per line are read in splits. A malformed record of an array
+    spoils itself only.
     """
     wide = T.StructType([*schema.fields, T.StructField("_corrupt_record", T.StringType())])
-    df = spark.read.schema(wide).json(path, multiLine=array, mode="PERMISSIVE")
+    if array:
+        df = array_records(spark, path).select(F.from_json("record", wide, {"mode": "PERMISSIVE"}).alias("_r")).select("_r.*")
+    else:
+        df = spark.read.schema(wide).json(path, mode="PERMISSIVE")
     return df if source is None else df.where(F.col("source") == source)
 
 

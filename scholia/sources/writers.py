@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,6 +29,21 @@ def write_report(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
+def write_arrays(df: DataFrame, path: str) -> None:
+    """A JSON array in each file, written by all tasks; a task without rows writes an empty array."""
+    def framed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before = "["
+        for batch in batches:
+            lines = []
+            for record in batch.column(0).to_pylist():
+                lines.append(before + record)
+                before = ","
+            yield pa.RecordBatch.from_arrays([pa.array(lines, pa.string())], ["value"])
+        yield pa.RecordBatch.from_arrays([pa.array(["]" if before == "," else "[]"])], ["value"])
+
+    df.select(F.to_json(F.struct(*df.columns)).alias("value")).mapInArrow(framed, "value string").write.mode("overwrite").text(path)
+
+
 def write_snapshot(df: DataFrame, root: str, version: str) -> str:
     """Write a new snapshot folder and return its path. Readers switch once it is complete, so a failed write loses nothing."""
     path = f"{root}/version={version}"
