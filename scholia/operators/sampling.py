@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scholia import fixed_values as V
+from scholia.session import spread
 
 
 def random_key(seed: str, *parts: Column) -> Column:
@@ -40,21 +41,38 @@ def smallest_ticket(seed: str, user: Column, item: Column, tickets: Column) -> C
     return F.array_min(keys)
 
 
+def earlier_mistakes(wrong: DataFrame, pool: DataFrame) -> DataFrame:
+    """(user_id, missed): each user's wrong questions that are in the pool, so a list is no longer than the pool."""
+    ids = pool.select("question_id").distinct()
+    return (wrong.select("user_id", "question_id").join(F.broadcast(ids), "question_id", "left_semi")
+            .groupBy("user_id").agg(F.collect_set("question_id").alias("missed")))
+
+
 def weighted_sample(pool: DataFrame, mastery: DataFrame, wrong: DataFrame, n: int, seed: str) -> DataFrame:
     """n questions per user without repeats, likelier from weak topics and from earlier mistakes.
 
     `pool` is (question_id, topic), drawn beforehand and so of bounded size; `mastery` has a row per user and topic, 0 where
-    unseen, so users meet the pool in an equi-join on the topic; `wrong` is (user_id, question_id).
+    unseen; `wrong` is (user_id, question_id). Rows without topic take no part.
+
+    A user is one row that draws from the pool by itself (the pool is a scalar subquery), so no row for each user and question is
+    ever made and only the mastery and the mistakes are shuffled.
     """
-    flags = wrong.select("user_id", "question_id").distinct().withColumn("was_wrong", F.lit(True))
-    rows = (mastery.join(F.broadcast(pool), "topic")  # bounded by the pool size that the caller draws
-            .join(flags, ["user_id", "question_id"], "left")
-            .withColumn("was_wrong", F.coalesce("was_wrong", F.lit(False)))
-            .withColumn("tickets", draw_count(F.col("mastery_pct"), F.col("was_wrong")))
-            .withColumn("ticket", smallest_ticket(seed, F.col("user_id"), F.col("question_id"), F.col("tickets"))))
-    order = Window.partitionBy("user_id").orderBy("ticket", "question_id")
-    return (rows.withColumn("pick", F.row_number().over(order)).where(F.col("pick") <= n)
-            .select("user_id", "pick", "question_id", "topic", "tickets", "was_wrong"))
+    levels = (mastery.where(F.col("topic").isNotNull()).groupBy("user_id")
+              .agg(F.map_from_entries(F.collect_list(F.struct("topic", "mastery_pct"))).alias("levels")))
+    whole = pool.agg(F.collect_list(F.struct("question_id", "topic")).alias("pool")).scalar()
+    users = spread(levels.join(earlier_mistakes(wrong, pool), "user_id", "left")).withColumn("pool", whole)
+
+    def drawn(q):
+        was_wrong = F.coalesce(F.array_contains("missed", q["question_id"]), F.lit(False))
+        tickets = draw_count(F.try_element_at("levels", q["topic"]), was_wrong)
+        ticket = smallest_ticket(seed, F.col("user_id"), q["question_id"], tickets)
+        return F.struct(ticket.alias("ticket"), q["question_id"].alias("question_id"), q["topic"].alias("topic"),
+                        tickets.alias("tickets"), was_wrong.alias("was_wrong"))
+
+    own = F.filter("pool", lambda q: F.coalesce(F.map_contains_key("levels", q["topic"]), F.lit(False)))
+    picks = F.slice(F.array_sort(F.transform(own, drawn)), 1, n)
+    return (users.select("user_id", F.posexplode(picks).alias("at", "q"))
+            .select("user_id", (F.col("at") + 1).alias("pick"), "q.question_id", "q.topic", "q.tickets", "q.was_wrong"))
 
 
 def pool_size(n: int, one_topic: bool) -> int:
@@ -74,16 +92,22 @@ def blueprint_pool(bank: DataFrame, quotas: dict[str, int], seed: str) -> DataFr
 
 
 def blueprint_sample(users: DataFrame, pool: DataFrame, wrong: DataFrame, quotas: dict[str, int], seed: str) -> DataFrame:
-    """A test per user with the given number of questions per topic, earlier mistakes first, random inside each class."""
-    flags = wrong.select("user_id", "question_id").distinct().withColumn("was_wrong", F.lit(True))
-    frame = users.select("user_id").distinct().select("user_id", F.explode(F.array(*[F.lit(t) for t in quotas])).alias("topic"))
-    rows = (frame.join(F.broadcast(pool), "topic")  # bounded by the quotas
-            .join(flags, ["user_id", "question_id"], "left")
-            .withColumn("was_wrong", F.coalesce("was_wrong", F.lit(False))))
-    order = Window.partitionBy("user_id", "topic").orderBy(
-        F.col("was_wrong").desc(), random_key(seed, F.col("user_id"), F.col("question_id")), "question_id")
-    return (rows.withColumn("pick", F.row_number().over(order)).where(F.col("pick") <= quota_column(quotas))
-            .select("user_id", "topic", "pick", "question_id", "was_wrong"))
+    """A test per user with the given number of questions per topic, earlier mistakes first, random inside each class.
+
+    Each user and topic is one row that picks from the topic's pool by itself; nothing is shuffled but users and their mistakes.
+    """
+    lists = pool.where(F.col("topic").isin(*quotas)).groupBy("topic").agg(F.collect_list("question_id").alias("ids"))
+    takers = spread(users.select("user_id").distinct().join(earlier_mistakes(wrong, pool), "user_id", "left"))
+    frame = (takers.withColumn("topic", F.explode(F.array(*[F.lit(t) for t in quotas])))
+             .join(F.broadcast(lists), "topic"))  # a row per topic, bounded by the quotas
+
+    def ranked(q):
+        was_wrong = F.coalesce(F.array_contains("missed", q), F.lit(False))
+        return F.struct((~was_wrong).alias("late"), random_key(seed, F.col("user_id"), q).alias("at"), q.alias("question_id"))
+
+    picks = F.slice(F.array_sort(F.transform("ids", ranked)), F.lit(1), quota_column(quotas))
+    return (frame.select("user_id", "topic", F.posexplode(picks).alias("at", "q"))
+            .select("user_id", "topic", (F.col("at") + 1).alias("pick"), "q.question_id", (~F.col("q.late")).alias("was_wrong")))
 
 
 def blueprint_shortage(users: DataFrame, sample: DataFrame, quotas: dict[str, int]) -> DataFrame:
@@ -99,7 +123,12 @@ def review_queue(cards: DataFrame, states: DataFrame, now: Column, seed: str) ->
 
     `cards` is (user_id, card_id); `states` holds box and next_review_at, with a missing time read as `now`.
     """
-    rows = card_status(cards, states, now).where(F.col("status") != "future")
+    return review_order(card_status(cards, states, now), seed)
+
+
+def review_order(status: DataFrame, seed: str) -> DataFrame:
+    """The same for cards whose status is known."""
+    rows = status.where(F.col("status") != "future")
     order = Window.partitionBy("user_id").orderBy(
         F.when(F.col("status") == "due", 0).otherwise(1), F.col("box").asc_nulls_last(), F.col("overdue_sec").desc_nulls_last(),
         random_key(seed, F.col("user_id"), F.col("card_id")), "card_id")

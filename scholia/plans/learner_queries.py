@@ -189,25 +189,24 @@ def review_boxes(t: Tables):
     return H.review_boxes(t.reviews())
 
 
-_STATUS = _BOXES + f""", status AS (
+_STATUS = _BOXES.replace("FROM attempts)", f"FROM attempts WHERE session_type NOT IN ('{HIDDEN_TYPES[0]}'))") + f""", status AS (
   SELECT c.user_id, c.card_id, box, next_review_at,
          CASE WHEN box IS NOT NULL THEN (epoch_us({SQL_NOW}) - epoch_us(next_review_at)) // 1000000 END AS overdue_sec,
          CASE WHEN box IS NULL THEN 'new' WHEN box = 1 OR next_review_at <= {SQL_NOW} THEN 'due' ELSE 'future' END AS status
-  FROM (SELECT u.user_id, k.card_id FROM (SELECT DISTINCT user_id, question_id % 7 AS slot FROM attempts) u
-        JOIN (SELECT DISTINCT question_id AS card_id FROM attempts) k ON k.card_id % 7 = u.slot) c
+  FROM (SELECT DISTINCT user_id, question_id AS card_id FROM attempts) c
   LEFT JOIN boxes b ON b.user_id = c.user_id AND b.card_id = c.card_id)"""
 
 
 def _status(t: Tables):
-    """Each user's deck: the cards of every shelf (card number modulo 7) that the user has touched."""
-    shelves = t.attempts().select("user_id", (F.col("question_id") % 7).alias("shelf")).distinct()
-    cards = t.attempts().select(F.col("question_id").alias("card_id")).distinct().withColumn("shelf", F.col("card_id") % 7)
-    return shelves.join(cards, "shelf").select("user_id", "card_id")
+    """Each user's deck is the cards that the user has met; only those met in a session that is not hidden have been reviewed."""
+    met = t.attempts().select("user_id", F.col("question_id").alias("card_id"), F.col("session_type").isin(HIDDEN_TYPES).alias("hidden"),
+                              F.col("is_correct").alias("knew"), F.col("attempted_at").alias("ts"), F.col("attempt_id").alias("seq"))
+    return S.card_status(met.select("user_id", "card_id").distinct(), H.review_boxes(met.where(~F.col("hidden")).drop("hidden")), now())
 
 
 @query("J15", f"WITH {_STATUS} SELECT user_id, card_id, coalesce(box, 0) AS box, next_review_at, status FROM status")
 def card_status(t: Tables):
-    return S.card_status(_status(t), H.review_boxes(t.reviews()), now()).drop("overdue_sec").fillna(0, ["box"])
+    return _status(t).drop("overdue_sec").fillna(0, ["box"])
 
 
 @query("A11", f"""WITH {_STATUS}
@@ -215,7 +214,7 @@ SELECT user_id, count(*) FILTER (box = 1) AS box_1, count(*) FILTER (box = 2) AS
        count(*) FILTER (box = 4) AS box_4, count(*) FILTER (box = 5) AS box_5, count(*) FILTER (status = 'due') AS due,
        count(*) FILTER (status = 'new') AS "new", count(*) FILTER (box = 5) AS mastered FROM status GROUP BY user_id""")
 def box_distribution(t: Tables):
-    return S.box_counts(S.card_status(_status(t), H.review_boxes(t.reviews()), now()))
+    return S.box_counts(_status(t))
 
 
 @query("O5", f"""WITH {_STATUS}
@@ -223,7 +222,7 @@ SELECT user_id, card_id, status, CAST(row_number() OVER (PARTITION BY user_id OR
          overdue_sec DESC NULLS LAST, md5('{SEED}:' || user_id || ':' || card_id), card_id) AS INTEGER) AS place
 FROM status WHERE status <> 'future'""")
 def review_queue(t: Tables):
-    return S.review_queue(_status(t), H.review_boxes(t.reviews()), now(), SEED).select("user_id", "card_id", "status", "place")
+    return S.review_order(_status(t), SEED).select("user_id", "card_id", "status", "place")
 
 
 @query("W6", f"""WITH {SESSIONS}

@@ -54,7 +54,7 @@ def stage_table(df: DataFrame) -> DataFrame:
 def spread(df: DataFrame) -> DataFrame:
     """Deal rows over as many partitions as the session's `spark.scholia.scanPartitions` says; unset, scans keep their splits.
 
-    It is for files of one row group with much work per row, which no split size can divide.
+    It is for files of one row group, or few small rows, with much work per row, which no split size can divide.
     """
     parts = df.sparkSession.conf.get("spark.scholia.scanPartitions", None)
     return df.repartition(int(parts)) if parts else df

@@ -122,3 +122,55 @@ def test_due_status(spark):
                                    "user_id string, card_id string, box int, next_review_at timestamp_ntz")
     got = {r.card_id: r.status for r in S.card_status(cards, states, F.lit(T0).cast("timestamp_ntz")).collect()}
     assert got == {"a": "due", "b": "due", "c": "future", "d": "new"}
+
+
+def test_weighted_sample_against_a_loop(spark):
+    import hashlib
+
+    pool = [(i, "xyz"[i % 3] if i % 7 else None) for i in range(40)]
+    mastery = [("u", "x", 10.0), ("u", "y", 60.0), ("v", "z", None), ("v", "other", 5.0), ("w", None, 5.0)]
+    wrong = [("u", 3), ("u", 3), ("u", 99), ("v", 2), ("n", 1), ("u", None)]
+    got = S.weighted_sample(spark.createDataFrame(pool, "question_id int, topic string"),
+                            spark.createDataFrame(mastery, "user_id string, topic string, mastery_pct double"),
+                            spark.createDataFrame(wrong, "user_id string, question_id int"), 9, "s").collect()
+    want = []
+    for user in "uvw":
+        drawn = []
+        for q, topic in pool:
+            level = [m for u, t, m in mastery if u == user and t is not None and t == topic]
+            if level:
+                was = (user, q) in wrong
+                times = (5 if level[0] is not None and level[0] < 30 else 2 if level[0] is not None and level[0] < 70 else 1) * (1 + was)
+                ticket = min(hashlib.md5(f"s:{user}:{q}:{i + 1}".encode()).hexdigest() for i in range(times))
+                drawn.append((ticket, q, topic, times, was))
+        want += [(user, i + 1, *d[1:]) for i, d in enumerate(sorted(drawn)[:9])]
+    assert sorted(map(tuple, got)) == sorted(want)
+
+
+def test_samples_from_empty_tables(spark):
+    pool = spark.createDataFrame([], "question_id int, topic string")
+    mastery = spark.createDataFrame([("u", "x", 1.0)], "user_id string, topic string, mastery_pct double")
+    wrong = spark.createDataFrame([], "user_id string, question_id int")
+    assert S.weighted_sample(pool, mastery, wrong, 3, "s").count() == 0
+    assert S.weighted_sample(pool, mastery.limit(0), wrong, 3, "s").count() == 0
+    assert S.blueprint_sample(mastery, pool, wrong, {"x": 2}, "s").count() == 0
+
+
+def test_samples_shuffle_no_row_for_each_user_and_question(spark):
+    """Only rows that are drawn come out of a user's row, after the last exchange."""
+    pool = spark.range(300).select(F.col("id").alias("question_id"), F.lit("x").alias("topic"))
+    users = spark.range(2000).select(F.col("id").alias("user_id"), F.lit("x").alias("topic"), F.lit(50.0).alias("mastery_pct"))
+    wrong = spark.range(2000).select(F.col("id").alias("user_id"), F.lit(5).cast("long").alias("question_id"))
+    for sample in (S.weighted_sample(pool, users, wrong, 10, "s"), S.blueprint_sample(users, pool, wrong, {"x": 10}, "s")):
+        plan = sample._jdf.queryExecution().optimizedPlan().toString()
+        assert "Window" not in plan
+        assert sample.count() == 20000
+
+
+def test_cards_of_hidden_sessions_stay_new(spark):
+    now = F.lit(T0).cast("timestamp")
+    cards = spark.createDataFrame([("u", 1), ("u", 2), ("u", 3)], "user_id string, card_id int")
+    states = spark.createDataFrame([("u", 1, 1, T0 + dt.timedelta(days=2)), ("u", 2, 3, T0 + dt.timedelta(days=2))],
+                                   "user_id string, card_id int, box int, next_review_at timestamp")
+    got = {r.card_id: r.status for r in S.review_order(S.card_status(cards, states, now), "s").collect()}
+    assert got == {1: "due", 3: "new"}
