@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scholia.functions.text import let
-from scholia.llm.common import keyed_texts, stage
+from scholia.llm.common import keyed_texts, salted_join, stage
 
 # The base patterns, in a form without backtracking that has the same matches. A run of local-part characters can only
 # begin a match at its first character or right after the match before; a card has 16 digits or more.
@@ -27,32 +27,43 @@ IP_PART = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]?[0-9])"
 
 # A word with a digit or an at sign.
 IDENTIFIER = r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+"
-ROUNDS = 3
 SUPPORT = 3  # different known instances that a pattern needs
 CONFIDENCE = 0.8
-CONTEXT_CHARS = 64
 MATCH_BLOCK = 256
+# Two whole words at the end of a text; and a text that has two words after its first blank, so that both are whole.
+TWO_WORDS = r"(?<!\S)\S++\s++\S++\s*+$"
+LAST_WORD = r"(?<!\S)(\S++)\s*+$"
+HAS_TWO_WORDS = r"\s\S++\s++\S"
 
 
 def matches(text: Column, pattern: str, hint: Column) -> Column:
-    """(start, end, found) of all matches, in code points: the pieces between matches tell where they stand.
+    """(start, end, found, two, one) of all matches, in code points: the pieces between matches tell where they stand, and which two
+    words, or one, precede them (lower-cased; what is glued to a match counts as a word). Words are whole unless a word holds three matches.
 
     The text is searched once, and ends are sums over whole blocks of matches and the rest of a block, so a long text with many
     matches costs little more than its length.
     """
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.transform(F.split(text, pattern, -1), F.char_length)
+    gaps = F.split(text, pattern, -1)
     total = lambda values: F.aggregate(values, F.lit(0), lambda a, x: a + x)
     block = lambda i: F.floor(i / MATCH_BLOCK).cast("int")
 
     def placed(pieces: Column, steps: Column, sums: Column) -> Column:
         def one(m, i):
             end = total(F.slice(sums, F.lit(1), block(i))) + total(F.slice(steps, block(i) * MATCH_BLOCK + 1, i % MATCH_BLOCK + 1))
-            return F.struct((end - F.char_length(m)).alias("start"), end.alias("end"), m.alias("found"))
+            return F.struct((end - F.char_length(m)).alias("start"), end.alias("end"), m.alias("found"), *preceding(pieces, i))
         return F.transform(pieces["found"], one)
 
+    def preceding(pieces: Column, i: Column) -> tuple[Column, Column]:
+        gap = F.get(pieces["gaps"], i)
+        piece = lambda name, back: F.coalesce(F.get(pieces[name], i - back), F.lit(""))
+        longer = F.concat(piece("gaps", 2), piece("found", 2), piece("gaps", 1), piece("found", 1), gap)
+        left = F.when(gap.rlike(HAS_TWO_WORDS), gap).otherwise(longer)
+        two = F.trim(F.regexp_replace(F.regexp_extract(left, TWO_WORDS, 0), r"\s+", " "))
+        return F.lower(two).alias("two"), F.lower(F.regexp_extract(left, LAST_WORD, 1)).alias("one")
+
     def steps_of(pieces: Column) -> Column:
-        return F.zip_with(F.slice(pieces["gaps"], F.lit(1), F.size(pieces["found"])), pieces["found"], lambda g, m: g + F.char_length(m))
+        return F.zip_with(F.slice(pieces["gaps"], F.lit(1), F.size(pieces["found"])), pieces["found"], lambda g, m: F.char_length(g) + F.char_length(m))
 
     def sums_of(steps: Column) -> Column:
         blocks = F.sequence(F.lit(0), block(F.size(steps)))
@@ -60,7 +71,7 @@ def matches(text: Column, pattern: str, hint: Column) -> Column:
 
     located = let(F.struct(found.alias("found"), gaps.alias("gaps")), lambda pieces: let(
         steps_of(pieces), lambda steps: let(sums_of(steps), lambda sums: placed(pieces, steps, sums))))
-    none = F.array().cast("array<struct<start:int,end:int,found:string>>")
+    none = F.array().cast("array<struct<start:int,end:int,found:string,two:string,one:string>>")
     return F.when(hint, located).otherwise(none)
 
 
@@ -99,39 +110,37 @@ def shape(found: Column) -> Column:
 
 def _mentions() -> Column:
     """Seeds, and identifier-like words that touch no seed: (start, end, instance, seed, patterns)."""
-    text = F.col("text")
     seeds = F.flatten(F.array(*(F.transform(F.col(k), lambda m: m.withField("seed", F.lit(True))) for k in PATTERNS)))
     words = F.transform(F.col("words"), lambda m: m.withField("seed", F.lit(False)))
     free = F.filter(words, lambda m: ~F.exists("base", lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"])))
 
     def described(m):
         instance = F.regexp_replace(m["found"], r"^[\"'(\[{<]+|[\"')\]}>.,;:!?]+$", "")
-        first = F.greatest(m["start"] - CONTEXT_CHARS, F.lit(0))
-        left = F.lower(F.substring(text, first + 1, m["start"] - first))
-        two = F.regexp_extract(left, r"(\S+)\s+(\S+)\s*$", 0)
-        one = F.regexp_extract(left, r"(\S+)\s*$", 1)
         form = shape(instance)
-        patterns = F.array_distinct(F.array(F.concat_ws("\t", F.trim(F.regexp_replace(two, r"\s+", " ")), form), F.concat_ws("\t", one, form)))
+        patterns = F.array_distinct(F.array(F.concat_ws("\t", m["two"], form), F.concat_ws("\t", m["one"], form)))
         return F.struct(m["start"].alias("start"), m["end"].alias("end"), instance.alias("instance"), m["seed"].alias("seed"),
                         patterns.alias("patterns"))
 
     return F.transform(F.concat(seeds, free), described)
 
 
-def learned_patterns(mentions: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """Patterns of high confidence (`pattern`, `confidence`) from mentions (`instance`, `seed`, `patterns`)."""
+def learned_patterns(mentions: DataFrame) -> DataFrame:
+    """Patterns of high confidence (`pattern`, `confidence`) from mentions (`instance`, `seed`, `patterns`), scored round by round until
+    no instance becomes known. Known instances are never forgotten, so this ends."""
     edges = stage(mentions.select(F.explode("patterns").alias("pattern"), "instance").distinct())
     known = stage(mentions.where("seed").select("instance").distinct())
-    for step in range(rounds):
+    size = known.count()
+    while True:
         marked = edges.join(known.withColumn("known", F.lit(1)), "instance", "left")
         strong = stage(marked.groupBy("pattern").agg(F.count("known").alias("support"), F.count(F.lit(1)).alias("n"))
                        .withColumn("confidence", F.col("support") / F.col("n"))
                        .where((F.col("support") >= SUPPORT) & (F.col("confidence") >= CONFIDENCE)))
-        if step + 1 < rounds:
-            doubt = F.sum(F.log1p(-F.least(F.col("confidence"), F.lit(0.999))))
-            scored = edges.join(strong, "pattern").groupBy("instance").agg((1 - F.exp(doubt)).alias("score"))
-            known = stage(known.union(scored.where(F.col("score") >= CONFIDENCE).select("instance")).distinct())
-    return strong.select("pattern", "confidence")
+        doubt = F.sum(F.log1p(-F.least(F.col("confidence"), F.lit(0.999))))
+        scored = edges.join(strong, "pattern").groupBy("instance").agg((1 - F.exp(doubt)).alias("score"))
+        grown = stage(known.union(scored.where(F.col("score") >= CONFIDENCE).select("instance")).distinct())
+        before, size, known = size, grown.count(), grown
+        if size == before:
+            return strong.select("pattern", "confidence")
 
 
 def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -149,8 +158,9 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                                                       _mentions().alias("mentions")))
     mentions = stage(rows.select("row", F.explode("mentions").alias("m")).select("row", "m.*"))
     strong = stage(learned_patterns(mentions))
-    found = stage(mentions.where("not seed").select("row", "start", "end", F.explode("patterns").alias("pattern"))
-                  .join(strong, "pattern").select("row", "start", "end").distinct())
+    free = mentions.where("not seed").select("row", "start", "end", F.explode("patterns").alias("pattern"))
+    counted = free.groupBy("pattern").agg(F.count("*").alias("n")).join(strong.select("pattern"), "pattern")
+    found = stage(salted_join(free, stage(counted), ["pattern"], ["row", "start"]).select("row", "start", "end").distinct())
     # The spans of one text.
     added = stage(found.groupBy("row").agg(F.array_sort(F.collect_list(F.struct(
         F.lit(len(PATTERNS)).alias("kind"), "start", "end"))).alias("added")))

@@ -311,6 +311,34 @@ def test_places_of_many_matches(spark):
         assert [(m.start, m.end, m.found) for m in got] == [(*m.span(), m[0]) for m in re.finditer("[0-9]+", texts[i])]
 
 
+def test_words_before_a_match_are_whole(spark):
+    from pyspark.sql import functions as F
+
+    rng = random.Random(9)
+    texts = [rng.choice(["", " ", "\n"]).join(["", *(rng.choice(["Éa", "🙂", "w" * 300, "a1", "22", "x@y", "plain", "The"]) + rng.choice([" ", " ", "\t\n"])
+                                                      for _ in range(n))]) for n in (0, 1, 2, 3, 60, 600)]
+    texts += ["22", " 22 33 44 55", "b" * 100_000 + " 1"]
+    frame = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    for i, got in frame.select("i", pii.matches(F.col("t"), pii.IDENTIFIER, F.lit(True)).alias("m")).collect():
+        for m in got:
+            words = re.findall(r"\S+", texts[i][:m.start])
+            assert m.one == (words[-1].lower() if words else "")
+            assert m.two == (" ".join(words[-2:]).lower() if len(words) > 1 else "")
+
+
+def test_pii_rounds_go_on_until_nothing_becomes_known(spark):
+    number = iter(range(10_000))
+    odd = lambda n: [f"999.{k // 100}.{k % 100}.7" for k in (next(number) for _ in range(n))]
+    groups = [[f"10.0.{k // 200}.{k % 200}" for k in range(300)], odd(72), odd(17), odd(4)]
+    texts = []
+    for step, (before, here) in enumerate(zip("abcd", groups)):
+        new = groups[step + 1] if step + 1 < len(groups) else []
+        texts += [f"{before * 3} {before * 70} {x} end" for x in here + new]
+    got = by_id(pii.digest(pii.personal_data(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))))
+    assert all(got[i].spans for i in range(len(texts)))
+    assert [got[i].spans for i in range(len(texts) - 4, len(texts))] == ["context:75:%d" % (75 + len(t.split()[2])) for t in texts[-4:]]
+
+
 def test_pii_patterns_are_learned(spark):
     rows = [(i, f"reach me under {10 + i}.20.30.40 today") for i in range(8)] + [(100, "reach me under 10.20.30.999 today"), (101, "version 2.0 of it")]
     got = by_id(pii.digest(pii.personal_data(spark.createDataFrame(rows, "doc_id long, text string"))))
