@@ -55,7 +55,9 @@ def simhashes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
 def ball_links(prints: DataFrame) -> DataFrame:
     """Links (a, b) whose components are those of all distinct `fp` at `RADIUS` or fewer differing bits."""
     masks = [0, *(1 << i for i in range(63)), -(1 << 63)]
-    met = (prints.select("fp").distinct()
+    # A number of partitions of its own keeps adaptive execution from joining the small partitions before the 65-fold explode.
+    parts = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    met = (prints.select("fp").repartition(parts, "fp").distinct()
            .select("fp", F.explode(F.array(*(F.lit(m).cast("long") for m in masks))).alias("mask"))
            .select("fp", F.col("fp").bitwiseXOR(F.col("mask")).alias("variant"))
            .groupBy("variant").agg(F.collect_set("fp").alias("met")).where(F.size("met") > 1))
