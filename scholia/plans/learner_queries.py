@@ -24,6 +24,7 @@ def today():
 SQL_NOW = f"TIMESTAMP '{ANCHOR}'"
 SQL_TODAY = f"DATE '{ANCHOR_DAY}'"
 SEED = "s1"
+SHELF_LOTS = 16
 
 
 def _mastery(t: Tables):
@@ -189,19 +190,25 @@ def review_boxes(t: Tables):
     return H.review_boxes(t.reviews())
 
 
-_STATUS = _BOXES.replace("FROM attempts)", f"FROM attempts WHERE session_type NOT IN ('{HIDDEN_TYPES[0]}'))") + f""", status AS (
+_STATUS = _BOXES + f""", status AS (
   SELECT c.user_id, c.card_id, box, next_review_at,
          CASE WHEN box IS NOT NULL THEN (epoch_us({SQL_NOW}) - epoch_us(next_review_at)) // 1000000 END AS overdue_sec,
          CASE WHEN box IS NULL THEN 'new' WHEN box = 1 OR next_review_at <= {SQL_NOW} THEN 'due' ELSE 'future' END AS status
-  FROM (SELECT DISTINCT user_id, question_id AS card_id FROM attempts) c
+  FROM (SELECT u.user_id, k.card_id FROM (SELECT DISTINCT user_id, question_id % 7 AS slot FROM attempts) u
+        JOIN (SELECT DISTINCT question_id AS card_id FROM attempts) k ON k.card_id % 7 = u.slot) c
   LEFT JOIN boxes b ON b.user_id = c.user_id AND b.card_id = c.card_id)"""
 
 
 def _status(t: Tables):
-    """Each user's deck is the cards that the user has met; only those met in a session that is not hidden have been reviewed."""
-    met = t.attempts().select("user_id", F.col("question_id").alias("card_id"), F.col("session_type").isin(HIDDEN_TYPES).alias("hidden"),
-                              F.col("is_correct").alias("knew"), F.col("attempted_at").alias("ts"), F.col("attempt_id").alias("seq"))
-    return S.card_status(met.select("user_id", "card_id").distinct(), H.review_boxes(met.where(~F.col("hidden")).drop("hidden")), now())
+    """Each user's deck: the cards of every shelf (card number modulo 7) that the user has touched. All answers count as reviews."""
+    touched = t.attempts().select("user_id", F.col("question_id").alias("card_id"), (F.col("question_id") % 7).alias("shelf"))
+    cards = touched.select("card_id", "shelf").distinct()
+    # Seven shelves are few join keys, so each shelf is dealt out by user; its cards go to every lot.
+    lot = F.pmod(F.xxhash64("user_id"), F.lit(SHELF_LOTS)).cast("int")
+    shelves = touched.select("user_id", "shelf").distinct().withColumn("lot", lot)
+    dealt = cards.withColumn("lot", F.explode(F.sequence(F.lit(0), F.lit(SHELF_LOTS - 1))))
+    decks = shelves.join(dealt, ["shelf", "lot"]).select("user_id", "card_id")
+    return S.card_status(decks, H.review_boxes(t.reviews()), now())
 
 
 @query("J15", f"WITH {_STATUS} SELECT user_id, card_id, coalesce(box, 0) AS box, next_review_at, status FROM status")

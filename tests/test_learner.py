@@ -174,3 +174,22 @@ def test_cards_of_hidden_sessions_stay_new(spark):
                                    "user_id string, card_id int, box int, next_review_at timestamp")
     got = {r.card_id: r.status for r in S.review_order(S.card_status(cards, states, now), "s").collect()}
     assert got == {1: "due", 3: "new"}
+
+
+def test_decks_hold_whole_shelves_and_all_reviews(spark):
+    """Cards of a touched shelf that the user hasn't met are new; answers in hidden sessions are reviews like others."""
+    import tempfile
+
+    from scholia.plans import REGISTRY
+    from scholia.plans.tables import Tables
+
+    folder = tempfile.mkdtemp(prefix="run-", dir="/tmp")
+    events = [(1, 1, "error", 1.0, 3), (2, 1, "quiz", 1.0, 4), (3, 2, "quiz", 50.0, 10), (4, 2, "quiz", 1.0, 18)]
+    spark.createDataFrame([(i, T0, u, kind, v, '{"k": %d}' % k) for i, u, kind, v, k in events],
+                          "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string").write.parquet(f"{folder}/events.parquet")
+    t = Tables(spark, folder)
+    status = sorted((r.user_id, r.card_id, r.box, r.status) for r in REGISTRY["card_status"].build(t).collect())
+    assert status == [(1, 3, 2, "due"), (1, 4, 2, "due"), (1, 10, 0, "new"), (1, 18, 0, "new"),
+                      (2, 3, 0, "new"), (2, 4, 0, "new"), (2, 10, 1, "due"), (2, 18, 2, "due")]
+    assert {r.user_id: (r.due, r["new"]) for r in REGISTRY["box_distribution"].build(t).collect()} == {1: (2, 2), 2: (2, 2)}
+    assert REGISTRY["review_queue"].build(t).count() == 8
