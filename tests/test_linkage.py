@@ -303,3 +303,27 @@ def test_letters_never_refuse_a_reachable_ratio(spark):
     for floor in (0.3, 0.6, 0.8, 1.0):
         got = d.select(Sim.ratio_reachable(F.col("a"), F.col("b"), *counts, floor).alias("ok")).collect()
         assert all(x.ok or difflib.SequenceMatcher(None, a, b).ratio() < floor for x, (a, b) in zip(got, pairs))
+
+
+def test_option_search_in_blocks_makes_no_row_for_a_pair(spark):
+    """Slices of any size give the brute-force result, and what leaves the exchange before the search grows with rows, not with pairs."""
+    rng = random.Random(5)
+    some = lambda: "|".join(" ".join(sorted({rng.choice("abcdef") * rng.randrange(1, 4) for _ in range(rng.randrange(0, 5))})) for _ in range(3))
+    lists = [(120, "k", s, i) for i, s in enumerate(sorted({some() for _ in range(90)}, key=hash))] + [(60, "k", "a||", 7), (60, "k", "|b|", 3)]
+    cases = [(120, "k", s) for s in {some() for _ in range(70)}] + [(60, "k", "||c"), (60, "k", "a||"), (80, "no references", "a||")]
+
+    def rate(p, r):
+        total = 0.0
+        for a, b in zip(p.split("|"), r.split("|")):
+            a, b = set(a.split()), set(b.split())
+            total += len(a & b) / max(len(a), len(b)) if a and b else 0.0
+        return total / 3.0
+
+    want = {(t, k, p): min(((-rate(p, s), i) for t2, k2, s, i in lists if (t2, k2) == (t, k)), default=(0, None))[1] for t, k, p in cases}
+    want = {c: i for c, i in want.items() if i is not None}
+    p, r = spark.createDataFrame(cases, "tier int, key string, p_sets string"), spark.createDataFrame(lists, "tier int, key string, _sets string, ref_id long")
+    for size in (8192, 7):
+        got = L.most_similar_options(p, r, slice_rows=size)
+        assert {(x.tier, x.key, x.p_sets): x.ref_id for x in got.collect()} == want
+    plan = L.most_similar_options(p, r)._jdf.queryExecution().optimizedPlan().toString()
+    assert "FlatMapCoGroupsInArrow" in plan and "rate" in plan
