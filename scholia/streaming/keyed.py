@@ -14,7 +14,16 @@ from scholia import fixed_values as V
 from scholia.functions.scalars import add_days, percentage
 from scholia.operators.progress import progress
 
-BOX_STATE = T.StructType([T.StructField("box", T.IntegerType()), T.StructField("right", T.LongType()), T.StructField("wrong", T.LongType())])
+# A state holds all keys of one lot, so that a task is called once for each lot and not once for each key.
+LOTS = 4096
+
+
+def _by_lot(rows: DataFrame, *keys: str, lots: int):
+    return rows.withColumn("lot", F.pmod(F.xxhash64(*keys), F.lit(lots)).cast("int")).groupBy("lot")
+
+
+def _lists(fields: list[tuple[str, T.DataType]]) -> T.StructType:
+    return T.StructType([T.StructField(name, T.ArrayType(kind)) for name, kind in fields])
 
 
 def progress_stream(outcomes: DataFrame) -> DataFrame:
@@ -29,12 +38,13 @@ def latest_state_stream(states: DataFrame, keys: list[str], order: list[str]) ->
             .select(*keys, *[F.col("row")[c].alias(c) for c in rest]))
 
 
-def review_box_stream(reviews: DataFrame, key_types: tuple[T.DataType, T.DataType], top: int = max(V.BOX_DAYS)) -> DataFrame:
+def review_box_stream(reviews: DataFrame, key_types: tuple[T.DataType, T.DataType], top: int = max(V.BOX_DAYS), lots: int = LOTS) -> DataFrame:
     """Box, counters and last review per (user_id, card_id) from (user_id, card_id, knew, ts, seq), one row per touched card.
 
     Answers of a micro-batch count in (ts, seq) order, after those of earlier batches. Only a card's newest top - 1 answers can
     matter for its box, so each input partition is first cut down to those and the counters; a card that holds much of a
-    micro-batch does not gather in one task.
+    micro-batch does not gather in one task. Cards are kept in `lots` states by a hash of their key; a stream that goes on from a
+    checkpoint must keep that number. Reviews without user or card count nowhere, as in batch.
     """
     keys, tail = ["user_id", "card_id"], top - 1
     thin = T.StructType([T.StructField("user_id", key_types[0]), T.StructField("card_id", key_types[1]), T.StructField("knew", T.BooleanType()),
@@ -42,6 +52,8 @@ def review_box_stream(reviews: DataFrame, key_types: tuple[T.DataType, T.DataTyp
     out = T.StructType([*thin.fields[:2], T.StructField("box", T.IntegerType()), T.StructField("times_correct", T.LongType()),
                         T.StructField("times_wrong", T.LongType()), T.StructField("last_seq", T.LongType())])
 
+    state_type = _lists([*zip(keys, key_types), ("box", T.IntegerType()), ("right", T.LongType()), ("wrong", T.LongType())])
+
     def newest(chunks: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in chunks:
             if rows.empty:
@@ -56,19 +68,29 @@ def review_box_stream(reviews: DataFrame, key_types: tuple[T.DataType, T.DataTyp
             yield rows.loc[back < tail, thin.names]
 
     def fold(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        box, right, wrong = state.get if state.exists else (1, 0, 0)
-        parts = list(chunks)
-        rows = parts[0] if len(parts) == 1 else pd.concat(parts)
-        # Most cards have a row or two; plain lists are quicker than frames for those.
-        answers = sorted(zip(rows["ts"].tolist(), rows["seq"].tolist(), rows["knew"].tolist()))
-        new_right, new_wrong = sum(rows["right"].tolist()), sum(rows["wrong"].tolist())
-        for _, _, knew in answers[-tail:]:
-            box = min(box + 1, top) if knew else 1
-        state.update((box, right + new_right, wrong + new_wrong))
-        yield pd.DataFrame([(*key, box, right + new_right, wrong + new_wrong, answers[-1][1])], columns=out.names)
-
-    return (reviews.select(*keys, "knew", "ts", "seq").mapInPandas(newest, thin).groupBy(*keys)
-            .applyInPandasWithState(fold, out, BOX_STATE, "update", GroupStateTimeout.NoTimeout))
+        cards = {}
+        if state.exists:
+            users, numbers, *counts = state.get
+            cards = dict(zip(zip(users, numbers), zip(*counts)))
+        rows = pd.concat(list(chunks)).sort_values(["ts", "seq"])
+        touched: dict[tuple, list] = {}
+        columns = [rows[c].tolist() for c in ("knew", "seq", "right", "wrong")]
+        for card, knew, seq, right, wrong in zip(zip(*(rows[k].tolist() for k in keys)), *columns):
+            seen = touched.setdefault(card, [[], 0, 0, seq])
+            seen[0].append(knew)
+            seen[1:] = seen[1] + right, seen[2] + wrong, seq
+        out_rows = []
+        for card, (answers, new_right, new_wrong, last) in touched.items():
+            box, right, wrong = cards.get(card, (1, 0, 0))
+            for knew in answers[-tail:]:
+                box = min(box + 1, top) if knew else 1
+            cards[card] = box, right + new_right, wrong + new_wrong
+            out_rows.append((*card, *cards[card], last))
+        state.update(tuple(map(list, zip(*((*card, *counts) for card, counts in cards.items())))))
+        yield pd.DataFrame(out_rows, columns=out.names)
+
+    return (_by_lot(reviews.select(*keys, "knew", "ts", "seq").dropna(subset=keys).mapInPandas(newest, thin), *keys, lots=lots)
+            .applyInPandasWithState(fold, out, state_type, "update", GroupStateTimeout.NoTimeout))
 
 
 def due_dates(boxes: DataFrame, updated_at: Column, days: dict[int, int] = V.BOX_DAYS) -> DataFrame:
@@ -88,8 +110,8 @@ def closed_sessions(answers: DataFrame, budget_sec: Column) -> DataFrame:
             .withColumn("score_pct", percentage(F.col("correct"), F.col("size"), 2)))
 
 
-DEADLINE_STATE = T.StructType([T.StructField("size", T.LongType()), T.StructField("answered", T.LongType()), T.StructField("correct", T.LongType()),
-                               T.StructField("deadline", T.LongType())])
+DEADLINE_STATE = _lists([("session_id", T.StringType()), ("size", T.LongType()), ("answered", T.LongType()), ("correct", T.LongType()),
+                         ("deadline", T.LongType()), ("forget", T.LongType())])
 CLOSED = T.StructType([T.StructField("session_id", T.StringType()), T.StructField("size", T.LongType()), T.StructField("answered", T.LongType()),
                        T.StructField("correct", T.LongType())])
 
@@ -100,40 +122,58 @@ def session_budget(session_type: Column, size: Column, fixed: dict[str, int] = V
     return F.coalesce(F.try_element_at(named, session_type), size * per_question).cast("long")
 
 
-def closed_session_stream(answers: DataFrame, lateness: str, budget_sec: Column | None = None, retention: str = "1 day") -> DataFrame:
+def closed_session_stream(answers: DataFrame, lateness: str, budget_sec: Column | None = None, retention: str = "1 day",
+                          lots: int = LOTS) -> DataFrame:
     """Emit a session once, when the watermark passes its deadline, start + `budget_sec` (90 seconds a question, unless given).
     A session first seen behind its deadline is emitted at once. Answers after the close don't count: a closed session is remembered
-    for `retention` of event time. `lateness` is how far answers may lag behind the newest one.
+    for `retention` of event time. `lateness` is how far answers may lag behind the newest one. Sessions are kept in `lots` states by a
+    hash of their id; a stream that goes on from a checkpoint must keep that number.
 
     Takes (session_id, started_at, size, ts, correct), times as TIMESTAMP in a session whose time zone is UTC.
     """
 
     keep = int(pd.Timedelta(retention).total_seconds() * 1000)
 
+    def milliseconds(times: pd.Series) -> list[int]:
+        utc = times.dt.tz_convert("UTC").dt.tz_localize(None) if times.dt.tz is not None else times
+        return (utc.to_numpy().astype("datetime64[us]").astype("int64") // 1000).tolist()
+
     def fold(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         now = state.getCurrentWatermarkMs()
-        size, answered, correct, deadline = state.get if state.exists else (0, 0, 0, 0)
-        if state.exists and deadline < 0:  # closed; forget it in the end
-            if state.hasTimedOut:
-                state.remove()
-            else:
-                state.setTimeoutTimestamp(now + keep)
-            return
+        # size, answered, correct, deadline (-1: closed), when to forget a closed one
+        sessions = {}
+        if state.exists:
+            ids, *facts = state.get
+            sessions = {s: list(some) for s, some in zip(ids, zip(*facts))}
         if not state.hasTimedOut:
-            parts = list(chunks)
-            rows = parts[0] if len(parts) == 1 else pd.concat(parts)
-            ends = rows["started_at"].iloc[0] + pd.Timedelta(seconds=int(rows["budget_sec"].iloc[0]))
-            timely = (rows["ts"] <= ends).to_numpy()
-            size, deadline = int(rows["size"].iloc[0]), int((ends if ends.tzinfo else ends.tz_localize("UTC")).timestamp() * 1000)
-            answered, correct = answered + int(timely.sum()), correct + int((timely & rows["correct"].to_numpy(dtype=bool)).sum())
-        if state.hasTimedOut or deadline < now:
-            state.update((size, answered, correct, -1))
-            state.setTimeoutTimestamp(now + keep)
-            yield pd.DataFrame([(key[0], size, answered, correct)], columns=CLOSED.names)
-        else:
-            state.update((size, answered, correct, deadline))
-            state.setTimeoutTimestamp(deadline + 1)
+            rows = pd.concat(list(chunks))
+            ends = rows["started_at"] + pd.to_timedelta(rows["budget_sec"], unit="s")
+            timely = rows["ts"] <= ends
+            right = timely & (rows["correct"] == True)  # noqa: E712 (null is wrong)
+            touched = set()
+            for s, size, end, timely_one, right_one in zip(rows["session_id"].tolist(), rows["size"].tolist(), milliseconds(ends), timely.tolist(), right.tolist()):
+                held = sessions.setdefault(s, [0, 0, 0, 0, 0])
+                if held[3] < 0:
+                    held[4] = now + keep
+                    continue
+                if s not in touched:
+                    touched.add(s)
+                    held[0], held[3] = int(size), end
+                held[1] += timely_one
+                held[2] += right_one
+        out_rows = []
+        for s, held in sessions.items():
+            if 0 <= held[3] < now:
+                out_rows.append((s, *held[:3]))
+                held[3:] = -1, now + keep
+        sessions = {s: held for s, held in sessions.items() if held[3] >= 0 or held[4] > now}
+        if sessions:
+            state.update(tuple(map(list, zip(*((s, *held) for s, held in sessions.items())))))
+            state.setTimeoutTimestamp(max(now, min(held[4] if held[3] < 0 else held[3] for held in sessions.values())) + 1)
+        elif state.exists:
+            state.remove()
+        yield pd.DataFrame(out_rows, columns=CLOSED.names)
 
     budget = F.col("size") * V.SECONDS_PER_QUESTION if budget_sec is None else budget_sec
-    return (answers.withColumn("budget_sec", budget.cast("long")).withWatermark("ts", lateness).groupBy("session_id")
+    return (_by_lot(answers.withColumn("budget_sec", budget.cast("long")).withWatermark("ts", lateness), "session_id", lots=lots)
             .applyInPandasWithState(fold, CLOSED, DEADLINE_STATE, "append", GroupStateTimeout.EventTimeTimeout))

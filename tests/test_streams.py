@@ -146,3 +146,25 @@ def test_last_update_of_a_page_counts(spark):
                                     "p int, reading int, page_type string, items array<int>")
     got = R.nested_upsert(pages, updates, ["p"], ["reading"]).select("p", "page_type", "items").collect()
     assert sorted(map(tuple, got)) == [(1, "answers", [3]), (2, "questions", [5]), (3, "b", [0])]
+
+
+def test_states_are_kept_by_lot(spark):
+    """Many cards and sessions share a state, whatever the number of lots; reviews without a card count nowhere."""
+    folder = log_folder(spark)
+    pick = ["user_id", "card_id", "knew", "ts", "seq"]
+    source = lambda d: d.select(*pick).withColumn("card_id", F.when(F.col("card_id") > 0, F.col("card_id")))
+    for lots in (1, 3):
+        out = tempfile.mkdtemp(prefix="run-", dir="/tmp")
+        got = run(spark, out, K.review_box_stream(source(stream_of(spark, folder)), (T.LongType(), T.IntegerType()), lots=lots), ["user_id", "card_id"])
+        want = H.review_boxes(source(spark.read.parquet(folder + "/log")))
+        as_set = lambda d: {tuple(r) for r in d.select("user_id", "card_id", "box", "times_correct", "times_wrong").collect()}
+        assert as_set(got) == as_set(want) and got.count() == 20
+    at = lambda m: T0 + dt.timedelta(minutes=m)
+    schema = "session_id string, started_at timestamp, size long, ts timestamp, correct boolean"
+    out = tempfile.mkdtemp(prefix="run-", dir="/tmp")
+    for part in ([("a", T0, 1, at(1), True), ("b", T0, 40, at(1), None)], [("a", T0, 1, at(50), True), ("b", T0, 40, at(50), True)], [("c", at(900), 1, at(900), True)]):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(out + "/log")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(out + "/log")
+    sinks.write_changes(K.closed_session_stream(stream, "0 seconds", lots=1), out + "/out", mode="append").awaitTermination()
+    got = sorted(tuple(r) for r in spark.read.parquet(out + "/out/rows").select("session_id", "size", "answered", "correct").collect())
+    assert got == [("a", 1, 1, 1), ("b", 40, 2, 1)]
