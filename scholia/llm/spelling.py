@@ -34,7 +34,7 @@ BITS_A_WORD = 16
 PROBES = 5
 BLOCK_BITS = 512  # one block is 8 words of 64 bits
 ROUND_BYTES = 16 << 20
-EDITS_AT_ONCE = 1 << 21
+EDITS_AT_ONCE = 1 << 18
 WORDS_A_TASK = 50_000
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)

@@ -161,3 +161,18 @@ def test_last_stage_under_clashing_columns(spark, clashing):
     docs = spark.read.parquet(f"{clashing}/documents.parquet")
     assert corpus_pipeline.encode_texts(spark, docs, clashing).count() == docs.count()
     assert corpus_pipeline.encode_texts(spark, docs.limit(0), clashing).count() == 0
+
+
+def test_edits_are_probed_in_little_memory():
+    """The arrays in which a task makes and probes edits stay small, however many words a batch has."""
+    import tracemalloc
+
+    from scholia.llm import spelling
+
+    words = ["".join(chr(97 + (i * 7 + j * j + i // 3) % 26) for j in range(12)) for i in range(4000)]
+    filters = spelling.Filters({12: 64, 11: 64})
+    tracemalloc.start()
+    assert list(spelling.edits_let_through(words, 12, filters)) == []
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 64 << 20
