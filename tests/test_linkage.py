@@ -327,3 +327,27 @@ def test_option_search_in_blocks_makes_no_row_for_a_pair(spark):
         assert {(x.tier, x.key, x.p_sets): x.ref_id for x in got.collect()} == want
     plan = L.most_similar_options(p, r)._jdf.queryExecution().optimizedPlan().toString()
     assert "FlatMapCoGroupsInArrow" in plan and "rate" in plan
+
+
+def test_overlap_pairs_make_rows_for_real_pairs_only(spark):
+    """One frequent word in every text made a candidate row for each pair; the blocks make none, and lose no pair. Long bags are cut as well."""
+    rng = random.Random(12)
+    words = [[f"w{rng.randrange(400)}" for _ in range(rng.randint(0, 25))] + ["the", "the"] for _ in range(300)]
+    words[7], words[8] = ["the"], []
+    ps = [(i % 2, i, words[i] if i % 3 else words[i + 1] + ["the"]) for i in range(299)]
+    rs = [(i % 2, i, words[i]) for i in range(300)]
+    schema = "part int, {}_id int, words array<string>"
+    p, r = spark.createDataFrame(ps, schema.format("probe")), spark.createDataFrame(rs, schema.format("ref"))
+    for larger in (False, True):
+        want, first = {}, {}
+        for part, j, w in rs:
+            first.setdefault((part, tuple(sorted(w))), j)
+        for part, i, w in ps:
+            for (other, bag_), j in first.items():
+                a, b = Counter(w), Counter(bag_)
+                size = max(a.total(), b.total()) if larger else a.total()
+                if part == other and size and b and (a & b).total() / size >= 0.5:
+                    want[i, j] = (a & b).total() / size
+        got = L.overlap_pairs(p, r, 0.5, of_larger=larger, slice_rows=40)
+        assert {(x.probe_id, x.ref_id): x.score for x in got.collect()} == want
+        assert "FlatMapCoGroupsInArrow" in got._jdf.queryExecution().executedPlan().toString()  # pairs are met inside tasks
