@@ -351,3 +351,14 @@ def test_overlap_pairs_make_rows_for_real_pairs_only(spark):
         got = L.overlap_pairs(p, r, 0.5, of_larger=larger, slice_rows=40)
         assert {(x.probe_id, x.ref_id): x.score for x in got.collect()} == want
         assert "FlatMapCoGroupsInArrow" in got._jdf.queryExecution().executedPlan().toString()  # pairs are met inside tasks
+
+
+def test_option_neighbours_make_no_row_for_a_shared_word(spark):
+    """Options of one length and one common word made a row for each pair; only pairs that may be alike leave the tasks."""
+    texts = ["".join(chr(97 + (7 * i + k * k) % 26) for k in range(12)) for i in range(26)]
+    side = lambda name: spark.createDataFrame([(0, i, ["the", f"w{i}"], t, t, t) for i, t in enumerate(texts)],
+                                              f"part int, {name}_id int, words array<string>, a string, b string, c string")
+    found = L.option_neighbours(side("probe"), side("ref"), 0.8, slice_rows=6)
+    ratio = lambda x, y: difflib.SequenceMatcher(None, x, y).ratio()
+    assert {(x.probe_id, x.ref_id) for x in found.collect()} == {(i, j) for i, x in enumerate(texts) for j, y in enumerate(texts) if ratio(x, y) >= 0.8}
+    assert "FlatMapCoGroupsInArrow" in found._jdf.queryExecution().executedPlan().toString()
