@@ -362,3 +362,25 @@ def test_option_neighbours_make_no_row_for_a_shared_word(spark):
     ratio = lambda x, y: difflib.SequenceMatcher(None, x, y).ratio()
     assert {(x.probe_id, x.ref_id) for x in found.collect()} == {(i, j) for i, x in enumerate(texts) for j, y in enumerate(texts) if ratio(x, y) >= 0.8}
     assert "FlatMapCoGroupsInArrow" in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_prefix_matches_cut_each_text_once(spark):
+    """Every text used to be cut to keys anew for each use of its rows, and once a tier: many passes over a large table."""
+    cuts = spark.sparkContext.accumulator(0)
+    counted = F.udf(lambda t: cuts.add(1) or t, "string").asNondeterministic()
+    text = "one opening " * 12
+    rows = [(i, text, f"red {i % 5}", f"blue {'x' * (i % 3)}", "c") for i in range(40)] + [(40, "another " * 20, "a", "b", "c")]
+    d = lambda name: spark.createDataFrame(rows, f"{name} int, text string, a string, b string, c string").withColumn("text", counted("text"))
+    found = L.prefix_matches(d("probe_id"), d("ref_id")).collect()
+    assert len(found) == 41 and cuts.value == 82
+
+
+def test_keys_and_ends_of_odd_texts(spark):
+    """A key cut from the opening is that of the whole text, and no blank is lost before a line separator that `$` takes for the end."""
+    odd = ["", " \n\t ", "| a |\n" * 90 + "Late START  of it " * 9, " " * 700 + "deep " * 50, "A" * 118 + "ΟΔΟΣ" + "'" * 400 + "x", "short",
+           "İstanbul " * 40, "b " * 200, "| open", "x\n|" + "y" * 600, "tail  ", None]
+    d = spark.createDataFrame([(t,) for t in odd], "t string")
+    whole = F.substring(F.trim(F.regexp_replace(F.lower(X.without_tables(F.col("t"))), "\\s+", " ")), 1, 120)
+    for x in d.select("t", X.prefix_key(F.col("t"), 120).alias("key"), whole.alias("want"), X.strip(F.col("t")).alias("bare")).collect():
+        assert x.key == x.want
+        assert x.bare == (None if x.t is None else x.t.strip(" \t\n\v\f\r"))
