@@ -384,3 +384,22 @@ def test_keys_and_ends_of_odd_texts(spark):
     for x in d.select("t", X.prefix_key(F.col("t"), 120).alias("key"), whole.alias("want"), X.strip(F.col("t")).alias("bare")).collect():
         assert x.key == x.want
         assert x.bare == (None if x.t is None else x.t.strip(" \t\n\v\f\r"))
+
+
+def test_word_search_makes_no_row_for_a_word_of_a_page(spark):
+    """Tokens of all pages used to be shuffled as rows, and each opening met each page that holds one of its words as a row with the text."""
+    pages = spark.createDataFrame([(0, i, f"all of them w{i} hold these few words") for i in range(50)], "part int, page_no long, text string")
+    records = spark.createDataFrame([(0, i, f"hold these few words w{i}") for i in range(60)], "part int, record_id long, text string")
+    found = L.locate_by_words(records, pages, slice_rows=20)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Generate ") <= 2 and "FlatMapCoGroupsInArrow" in plan  # the deal of both sides over the blocks
+    assert {r.record_id: (r.tier, r.page_no) for r in found.collect()} == {i: (1, i if i < 50 else 0) if i < 50 else (2, 0) for i in range(60)}
+
+
+def test_holding_pages_are_those_that_contain_the_word():
+    rng = random.Random(3)
+    texts = ["", "  ", "é", "\U0001f600a aa aaa", *[" ".join("".join(rng.choice("abé()") for _ in range(rng.randint(1, 9))) for _ in range(rng.randint(0, 30))) for _ in range(80)]]
+    words = ["a", "ab", "é", "(a", "abé", "aaaa", "zzz", "\U0001f600", *{"".join(rng.choice("abé()") for _ in range(rng.randint(1, 6))) for _ in range(100)}]
+    got = L.holding_pages(words, texts)
+    assert {w: [w in t for t in texts] for w in words} == {w: x.tolist() for w, x in got.items()}
+    assert not L.holding_pages(["a", "abc"], ["", " "])["a"].any()
