@@ -403,3 +403,20 @@ def test_holding_pages_are_those_that_contain_the_word():
     got = L.holding_pages(words, texts)
     assert {w: [w in t for t in texts] for w in words} == {w: x.tolist() for w, x in got.items()}
     assert not L.holding_pages(["a", "abc"], ["", " "])["a"].any()
+
+
+def test_only_ratios_that_can_be_among_the_best_two_are_rated(spark, tmp_path):
+    """Every candidate used to be rated, by as few tasks as its bytes fill. The best two, with ties, are those of rating all."""
+    rng = random.Random(8)
+    base = "the quick brown fox jumps over the lazy dog near a river bank"
+    mutate = lambda: "".join(rng.choice("abcdef ") if rng.random() < rng.choice((0.02, 0.1, 0.2)) else c for c in base)
+    ps, rs = [(i, mutate()) for i in range(6)], [(i, mutate()) for i in range(150)] + [(150 + i, base) for i in range(2)]
+    p = L.with_form(spark.createDataFrame(ps, "p_rep int, form string"), "p")
+    r = L.with_form(spark.createDataFrame([(i, t, 1) for i, t in rs], "r_rep int, form string, r_rep_copies long"), "r", "r_rep_copies")
+    rated = L.best_two_ratios(p.crossJoin(r), 0.3)
+    got = rated.collect()
+    assert len(got) < len(ps) * len(rs) / 2 and "MapInArrow" in rated._jdf.queryExecution().optimizedPlan().toString()
+    for i, a in ps:
+        want = sorted((-difflib.SequenceMatcher(None, a, b).ratio(), j) for j, b in rs)
+        have = sorted((-x.score, x.r_rep) for x in got if x.p_rep == i)
+        assert have[:2] == want[:2]
