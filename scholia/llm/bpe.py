@@ -8,6 +8,7 @@ last seam of one chunk and the first seam of the next are encoded anew, and wide
 
 from __future__ import annotations
 
+import functools
 import os
 import re
 from array import array
@@ -22,7 +23,7 @@ from scholia.llm.common import keyed_texts, slices
 
 CUT_BITS = 10  # chunks of 1024 bytes on average
 ROLLING = 16
-MEMO_BYTES = 48 << 20  # of each of two generations
+MEMO_BYTES = 16 << 20  # of each of two generations, in every Python worker
 SEAM = re.compile(rb"(?<=[!-~])[ \n]")
 # Bytes beyond ASCII text and U+00C0 to U+017F, and what may begin a special token.
 UNUSUAL = re.compile(rb"[^\t\n -~\x80-\xbf\xc3-\xc5]|<\|")
@@ -92,6 +93,7 @@ class Encoder:
         assert not any(SEAM.search(t) or b"<|" not in t for t in added.values()), "an added token of another form"
         ranks = {p: i for i, p in enumerate(pieces) if i not in added}
         self.plain = tiktoken.Encoding("ranks", pat_str=WORDS, mergeable_ranks=ranks, special_tokens={})
+        self.pieces = pieces
         self.width = np.array([len(p) for p in pieces], dtype=np.int64)
         self.chunks = Memo(memo_bytes)
 
@@ -165,6 +167,12 @@ class Encoder:
         return out
 
 
+# A Python worker runs many tasks; it loads the vocabulary for the first one and meets the same chunks again in the next.
+@functools.lru_cache(1)
+def encoder_of(path: str) -> Encoder:
+    return Encoder(path)
+
+
 def pieces_of(path: str) -> list[bytes]:
     """Bytes of each id: printable bytes stand for themselves in the vocabulary, the others follow from U+0100 on."""
     from tokenizers import Tokenizer
@@ -179,15 +187,27 @@ def pieces_of(path: str) -> list[bytes]:
     return out
 
 
+def text_of(ids: bytes, pieces: list[bytes]) -> str:
+    return b"".join([pieces[i] for i in np.frombuffer(ids, "<u4").tolist()]).decode("utf-8", "replace")
+
+
+def _encoded(part: pa.RecordBatch, encoder: Encoder) -> pa.RecordBatch:
+    ids = encoder.encode(part.column("text").cast(pa.binary()).to_pylist())
+    return pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "ids"])
+
+
+def _with_text(part: pa.RecordBatch, pieces: list[bytes]) -> pa.RecordBatch:
+    texts = [text_of(ids, pieces) for ids in part.column("ids").to_pylist()]
+    return pa.RecordBatch.from_arrays([*part.select(["doc_id", "ids"]).columns, pa.array(texts, pa.string())], ["doc_id", "ids", "text"])
+
+
 def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """`doc_id` and `ids` (binary: little-endian unsigned 32-bit) of every whole text. Null and empty texts have no ids; equal rows stay
     equal; other columns are ignored. `path` names a vocabulary file that every executor has."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(path)
         for part in slices(batches):
-            ids = encoder.encode(part.column("text").cast(pa.binary()).to_pylist())
-            yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "ids"])
+            yield _encoded(part, encoder_of(path))
 
     return keyed_texts(docs, id_col, text_col).mapInArrow(run, "doc_id long, ids binary")
 
@@ -196,17 +216,25 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     """`doc_id`, `ids` and the decoded `text`; bytes that are no UTF-8 become U+FFFD, as the library does."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        piece = pieces_of(path)
+        pieces = pieces_of(path)
         for part in slices(batches, "ids"):
-            texts = [b"".join([piece[i] for i in np.frombuffer(ids, "<u4").tolist()]).decode("utf-8", "replace")
-                     for ids in part.column("ids").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*part.select(["doc_id", "ids"]).columns, pa.array(texts, pa.string())], ["doc_id", "ids", "text"])
+            yield _with_text(part, pieces)
 
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids binary, text string")
 
 
+def encode_and_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """What `decode` gives for the result of `encode`, in one Python worker a task, where the two in a row take two."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches):
+            yield _with_text(_encoded(part, encoder_of(path)), encoder_of(path).pieces)
+
+    return keyed_texts(docs, id_col, text_col).mapInArrow(run, "doc_id long, ids binary, text string")
+
+
 def round_trip(docs: DataFrame, path: str) -> DataFrame:
     """`doc_id`, `n_tokens` and SHA-256 of ids and of the decoded text."""
-    return decode(encode(docs, path), path).select(
+    return encode_and_decode(docs, path).select(
         "doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"))

@@ -176,3 +176,15 @@ def test_edits_are_probed_in_little_memory():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert peak < 64 << 20
+
+
+def test_round_trip_takes_one_python_worker_a_task(spark):
+    """Two chained Python steps hold a worker each, with the vocabulary in both; at 0.5 GB they took more than an executor has."""
+    from scholia.llm import bpe
+
+    docs = spark.createDataFrame([(1, "one two  three"), (2, None), (2, "café <|endoftext|>")], "doc_id long, text string").repartition(2)
+    path = bpe.vocabulary_path()
+    got = bpe.encode_and_decode(docs, path)
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, bpe.decode(bpe.encode(docs, path), path).collect()), key=str)
+    assert bpe.round_trip(docs, path)._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    assert bpe.encoder_of(path) is bpe.encoder_of(path)
