@@ -150,30 +150,54 @@ def overlap_letter(df: DataFrame, f: Fields = FIELDS, out: str = "letter") -> Da
     return _without(df.withColumn(out, F.when(is_negated(F.col(f.stem)), lowest(_cols("_v"))).otherwise(highest(_cols("_v")))), kept, out)
 
 
+def may_match(low: Column, pattern: str, words: dict[str, list[str]] = V.PATTERN_WORDS) -> Column:
+    """Whether the text holds any plain word of the pattern. Most texts hold none, and a pattern is dear to search a whole text with;
+    a pattern without listed words is always searched."""
+    return reduce(lambda x, y: x | y, [F.contains(low, F.lit(w)) for w in words.get(pattern, [""])])
+
+
 def pattern_letter(text: Column, patterns: list[str] = V.LETTER_PATTERNS) -> Column:
     """Letter of the first listed pattern that occurs."""
-    low = F.lower(X.blank_if_null(text))
-    found = [F.nullif(F.regexp_extract(low, "(?U)" + p, 1), F.lit("")) for p in patterns]
-    return F.upper(F.coalesce(*found))
+    return X.let(F.lower(X.blank_if_null(text)), lambda low: _pattern_letter(low, patterns))
+
+
+def _pattern_letter(low: Column, patterns: list[str] = V.LETTER_PATTERNS) -> Column:
+    found = F.array(*[F.when(may_match(low, p), F.regexp_extract(low, "(?U)" + p, 1)).otherwise("") for p in patterns])
+    return F.upper(F.get(F.filter(found, lambda l: l != ""), F.lit(0)))
 
 
 def negated_letters(text: Column, patterns: list[str] = V.NEGATION_PATTERNS) -> Column:
     """Sorted distinct letters that the text calls wrong."""
-    low = F.lower(X.blank_if_null(text))
-    found = [F.regexp_extract_all(low, F.lit("(?U)" + p), F.lit(1)) for p in patterns]
-    return F.transform(F.array_sort(F.array_distinct(F.flatten(F.array(*found)))), F.upper)
+    return X.let(F.lower(X.blank_if_null(text)), lambda low: _negated_letters(low, patterns))
+
+
+def _negated_letters(low: Column, patterns: list[str] = V.NEGATION_PATTERNS) -> Column:
+    found = F.array(*[F.when(may_match(low, p), F.regexp_extract_all(low, F.lit("(?U)" + p), F.lit(1)))
+                      .otherwise(F.array().cast("array<string>")) for p in patterns])
+    return F.transform(F.array_sort(F.array_distinct(F.flatten(found))), F.upper)
+
+
+def _lowered(df: DataFrame, f: Fields) -> DataFrame:
+    """With the small letters of the text in `_low` and the letters that it calls wrong in `_negated`, each reckoned once."""
+    return (df.withColumn("_low", F.lower(X.blank_if_null(F.col(f.explanation))))
+            .withColumn("_negated", _negated_letters(F.col("_low"))))
 
 
 def framing_letter(df: DataFrame, f: Fields = FIELDS, out: str = "letter") -> DataFrame:
     """"A) correct" or, unless A is called wrong somewhere, "only A" / "A only"."""
-    low = F.lower(F.col(f.explanation))
-    negated = negated_letters(F.col(f.explanation))
+    return _framing_letter(_lowered(df, f), f, out).drop("_low", "_negated")
+
+
+def _framing_letter(df: DataFrame, f: Fields, out: str) -> DataFrame:
+    low = F.col("_low")
+    told = F.contains(low, F.lit("correct"))
 
     def test(i: int) -> Column:
         letter = LETTERS[i].lower()
-        framed = low.rlike(f"(?U)\\b{letter}(?:\\)|\\b)\\W{{0,10}}(?:is )?correct")
-        only = low.rlike(f"(?U)\\bonly {letter}\\b|\\b{letter} only\\b")
-        return (f.options()[i] != "") & (framed | (only & ~F.array_contains(negated, LETTERS[i])))
+        framed = told & low.rlike(f"(?U)\\b{letter}(?:\\)|\\b)\\W{{0,10}}(?:is )?correct")
+        only = ((F.contains(low, F.lit(f"only {letter}")) | F.contains(low, F.lit(f"{letter} only")))
+                & low.rlike(f"(?U)\\bonly {letter}\\b|\\b{letter} only\\b"))
+        return (f.options()[i] != "") & (framed | (only & ~F.array_contains("_negated", LETTERS[i])))
 
     return df.withColumn(out, first_letter([test(i) for i in range(3)]))
 
@@ -218,9 +242,12 @@ def weighted_text_letter(df: DataFrame, f: Fields = FIELDS, out: str = "letter")
     """Option openings (50/30/20 characters) found in the first sentence (4/3/2), the first five (2/1) and the whole text (1);
     letters called wrong are out and the winner needs a lead of two."""
     kept = df.columns
-    df = df.withColumns({"_all": F.lower(X.blank_if_null(F.col(f.explanation))), "_split": X.sentences(F.col(f.explanation)),
-                         "_wrong": negated_letters(F.col(f.explanation))})
-    df = df.withColumns({"_first": F.lower(F.get("_split", F.lit(0))), "_five": F.lower(F.array_join(F.slice("_split", 1, 5), " "))})
+    return _weighted_text_letter(_lowered(df, f), f, out, kept)
+
+
+def _weighted_text_letter(df: DataFrame, f: Fields, out: str, kept: list[str]) -> DataFrame:
+    df = df.withColumn("_split", X.sentences(F.col(f.explanation), 5))
+    df = df.withColumns({"_first": F.lower(F.get("_split", F.lit(0))), "_five": F.lower(F.array_join("_split", " "))})
     for n in (50, 30, 20):
         df = _each(df, f"_k{n}_", lambda i, n=n: _key(f.options()[i], n))
 
@@ -228,8 +255,8 @@ def weighted_text_letter(df: DataFrame, f: Fields = FIELDS, out: str = "letter")
         within = lambda n, least, where: (F.length(f"_k{n}_{i}") >= least) & F.contains(F.col(where), F.col(f"_k{n}_{i}"))
         first = F.when(within(50, 10, "_first"), 4).when(within(30, 8, "_first"), 3).when(within(20, 6, "_first"), 2).otherwise(0)
         five = F.when(within(50, 10, "_five"), 2).when(within(30, 8, "_five"), 1).otherwise(0)
-        whole = F.when(within(50, 10, "_all"), 1).otherwise(0)
-        barred = (F.array_contains("_wrong", LETTERS[i]) | (F.length(f.options()[i]) < 5) | (F.length(f"_k50_{i}") < 5))
+        whole = F.when(within(50, 10, "_low"), 1).otherwise(0)
+        barred = (F.array_contains("_negated", LETTERS[i]) | (F.length(f.options()[i]) < 5) | (F.length(f"_k50_{i}") < 5))
         return F.when(barred, 0).otherwise(first + five + whole)
 
     df = _each(df, "_s", score)
@@ -290,9 +317,9 @@ def arbitrate(df: DataFrame, f: Fields = FIELDS, out: tuple[str, str, str] = ("r
     """First of stated letter, framing and option text that disagrees with the stored letter; a text disagreement is blocked
     where the stored option itself opens the explanation."""
     kept = df.columns
-    df = df.withColumn("_p1", pattern_letter(F.col(f.explanation)))
-    df = framing_letter(df, f, "_ex")
-    df = weighted_text_letter(df, f, "_p2")
+    df = _lowered(df, f)
+    df = _framing_letter(df.withColumn("_p1", _pattern_letter(F.col("_low"))), f, "_ex")
+    df = _weighted_text_letter(df, f, "_p2", [*kept, "_p1", "_ex"])
     stored = F.upper(X.strip(X.blank_if_null(F.col(f.stored))))
     df = df.withColumns({"_stored": stored, "_option": X.alnum_form(f.option_of(stored)),
                          "_two": F.lower(X.first_sentences(F.col(f.explanation), 2))})

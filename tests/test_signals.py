@@ -1,5 +1,6 @@
 """Detectors on hand-written rows, one per branch, and the windows of T17 against a plain reading of the rule."""
 
+import random
 import re
 
 import pytest
@@ -112,3 +113,26 @@ def test_untriple(spark):
     cases = {"QQQUUUAAANNNTTT": "QUANT", "plain heading text": "plain heading text", "AAA": "AAA", "": ""}
     got = {r.t: r.x for r in spark.createDataFrame([(k,) for k in cases], "t string").select("t", X.untriple(F.col("t")).alias("x")).collect()}
     assert got == cases
+
+
+def test_plain_words_let_every_match_through(spark):
+    """The words looked for before a pattern never hide a match, and every pattern has some."""
+    patterns = [*V.LETTER_PATTERNS, *V.NEGATION_PATTERNS]
+    assert set(patterns) == set(V.PATTERN_WORDS)
+    rng = random.Random(5)
+    parts = ["a", "b", "C", " ", " is ", "the ", "correct", "Incorrect", "ly", ", ", "because ", "answer", "ed", "choice", "option", "response", ". ", "best ",
+             "most likely", "select ", "choose ", "not ", "never", "wrong", "'s ", " a ", " ", "\n", "é"]
+    made = ["correct Option is B", "answered is c", "A is the correct", "b. correct because", "c is best answer", "a most likely is", "b is most likely", "Select C",
+            "choose a", "B is not the best", "c is never", "not a", "incorrectly, because b", "a's wrong", "c is a wrong"]
+    texts = made + ["".join(rng.choice(parts) for _ in range(rng.choice([3, 6, 30]))) for _ in range(2000)]
+    low = F.lower("t")
+    hidden = [low.rlike("(?U)" + p) & ~S.may_match(low, p) for p in patterns]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select(
+        *[F.sum(h.cast("int")).alias(f"h{i}") for i, h in enumerate(hidden)], *[F.sum(low.rlike("(?U)" + p).cast("int")).alias(f"n{i}") for i, p in enumerate(patterns)]).first()
+    assert not any(got[:len(patterns)]) and all(got[len(patterns):])
+
+
+def test_arbitration_searches_the_letters_called_wrong_once(spark):
+    rows = spark.createDataFrame([("s", "a", "b", "c", "B is not correct.", "B")], "stem string, option_a string, option_b string, option_c string, explanation string, stored string")
+    plan = S.arbitrate(rows)._jdf.queryExecution().analyzed().toString()
+    assert plan.count(V.NEGATION_PATTERNS[3]) == 1
