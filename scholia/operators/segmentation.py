@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from scholia import fixed_values as V
 from scholia.functions import text as X
+from scholia.session import stage_table
 
 # 0 before any header, 1 stem, 2 to 4 options, 5 explanation, 6 options out of order (left at the next header only).
 STATES = "0123456"
@@ -29,7 +30,9 @@ def _after(state: Column, kind: Column) -> Column:
 
 def pieces(text: Column, marks: dict[str, str] = V.ITEM_MARKS) -> Column:
     """The text cut before each marked line: an array of (kind, text); `kind` is null for what precedes the first mark."""
-    lines = F.regexp_replace(F.translate(X.blank_if_null(text), "\u0001", ""), "\r\n?", "\n")
+    # Few texts have either of the two characters, and finding that out is cheap.
+    marked = F.when(F.contains(text, F.lit("\u0001")), F.translate(text, "\u0001", "")).otherwise(X.blank_if_null(text))
+    lines = X.let(marked, lambda t: F.when(F.contains(t, F.lit("\r")), F.regexp_replace(t, "\r\n?", "\n")).otherwise(t))
     cut = F.split(F.regexp_replace(lines, f"(?md)^(?=(?:{'|'.join(marks.values())}))", "\u0001"), "\u0001")
     kind = lambda p: F.coalesce(*[F.when(p.rlike(f"(?md)\\A(?:{m})"), F.lit(k)) for k, m in marks.items()])
     # A text that starts with a mark has nothing before it.
@@ -90,9 +93,11 @@ def extract_items(pages: DataFrame, doc: str = "doc", marks: dict[str, str] = V.
     headers = F.filter(F.transform("pieces", lambda p, i: F.when(p["kind"] == "header", F.struct(F.col("page_no"), F.col("stretch"), i.alias("at")))),
                        lambda h: h.isNotNull())
     move = F.aggregate("pieces", F.lit(STATES), lambda m, p: _after(m, p["kind"]))
-    units = cut.select(doc, "page_no", "stretch", move.alias("move"), F.try_element_at(headers, F.lit(-1)).alias("opened"))
+    # Read for the spans, at each of their levels, and for the pieces; so the text is cut once.
+    cut = stage_table(cut.withColumns({"move": move, "opened": F.try_element_at(headers, F.lit(-1))}))
+    units = cut.select(doc, "page_no", "stretch", "move", "opened")
     place = units.schema["opened"].dataType.simpleString()
-    known = cut.join(carried(units, doc), [doc, "page_no", "stretch"])
+    known = cut.drop("move", "opened").join(carried(units, doc), [doc, "page_no", "stretch"])
 
     first = F.struct(F.col("state").alias("state"), F.col("open").alias("open"), F.lit(0).alias("at"),
                      F.array().cast(f"array<struct<open:{place},state:string,at:int,text:string>>").alias("out"))

@@ -85,3 +85,10 @@ def test_items_of_whole_books(spark, monkeypatch, stretch, span):
 
 def test_no_pages(spark):
     assert Seg.extract_items(spark.createDataFrame([], "doc string, page_no long, text string")).count() == 0
+
+
+def test_pages_are_cut_once(spark):
+    """The spans, on each of their levels, and the pieces read the same cut pages instead of cutting them again."""
+    pages = spark.createDataFrame([("d", 1, "Question #1 of 2\nWhat is it?\r\nA) this")], "doc string, page_no long, text string")
+    plan = Seg.extract_items(pages)._jdf.queryExecution().optimizedPlan().toString()
+    assert "posexplode" not in plan
